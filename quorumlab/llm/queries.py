@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlab.llm import bytebpe, packing, simhash
+from quorumlab.llm import bytebpe, langid, packing, simhash
 from quorumlab.llm.chunks import vocabulary_path
 
 
@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(of: int):
+    """crc32 of doc_id as text, modulo `of`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify_documents(docs, langid.fit(docs.where(fold(4) != 2)))
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -30,7 +41,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
