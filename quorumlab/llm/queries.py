@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlab.llm import bytebpe, langid, packing, simhash
+from quorumlab.llm import bytebpe, langid, packing, simhash, toxicity
 from quorumlab.llm.chunks import vocabulary_path
 
 
@@ -25,6 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score_documents(docs, toxicity.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0)))
+    return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
@@ -41,7 +47,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op5_byte_bpe, op6_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
