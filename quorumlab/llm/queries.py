@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlab.llm import bytebpe, langid, packing, sharding, simhash, tokencount, toxicity
+from quorumlab.llm import bytebpe, langid, licenses, packing, sharding, simhash, tokencount, toxicity
 from quorumlab.llm.chunks import vocabulary_path
 
 
@@ -55,9 +55,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_token_counts, op4_sharding, op5_byte_bpe, op6_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_token_counts, op4_sharding, op5_byte_bpe, op6_packing, op7_simhash, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licenses": licenses.oracle()}
