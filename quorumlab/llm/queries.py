@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlab.llm import bytebpe, langid, licenses, packing, sharding, simhash, tokencount, toxicity
+from quorumlab.llm import annforest, bytebpe, hamming, langid, licenses, packing, sharding, simhash, tokencount, toxicity
 from quorumlab.llm.chunks import vocabulary_path
 
 
@@ -55,12 +55,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    asked = codes.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "code")
+    return hamming.hamming_top_k(codes, asked, k=10)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return annforest.nearest(vectors, asked, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_token_counts, op4_sharding, op5_byte_bpe, op6_packing, op7_simhash, op9_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_token_counts, op4_sharding, op5_byte_bpe, op6_packing, op7_simhash, op8_hamming_top_k, op9_licenses, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
