@@ -24,11 +24,15 @@ class ByteCodec:
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         ranks = read_ranks(ranks_path)
-        self.memo = ChunkMemo(tokenizer_from_ranks(ranks, pattern), split_before_spaces)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.memo = ChunkMemo(tokenizer_from_ranks(ranks, pattern), split_before_spaces, lambda c: c[0] == " ", "", self._chunk_ends)
+
+    def _chunk_ends(self, ids: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """Ids up to the end of each chunk, by the bytes that ids and chunks have."""
+        return np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(ids, "<u4") for ids in self.memo.encode(texts)]

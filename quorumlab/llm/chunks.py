@@ -6,14 +6,15 @@ import base64
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
 
-#: Chunks that a memo holds before it starts anew; bounds a worker's memory.
-MEMO_CHUNKS = 200_000
+#: Chunks that a memo holds before it drops the later half; bounds a worker's memory.
+MEMO_CHUNKS = 900_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
 
@@ -62,40 +63,54 @@ class ChunkMemo:
     """Ids of whole texts, put together from remembered ids of their chunks.
 
     split gives chunks of a text that the tokenizer treats independently of each other, or
-    None where a text has to be encoded as one. Only chunks not seen yet reach the tokenizer.
+    None where a text has to be encoded as one. Only chunks not seen yet reach the tokenizer:
+    those that `joinable` admits as one text with `between` between them, whose ids `ends` parts
+    again (it gives the number of ids up to the end of each chunk), the others one by one.
     """
 
-    def __init__(self, tokenizer: Tokenizer, split: Callable[[str], list[str] | None]) -> None:
+    def __init__(
+        self,
+        tokenizer: Tokenizer,
+        split: Callable[[str], list[str] | None],
+        joinable: Callable[[str], object],
+        between: str,
+        ends: Callable[[np.ndarray, list[str]], np.ndarray],
+    ) -> None:
         self.tokenizer, self.split, self.memo = tokenizer, split, {}
+        self.joinable, self.between, self.ends = joinable, between, ends
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null texts give none."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif (chunks := self.split(text)) is None:
-                out.append(self._encode([text])[0])
-            else:
-                memo = self.memo
-                try:
-                    out.append(b"".join([memo[c] for c in chunks]))
-                except KeyError:
-                    out.append(self._encode_new(chunks))
+    def _encode_fresh(self, fresh: list[str]) -> dict[str, bytes]:
+        together = [c for c in fresh if self.joinable(c)]
+        single = [c for c in fresh if not self.joinable(c)]
+        out = dict(zip(single, self._encode(single), strict=True)) if single else {}
+        if together:
+            raw = self._encode([self.between.join(together)])[0]
+            ends = (4 * self.ends(np.frombuffer(raw, "<u4"), together)).tolist()
+            if len(ends) != len(together) or ends[-1] != len(raw):
+                raise ValueError("the chunks' ids can't be told apart")
+            out.update((c, raw[i:j]) for c, i, j in zip(together, [0, *ends], ends, strict=False))
         return out
 
-    def _encode_new(self, chunks: list[str]) -> bytes:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        fresh = list({c for c in chunks if c not in self.memo})
-        ids = dict(zip(fresh, self._encode(fresh), strict=True))
-        self.memo.update((c, i) for c, i in ids.items() if len(c) <= MEMO_CHARS)
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null texts give none."""
+        texts = [t or "" for t in texts]
+        lists = [self.split(t) if t else [] for t in texts]
         memo = self.memo
-        return b"".join([memo[c] if c in memo else ids[c] for c in chunks])
+        fresh = [c for c in set().union(*(x for x in lists if x)) if c not in memo]
+        if fresh:
+            memo.update(self._encode_fresh(fresh))
+        get = memo.__getitem__
+        out = [b"".join(map(get, chunks)) if chunks is not None else self._encode([text])[0] for text, chunks in zip(texts, lists, strict=True)]
+        for c in fresh:
+            if len(c) > MEMO_CHARS:
+                del memo[c]
+        if len(memo) > MEMO_CHUNKS:  # what came first is what is frequent
+            self.memo = dict(islice(memo.items(), MEMO_CHUNKS // 2))
+        return out
 
 
 _DOUBLE_SPACE = re.compile(r" \s|\s ")

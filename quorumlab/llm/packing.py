@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from functools import cache
@@ -23,7 +24,17 @@ TEXTS_AT_ONCE = 256
 def memo(tokenizer_path: str) -> ChunkMemo:
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkMemo(tokenizer, split_at_spaces)
+    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends_word[i] = token.endswith("</w>")
+    # Such letters stay letters in lower case and composed form, so these chunks are one word, or one and a mark.
+    plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
+
+    def ends(ids: np.ndarray, chunks: list[str]) -> np.ndarray:
+        words = np.flatnonzero(ends_word[ids]) + 1
+        return words[np.cumsum([1 + (c[-1] in ".,;:!?") for c in chunks]) - 1]
+
+    return ChunkMemo(tokenizer, split_at_spaces, plain, " ", ends)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
