@@ -16,18 +16,30 @@ BITS = 64
 BLOCK_ROWS = 1 << 18
 
 
-def sign_code(vector: Column) -> Column:
-    """64-bit code (long) of an array of numbers: bit b is 1 if the components b, b + 64, ... sum to more than 0.
+def sign_codes(vectors: pa.Array) -> pa.Array:
+    """64-bit codes of lists of numbers: bit b is 1 if the components b, b + 64, ... sum to more than 0.
 
-    Null for a null or empty array and for one with null or non-finite components.
+    Null for a null or empty list and for one with null or non-finite components.
     """
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    bit = lambda b: F.aggregate(F.filter(vector, lambda _, i: i % BITS == b), F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double")) > 0
-    folded = [F.when(bit(b), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(BITS)]
-    code = folded[0]
-    for x in folded[1:]:
-        code = code.bitwiseOR(x)
-    return F.when((F.size(vector) > 0) & ~bad, code)
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % BITS
+    finite = np.isfinite(flat)
+    good = (sizes > 0) & (np.bincount(row, ~finite, minlength=len(sizes)) == 0)
+    sums = np.bincount(row * BITS + bit, np.where(finite, flat, 0.0), minlength=len(sizes) * BITS).reshape(-1, BITS)
+    codes = ((sums > 0).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return pa.array(codes, mask=~good)
+
+
+def sign_code(vector: Column) -> Column:
+    """The sign code (long) of an array column."""
+
+    @F.arrow_udf("long")
+    def code(batch: pa.Array) -> pa.Array:
+        return sign_codes(batch)
+
+    return code(vector.cast("array<double>"))
 
 
 @cache

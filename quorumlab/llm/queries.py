@@ -75,5 +75,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_token_counts, op4_sharding, op5_byte_bpe, op6_packing, op7_simhash, op8_hamming_top_k, op9_licenses, op10_ann)}
 
 
+#: Codes of 64 components are their signs, so a distance counts the components whose signs differ.
+HAMMING_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS s FROM embeddings WHERE embedding IS NOT NULL),
+d AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, len(e.s) + 1), lambda i: abs(q.s[i] - e.s[i])))::INT AS distance
+  FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank::INT AS rank, vec_id, distance FROM r WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.oracle()}
+    return {"op8_hamming_top_k": HAMMING_SQL, "op9_licenses": licenses.oracle()}

@@ -1,7 +1,5 @@
-import shutil
-
 import corpus_pipeline
-from quorumlab.llm import queries
+from quorumlab.llm import queries, simhash
 
 
 def test_stages_keep_columns_and_decide(spark, sf_dir):
@@ -15,7 +13,39 @@ def test_stages_keep_columns_and_decide(spark, sf_dir):
     ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert 0.5 * before < len(ids) < before and len({texts[i] for i in ids}) == len(ids)
-    shutil.rmtree(spark.conf.get("spark.checkpoint.dir") + "/x", ignore_errors=True)
+
+
+def test_near_copies_equal_brute_force(spark, sf_dir):
+    """All pairs within the distance on 128 bits, chained; one document of each group stays."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    a, b, _, _ = simhash.double_fingerprints([texts[i].encode() for i in ids], 5)
+    most, parent = simhash.most_bits(0.8), {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    mask = (1 << 64) - 1
+    for i, x in enumerate(ids):
+        for j in range(i):
+            if (int(a[i]) & mask ^ int(a[j]) & mask).bit_count() + (int(b[i]) & mask ^ int(b[j]) & mask).bit_count() <= most:
+                p, q = find(x), find(ids[j])
+                parent[max(p, q)] = min(p, q)
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert kept == {i for i in ids if find(i) == i}
+
+
+def test_packing_of_the_pipeline_is_whole(spark, sf_dir):
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in spans.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 4096
 
 
 def test_pipeline_over_odd_and_no_documents(spark, tmp_path, odd_docs, no_docs):
