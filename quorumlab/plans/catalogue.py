@@ -607,10 +607,10 @@ def metrics_module(spark, sf_dir):
 @query(f"""WITH {PRED}, o AS (SELECT split, sqrt(avg(pow(y_pred - y_true, 2))) AS rmse, avg(abs(y_pred - y_true)) AS mae, 1 - sum(pow(y_pred - y_true, 2)) / (var_pop(y_true) * count(*)) AS r2, count(*) AS n,
   sqrt(avg(pow((y_pred - y_true) / greatest(sigma, 0.01), 2)) FILTER (sigma > 0)) AS z_rmse, avg((abs(y_pred - y_true) <= 2 * sigma)::INT) FILTER (sigma > 0) AS f_aleatoric FROM pr GROUP BY 1),
 s AS (SELECT split, avg(r) AS ps_rmse, avg(q) AS ps_r2 FROM (SELECT split, solvent, sqrt(avg(pow(y_pred - y_true, 2))) AS r, CASE WHEN var_pop(y_true) > 0 THEN 1 - sum(pow(y_pred - y_true, 2)) / (var_pop(y_true) * count(*)) END AS q FROM pr GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
-SELECT split, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, n, round(z_rmse, 6) AS z_rmse, round(f_aleatoric, 6) AS f_aleatoric, round(ps_rmse, 6) AS ps_rmse, round(ps_r2, 6) AS ps_r2 FROM o JOIN s USING (split)""")
+SELECT split, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(r2, 6) AS r2, n, round(z_rmse, 6) AS z_rmse, round(f_aleatoric, 6) AS f_aleatoric, round(ps_rmse, 6) AS ps_rmse, round(ps_r2, 6) + 0.0 AS ps_r2 FROM o JOIN s USING (split)""")
 def metrics_sdk(spark, sf_dir):
     out = metrics.evaluate_predictions(predictions(spark, sf_dir), ["split"], "sdk")
-    return rounded(out, "rmse", "mae", "r2", "z_rmse", "f_aleatoric", "ps_rmse", "ps_r2")
+    return rounded(out, "rmse", "mae", "r2", "z_rmse", "f_aleatoric", "ps_rmse", "ps_r2").withColumn("ps_r2", F.col("ps_r2") + 0.0)  # no negative zero
 
 
 # --- Models and features ---------------------------------------------------------------------
