@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlab.functions import scalar
 from quorumlab.operators import agreement, audit, clean, fits, metrics, models, splits, tiers
+from quorumlab.plans import registry
 from quorumlab.session import cut
-from quorumlab.sources import tables
+from quorumlab.sources import sinks, tables
 from quorumlab.sources.tables import MEASUREMENTS_SQL as M, measurements, scan_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -764,3 +765,39 @@ def ridge_many_features(spark, sf_dir):
     return out.select("solvent", "n", F.round(F.col("coefficients")[0], 4).alias("slope_a"), F.round(F.col("coefficients")[1], 4).alias("slope_b"), F.round("intercept", 3).alias("intercept"))
 
 
+
+
+# --- Set operations and reports --------------------------------------------------------------
+
+
+@query(f"""WITH {SPLITS}, a AS (SELECT DISTINCT solute, solvent FROM sp WHERE split = 'train'), b AS (SELECT DISTINCT solute, solvent FROM sp WHERE split <> 'train')
+SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
+UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'distinct', count(*) FROM (SELECT DISTINCT solute FROM a)""")
+def set_operations(spark, sf_dir):
+    rows, _ = split_rows(spark, sf_dir)
+    a, b = (rows.where(c).select("solute", "solvent").distinct() for c in ("split = 'train'", "split <> 'train'"))
+    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "distinct": a.select("solute").distinct()}
+    return sinks.row_counts(parts).select(F.col("name").alias("op"), F.col("n_rows").alias("n"))
+
+
+@query("SELECT 'nation' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def row_count_report(spark, sf_dir):
+    return sinks.row_counts({n: scan_parquet(spark, sf_dir, n) for n in ("nation", "orders", "part")})
+
+
+@query("""SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_name) AS n_names FROM part WHERE p_size = 7 GROUP BY 1, 2""")
+def key_verification(spark, sf_dir):
+    part = scan_parquet(spark, sf_dir, "part").where("p_size = 7")
+    return part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("n_names"))
+
+
+@query("""SELECT CAST(json_object('r_regionkey', r_regionkey, 'r_name', r_name) AS VARCHAR) AS report FROM region""")
+def region_report(spark, sf_dir):
+    return sinks.json_report(scan_parquet(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@query(f"""WITH {M}, d AS (SELECT DISTINCT solute FROM m), c AS (SELECT solute, upper(trim(solute)) AS canon FROM d)
+SELECT canon, count(*) AS n, round(avg(y), 6) AS mean FROM m JOIN c USING (solute) GROUP BY 1""")
+def canonical_keys(spark, sf_dir):
+    out = registry.canonicalize(measurements(spark, sf_dir), "solute", "upper", "canon")
+    return rounded(out.groupBy("canon").agg(F.count("*").alias("n"), F.avg("y").alias("mean")), "mean")
