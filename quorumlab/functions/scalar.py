@@ -55,3 +55,9 @@ def has_tetrahedral_mark(key: Column) -> Column:
 
 def has_double_bond_mark(key: Column) -> Column:
     return F.contains(key, F.lit("/")) | F.contains(key, F.lit("\\"))
+
+
+def stamp_temperature(nodes: Column, t: Column) -> Column:
+    """An array of node vectors, each with the four temperature features after its own."""
+    tail = F.array(*[c.cast("double") for c in temperature_features(t)])
+    return F.transform(nodes, lambda n: F.concat(n.cast("array<double>"), tail))

@@ -49,16 +49,17 @@ def dedup_keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataF
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def density_cascade(rows: DataFrame, exact: DataFrame, linear: DataFrame, name: str = "solvent", t: str = "t", library: DataFrame | None = None) -> DataFrame:
+def density_cascade(rows: DataFrame, exact: DataFrame, linear: DataFrame, name: str = "solvent", t: str = "t", library: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """rows with density and its tag: an exact (name, T to 2 places) entry, else a * T + b, else a
-    library's value for the name, else none. The dimensions are left to Catalyst to broadcast by size."""
+    library's value for the name or its alias (case as given), else none. The dimensions are left to Catalyst to broadcast by size."""
     key, at = F.lower(F.trim(name)), round_half_even(F.col(t), 2)
     e = exact.select(F.col("name_key").alias("_en"), F.col("t_key").alias("_et"), F.col("density").alias("_exact"))
     c = linear.select(F.col("name_key").alias("_cn"), "a", "b")
     out = rows.join(e, (key == F.col("_en")) & (at == F.col("_et")), "left").join(c, key == F.col("_cn"), "left")
     fitted = F.col("a") * F.col(t) + F.col("b")
     if library is not None:
-        out = out.join(library.select(F.col("name").alias("_ln"), F.col("density").alias("_library")), F.col(name) == F.col("_ln"), "left")
+        known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.col(name)] if aliases else F.lit(None)
+        out = out.join(library.select(F.col("name").alias("_ln"), F.col("density").alias("_library")), F.coalesce(known, F.col(name)) == F.col("_ln"), "left")
     else:
         out = out.withColumn("_library", F.lit(None).cast("double")).withColumn("_ln", F.lit(None).cast("string"))
     tag = F.when(F.col("_exact").isNotNull(), "density_dict_exact").when(fitted.isNotNull(), "coef_linear").when(F.col("_library").isNotNull(), "library").otherwise("unavailable")

@@ -39,3 +39,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
+
+
+def pass_messages(nodes: DataFrame, edges: DataFrame, mean: bool = False) -> DataFrame:
+    """(node, x): for each node the sum, or mean, of its in-neighbours' vectors.
+
+    nodes(node, x array) and edges(src, dst). Elements are summed by position with a partial
+    aggregate before the shuffle, so a node of very many neighbours needs no task of its own. Nodes
+    without neighbours keep no row.
+    """
+    sent = edges.join(nodes, edges["src"] == nodes["node"]).select("dst", F.posexplode("x").alias("i", "v"))
+    how = F.avg if mean else F.sum
+    cells = sent.groupBy("dst", "i").agg(how("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return cells.groupBy("dst").agg(F.transform(ordered, lambda c: c["v"]).alias("x")).withColumnRenamed("dst", "node")

@@ -116,6 +116,38 @@ def load_or_fit(path: str, force: bool, fit):
     return model
 
 
+def tanimoto(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tanimoto similarity of each row of a with each of b; two zero rows are alike."""
+    dot = a @ b.T
+    total = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - dot
+    return np.where(total > 0, dot / np.where(total > 0, total, 1), 1.0)
+
+
+def fit_tanimoto_process(train: DataFrame, features: str, y: str, key: str, most: int = 3000, noise: float = 0.1, seed: int = 42):
+    """A Gaussian process with a Tanimoto kernel on at most `most` rows, drawn in the order of a seeded hash.
+
+    Gives predict(df) -> df with y_pred, which scores any number of rows in Arrow batches; a null
+    vector predicts the mean.
+    """
+    from quorumlab.operators.splits import draw
+
+    rows = train.select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.col(key).cast("string").alias("k")).dropna()
+    sample = rows.orderBy(draw(seed, F.col("k")), "k").limit(most).toPandas()
+    x, target = np.array(sample["x"].tolist(), np.float64), sample["y"].to_numpy()
+    mean = float(target.mean())
+    weights = np.linalg.solve(tanimoto(x, x) + noise * np.eye(len(x)), target - mean)
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series) -> pd.Series:
+        out = np.full(len(v), mean)
+        known = v.notna().to_numpy()
+        if known.any():
+            out[known] += tanimoto(np.array(v[known].tolist(), np.float64), x) @ weights
+        return pd.Series(out)
+
+    return lambda df: df.withColumn("y_pred", score(features))
+
+
 def gradient_targets(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, t, y, g): second-order slopes of y over t as numpy.gradient gives them, kept if 0 < g < 1, else null."""
     w = Window.partitionBy(*key).orderBy("t")

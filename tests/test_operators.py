@@ -50,9 +50,10 @@ def test_density_cascade_tags(spark):
     exact = tables.density_dimension(frame(spark, [(" Water", "298.15", "0,997", 1), ("water", "298.15", "0.998", 2), ("water", "bad", "1", 3)], "n string, t string, d string, i int"), "n", "t", "d", "i")
     linear = tables.coefficient_dimension(frame(spark, [("ethanol", "-0.001", "1.1", 1)], "n string, a string, b string, i int"), "n", "a", "b", "i")
     library = frame(spark, [("glycol", 1.11)], "name string, density double")
-    rows = frame(spark, [("Water", 298.15), ("ETHANOL", 300.0), ("glycol", 300.0), ("none", 300.0)], "solvent string, t double")
-    out = clean.density_cascade(rows, exact, linear, library=library).orderBy("solvent")
+    rows = frame(spark, [("Water", 298.15), ("ETHANOL", 300.0), ("glycol", 300.0), ("Glykol", 300.0), ("none", 300.0)], "solvent string, t double")
+    out = clean.density_cascade(rows, exact, linear, library=library, aliases={"Glykol": "glycol"}).orderBy("solvent")
     got = {r["solvent"]: (r["density"], r["density_tag"]) for r in out.collect()}
+    assert got["Glykol"] == got["glycol"]
     assert got["Water"] == (0.998, "density_dict_exact") and got["ETHANOL"] == (pytest.approx(0.8), "coef_linear") and got["glycol"] == (1.11, "library") and got["none"] == (None, "unavailable")
 
 
@@ -294,3 +295,24 @@ def test_audits(spark):
     assert values(audit.near_duplicates(near, ["k"], "t", "y", "i", 0.1, 0.001), "i") == [2]
     assert audit.validity_scan(df, "k", F.when(F.col("k") != "b", F.col("k"))).count() == 1
     assert values(audit.majority(frame(spark, [("g", "b"), ("g", "a"), ("g", None)], "g string, v string"), "g", "v"), "v") == ["a"]
+
+
+def test_tanimoto_process(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 24)) < 0.3).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), float(v[:4].sum())) for i, v in enumerate(x)] + [(999, None, 0.0)], "id long, x array<double>, y double")
+    out = models.fit_tanimoto_process(df.where("id < 200"), "x", "y", "id", most=150)(df).where("id >= 200").orderBy("id").toPandas()
+    known = out[out.id < 999]
+    assert np.corrcoef(known.y, known.y_pred)[0, 1] > 0.7 and out.y_pred.notna().all()
+    assert models.tanimoto(np.array([[1.0, 1, 0], [0, 0, 0]]), np.array([[1.0, 0, 0], [0, 0, 0]])).tolist() == [[0.5, 0], [0, 1]]
+
+
+def test_messages_and_temperature_stamp(spark):
+    from quorumlab.operators.graph import pass_messages
+
+    nodes = frame(spark, [(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])], "node int, x array<double>")
+    edges = frame(spark, [(1, 3), (2, 3), (3, 1)], "src int, dst int")
+    assert sorted(values(pass_messages(nodes, edges), "node", "x")) == [(1, [5.0, 6.0]), (3, [4.0, 6.0])]
+    assert dict(values(pass_messages(nodes, edges, mean=True), "node", "x"))[3] == [2.0, 3.0]
+    stamped = nodes.limit(1).select(scalar.stamp_temperature(F.array("x"), F.lit(300.0)).alias("s")).first()["s"]
+    assert stamped[0] == [1.0, 2.0, 1.0, pytest.approx(10 / 3), 1.0, 0.0]
