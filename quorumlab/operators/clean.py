@@ -21,26 +21,25 @@ def first_failure(steps: list[tuple[str, Column]]) -> Column:
 def waterfall(rows: DataFrame, steps: list[tuple[str, Column]], dedup_key: list[Column], order: str) -> DataFrame:
     """rows with `step`: what dropped each one; the last step keeps the first row (by order) of each key.
 
-    One pass marks the steps that look at a row alone; only what they keep is shuffled for the last.
+    One scan and one shuffle: the steps that look at a row alone are marked on the way, and the
+    duplicates by a window over the same rows, in which dropped ones number apart from kept ones.
     """
-    marked = rows.withColumn("step", first_failure(steps))
     names = [f"_k{i}" for i in range(len(dedup_key))]
-    kept = marked.where("step = 'kept'").withColumns(dict(zip(names, dedup_key, strict=True)))
-    w = Window.partitionBy(*names).orderBy(order)
-    kept = kept.withColumn("step", F.when(F.row_number().over(w) == 1, "kept").otherwise("duplicate")).drop(*names)
-    return marked.where("step <> 'kept'").unionByName(kept)
+    marked = rows.withColumn("step", first_failure(steps)).withColumns(dict(zip(names, dedup_key, strict=True)))
+    again = F.row_number().over(Window.partitionBy("step", *names).orderBy(order)) > 1
+    return marked.withColumn("step", F.when((F.col("step") == "kept") & again, "duplicate").otherwise(F.col("step"))).drop(*names)
 
 
 def waterfall_counts(marked: DataFrame, names: list[str]) -> DataFrame:
     """(ord, step, dropped, remaining) in the order of the steps, from one aggregate."""
     spark = marked.sparkSession
     every = [*names, "duplicate"]
-    order = F.broadcast(spark.createDataFrame(list(enumerate(every)), "ord int, step string"))
+    order = spark.createDataFrame(list(enumerate(every)), "ord int, step string")
     counts = marked.groupBy("step").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    w = Window.orderBy("ord")
-    out = order.join(counts, "step", "left").select("ord", "step", F.coalesce("n", F.lit(0)).alias("dropped")).crossJoin(F.broadcast(total))
-    return out.select("ord", "step", "dropped", (F.col("total") - F.sum("dropped").over(w)).alias("remaining"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row for each step
+    total = F.coalesce(F.max("total").over(Window.partitionBy()), F.lit(0))
+    out = order.join(counts, "step", "full").select("ord", "step", F.coalesce("n", F.lit(0)).alias("dropped"), total.alias("total"))
+    return out.where("ord is not null").select("ord", "step", "dropped", (F.col("total") - F.sum("dropped").over(Window.orderBy("ord"))).alias("remaining"))
 
 
 def dedup_keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
