@@ -261,7 +261,11 @@ def _wide_keys(prints: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.nd
 
 
 def _wide_links(run: np.ndarray, base: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked rows within each run: whole blocks, which come first, against all rows after them."""
+    """Places of linked rows within each run: whole blocks, which come first, against all rows after them.
+
+    A row's first link is given, and of its others those to blocks that don't have the same first
+    link: these would say nothing new, and in a dense group they are almost all pairs.
+    """
     bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True])))
     sizes = np.diff(bounds)
     whole = np.add.reduceat(base.astype(np.int64), bounds[:-1])
@@ -269,13 +273,17 @@ def _wide_links(run: np.ndarray, base: np.ndarray, a: np.ndarray, b: np.ndarray,
     small = (whole > 0) & (sizes > 1) & (whole <= SMALL_RUN)
     at = np.flatnonzero(np.repeat(small, sizes))
     first, count = np.repeat(bounds[:-1], sizes)[at], np.repeat(whole, sizes)[at]
+    parent = np.full(len(run), -1)
     for j in range(int(whole[small].max(initial=0))):
         other = first + j
         ok = (j < count) & (other < at)
         x, y = other[ok], at[ok]
         near = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y]) <= most
-        src.append(x[near])
-        dst.append(y[near])
+        x, y = x[near], y[near]
+        new = (parent[y] < 0) | (parent[y] != parent[x])
+        src.append(x[new])
+        dst.append(y[new])
+        parent[y] = np.where(parent[y] < 0, x, parent[y])
     for i in np.flatnonzero(whole > SMALL_RUN):
         rest = np.arange(bounds[i], bounds[i + 1])
         while len(rest):  # a spanning forest, as in _forest
@@ -347,7 +355,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[x], b[x], a[y], b[y])], names=["a1", "a2", "b1", "b2"])
 
     keyed = nodes.select("fp", "fp2", "unsure", "unsure2").mapInArrow(spread, "block long, probe byte, fp long, fp2 long")
-    found = keyed.repartition("block").sortWithinPartitions("block", "probe").mapInArrow(scan, "a1 long, a2 long, b1 long, b2 long").distinct()
+    found = keyed.repartition("block").sortWithinPartitions("block", "probe", "fp", "fp2").mapInArrow(scan, "a1 long, a2 long, b1 long, b2 long").distinct()
     pair = lambda x, y: F.struct(F.col(x).alias("fp"), F.col(y).alias("fp2"))
     groups = connected_components(found.select(pair("a1", "a2").alias("a"), pair("b1", "b2").alias("b")))
     groups = groups.select("node.fp", "node.fp2", "component")
