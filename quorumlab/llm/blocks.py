@@ -13,8 +13,8 @@ from quorumlab.session import cut
 
 #: Queries that reach the driver and each task at once.
 QUERIES_AT_ONCE = 4096
-#: Tasks that share the queries of a part for each block.
-SLICES = 6
+#: Tasks that share the queries of a part for each block, at most, where there are fewer blocks than cores.
+SLICES = 8
 
 
 def build_blocks(rows: DataFrame, block_rows: int, build: Callable[[pa.Table], dict[str, bytes]], names: list[str]) -> DataFrame:
@@ -44,7 +44,8 @@ def build_blocks(rows: DataFrame, block_rows: int, build: Callable[[pa.Table], d
         if held:
             yield close()
 
-    dealt = rows.repartition(max(1, -(-n // block_rows)), F.xxhash64(rows.columns[0]))
+    # Dealt by turns and not by a key: the number of blocks follows the rows alone, and no key is hot.
+    dealt = rows.repartition(max(1, -(-n // block_rows)))
     return cut(dealt.mapInArrow(make, ", ".join(f"{x} binary" for x in names)))
 
 
@@ -59,7 +60,10 @@ def search_blocks(index: DataFrame, queries: DataFrame, search: Callable[[dict[s
     parts = max(1, -(-n // QUERIES_AT_ONCE))
     part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     kind = "double" if score == "double" else "int"
-    dealt = index.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartition(F.col("__slice"), F.xxhash64(index.columns[0]))
+    slices = max(1, min(SLICES, -(-spark.sparkContext.defaultParallelism // max(1, index.count()))))
+    dealt = index.withColumn("__slice", F.lit(0))
+    if slices > 1:
+        dealt = index.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(F.col("__slice"), F.xxhash64(index.columns[0]))
 
     def found(number: int) -> DataFrame:
         table = queries.where(part == number).toArrow().combine_chunks()
@@ -69,7 +73,7 @@ def search_blocks(index: DataFrame, queries: DataFrame, search: Callable[[dict[s
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
-                    mine = shared.value.take(np.arange(row.pop("__slice"), shared.value.num_rows, SLICES))
+                    mine = shared.value.take(np.arange(row.pop("__slice"), shared.value.num_rows, slices))
                     for ids, rows, scores in search(row, mine):
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
