@@ -300,6 +300,26 @@ def _wide_links(run: np.ndarray, base: np.ndarray, a: np.ndarray, b: np.ndarray,
     return (np.concatenate(src), np.concatenate(dst)) if src else (empty, empty)
 
 
+def _joins(src: list[tuple[int, int]], dst: list[tuple[int, int]], parent: dict[tuple[int, int], tuple[int, int]]) -> np.ndarray:
+    """Which links join two trees of the task's forest, held in parent by linked nodes alone; the others say nothing new."""
+
+    def find(v: tuple[int, int]) -> tuple[int, int]:
+        root = v
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while v != root:
+            parent[v], v = root, parent.get(v, v)
+        return root
+
+    out = np.zeros(len(src), bool)
+    for i, (p, q) in enumerate(zip(src, dst, strict=True)):
+        p, q = find(p), find(q)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out[i] = True
+    return out
+
+
 def most_bits(similarity: float, bits: int = 2 * BITS) -> int:
     """Differing bits up to which a Jaccard similarity of shingle sets is estimated to be reached.
 
@@ -315,7 +335,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     So many bits may differ at that similarity that no two whole blocks of a useful width need agree.
     So a fingerprint also goes to the buckets that it reaches by flipping the bits of a block which its
     text decided least clearly, for these are the bits that an edit turns over; what meets in a bucket
-    is verified on all 128 bits. Equal fingerprints are one node, dense buckets give spanning forests.
+    is verified on all 128 bits. Equal fingerprints are one node, and each task gives a spanning forest of the
+    links in its buckets, for which it remembers the linked nodes.
     """
     most = most_bits(similarity)
 
@@ -339,18 +360,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, k) for k in (np.int64, np.int8, np.int64, np.int64)]
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
             cols = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
             if len(cols[0]):
                 last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
                 held = [c[last:] for c in cols]
-                yield from emit([c[:last] for c in cols])
-        yield from emit(held)
+                yield from emit([c[:last] for c in cols], parent)
+        yield from emit(held, parent)
 
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def emit(cols: list[np.ndarray], parent: dict[tuple[int, int], tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         run, probe, a, b = cols
         if len(run):
             x, y = _wide_links(run, probe == 0, a.view(np.uint64), b.view(np.uint64), most)
+            new = _joins(list(zip(a[x].tolist(), b[x].tolist(), strict=True)), list(zip(a[y].tolist(), b[y].tolist(), strict=True)), parent)
+            x, y = x[new], y[new]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[x], b[x], a[y], b[y])], names=["a1", "a2", "b1", "b2"])
 
