@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlab.llm import langid, packing, simhash, toxicity
+from quorumlab.llm import langid, nearcopies, packing, toxicity
 from quorumlab.llm.chunks import vocabulary_path
 
 
@@ -28,8 +28,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near copies by five-word shingles."""
-    return simhash.drop_near_copies(docs)
+    """One document, of the smallest doc_id, of each group of near copies: Jaccard similarity of five-word shingles from 0.8, chained."""
+    return nearcopies.drop_jaccard_copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
