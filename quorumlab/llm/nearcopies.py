@@ -198,8 +198,10 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, chained.
+def _labelled(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, kept): kept is the (none, doc_id, text_hash) of the one document of its group that stays.
+
+    Groups are of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, chained.
 
     Exact, on hashes of 64 bits: no pair of that similarity is missed and none below it links. Equal sets are one
     node. A node goes to the bucket of each shingle of its prefix (see _prefix); what meets there and may be similar
@@ -230,7 +232,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     prints = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     prints = cut(prints.mapInArrow(describe, f"doc_id {kind}, text_hash long, node long, n int, prefix array<long>"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("text_hash").alias("text_hash")))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, pairs = ["token", "a", "b", "n", "place"], _Pairs()
@@ -270,14 +272,31 @@ def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         links = cut(links.unionByName(_similar_pairs(cut(more.join(asked, ["a", "b"], "left_anti")), nodes, docs, words, similarity)))
     groups = connected_components(links)
     rooted = cut(nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    return prints.select("doc_id", "text_hash", "node").join(rooted.join(kept, "root").select("node", "kept"), "node").select("doc_id", "text_hash", "kept")
+
+
+def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of its group; null if the group has none."""
+    return _labelled(docs, words, similarity).select("doc_id", F.col("kept.doc_id").alias("component_id"))
 
 
 def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, left of each group of near copies.
+    """docs with one row, of the smallest doc_id, left of each group of near copies.
 
-    Documents without a doc_id stay. Columns of any names pass through.
+    Texts under one doc_id are judged apart. A group without a doc_id keeps the smallest hash of a text. Of rows that
+    repeat the kept doc_id and text the smallest stays, by all columns in order.
     """
-    goes = jaccard_groups(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(goes, docs["doc_id"] == goes["__gone"], "left_anti")
+    rows = _labelled(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    judged = cut(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), stays.alias("__stays"), (F.col("n") > 1).alias("__again")).where("not __stays or __again"))
+
+    def same(of: DataFrame):
+        return docs["doc_id"].eqNullSafe(of["__id"]) & (F.xxhash64(docs["text"]) == of["__text"])
+
+    single = docs.join(judged, same(judged), "left_anti")
+    again = judged.where("__stays")
+    if again.isEmpty():
+        return single
+    repeated = docs.join(again, same(again)).groupBy("__id", "__text").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
+    return single.unionByName(repeated.select("r.*"))

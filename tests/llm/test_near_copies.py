@@ -70,3 +70,12 @@ def test_documents_equal_brute_force_jaccard(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = brute_groups(texts)
     assert {r.doc_id for r in corpus_pipeline.remove_near_copies(spark, docs, sf_dir).collect()} == {i for i in want if want[i] == i}
+
+
+def test_one_row_stays_of_repeated_rows_and_null_ids(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(7, a, "y"), (7, a, "x"), (9, a, "w"), (7, b, "v"), (None, b, "u"), (None, c, "t"), (None, c, "s"), (None, None, "r"), (None, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(((r.doc_id, r.text, r.source) for r in nearcopies.drop_jaccard_copies(docs).collect()), key=str)
+    assert [k for k in kept if k[1]] == sorted([(7, a, "x"), (7, b, "v"), (None, c, "s")], key=str)
+    assert len(kept) == 4
