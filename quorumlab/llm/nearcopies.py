@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,7 +174,13 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("node", "text_hash")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = cut(texts.join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t, 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "text"])
+
+    texts = texts.join(wanted, "text_hash").select("node", "text").mapInArrow(pack, "node long, text binary")
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -182,7 +189,7 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
             if node not in sets:
                 if len(sets) >= SETS_HELD:
                     sets.clear()
-                sets[node] = shingle_set(text, words)
+                sets[node] = shingle_set(zlib.decompress(text), words)
             return sets[node]
 
         for batch in batches:
