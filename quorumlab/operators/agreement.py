@@ -118,9 +118,10 @@ def theta_sweep(edges: DataFrame, nodes: DataFrame, thetas: list[float]) -> Data
     """
     spark = edges.sparkSession
     steps = F.broadcast(spark.createDataFrame([(float(x),) for x in thetas], "theta double"))
-    label = lambda c: F.struct(F.col("theta"), F.col(c).alias("src"))
+    label = lambda c: F.concat_ws("|", F.col("theta").cast("string"), F.col(c).cast("string"))
     linked = edges.join(steps, F.col("weighted_mae") < F.col("theta")).select(label("gi").alias("a"), label("gj").alias("b"))
-    found = connected_components(linked).select(F.col("node.theta").alias("theta"), F.col("node.src").alias("src"), F.col("component.src").alias("component"))
+    after = lambda c: F.expr(f"substring({c}, locate('|', {c}) + 1)")
+    found = connected_components(linked).select(F.substring_index("node", "|", 1).cast("double").alias("theta"), after("node").alias("src"), after("component").alias("component"))
     every = nodes.select("src").distinct().withColumn("theta", F.explode(F.array(*[F.lit(float(x)) for x in thetas])))
     labelled = every.join(found, ["theta", "src"], "left").select("theta", F.coalesce("component", "src").alias("component"))
     sizes = labelled.groupBy("theta", "component").agg(F.count("*").alias("size"))

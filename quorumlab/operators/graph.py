@@ -1,42 +1,105 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by contraction in tasks and alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quorumlab.session import cut
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
-    return row["n"], row["h"] or 0
+#: Edges that a task contracts at once; bounds its memory.
+EDGES_AT_ONCE = 1 << 20
+#: Keys over which the edges of one node are spread.
+SALTS = 32
+
+
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """How many edges, a sum of their hashes, and the number of the last partition that has any."""
+    marked = edges.select(F.xxhash64("hi", "lo").alias("h"), F.spark_partition_id().alias("p"))
+    row = marked.agg(F.count("*").alias("n"), F.bit_xor("h").alias("h"), F.max("p").alias("p")).first()
+    return row["n"], row["h"] or 0, row["p"] or 0
+
+
+def stars(hi: pa.Array, lo: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The same components as edges from each node to its component's smallest."""
+    both = pa.chunked_array([hi, lo]).combine_chunks().dictionary_encode()
+    both = both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both
+    order = pc.sort_indices(both.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    u, v = np.split(place[both.indices.to_numpy(zero_copy_only=False)], [len(hi)])
+    root = np.arange(len(order))
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # a root hangs under a smaller one
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    values = both.dictionary.take(order)
+    hung = np.flatnonzero(root != np.arange(len(root)))
+    return values.take(pa.array(hung)), values.take(pa.array(root[hung]))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Each task's edges, EDGES_AT_ONCE at a time, as stars: not more edges, and the same components."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= EDGES_AT_ONCE:
+                yield from made(held)
+                held, size = [], 0
+        if size:
+            yield from made(held)
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        hi, lo = (table.column(i).chunk(0) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays(list(stars(hi, lo)), schema=table.schema)
+
+    return edges.mapInArrow(contract, edges.schema)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Each round hangs all neighbours of a node under the smallest one (large star), then all
-    smaller neighbours under the smallest (small star). Edges never outgrow their number at
-    the start, rounds grow with the logarithm of the diameter, and every round is cut by a
-    checkpoint. Nulls and loops are dropped; no edges give an empty frame.
+    Nodes are numbers or strings. Each task first contracts the edges that it holds to stars, which
+    settles what fits into one task. Where edges fill more, rounds follow: all neighbours of a
+    node hang under the smallest one (large star), then all smaller neighbours under the smallest
+    (small star), then tasks contract again. Edges never outgrow their number at the start, rounds
+    grow with the logarithm of the diameter, and every round is cut by a checkpoint. A node's
+    edges are spread over SALTS keys, so no task takes all of a hub's. Nulls and loops are dropped;
+    no edges give an empty frame.
     """
     x, y = F.col(a), F.col(b)
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y))
-    e = cut(e.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct())
+    e = cut(_contracted(e.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct()))
     state = _state(e)
-    for _ in range(max_rounds if state[0] else 0):
+    for _ in range(max_rounds):
+        if state[2] == 0 and state[0] < EDGES_AT_ONCE:
+            break  # one task had them all at once
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        salted = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        least = salted.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+        least = least.select("u", F.least("u", "m").alias("m"), F.explode("salts").alias("salt"))
+        large = both.where("v > u").join(least, ["u", "salt"]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         roots = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(roots, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = cut(small.unionAll(roots.select("hi", F.col("m").alias("lo"))).distinct())
-        if (now := _state(e)) == state:
+        e = cut(_contracted(small.unionAll(roots.select("hi", F.col("m").alias("lo"))).distinct()))
+        if (now := _state(e))[:2] == state[:2]:
             break
         state = now
     else:
-        if state[0]:
-            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
 
