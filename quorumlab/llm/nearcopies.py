@@ -1,16 +1,16 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles: prefixes, candidates, verified links."""
+"""Near copies: candidates by SimHash blocks and by prefixes, links by the exact Jaccard similarity of sets of word shingles."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quorumlab.llm.simhash import SEED, SMALL_RUN, shingle_hashes
+from quorumlab.llm.simhash import SEED, SMALL_RUN, bit_counts_of, fingerprint_links, majority, shingle_hashes
 from quorumlab.operators.graph import connected_components
 from quorumlab.session import cut
 
@@ -20,6 +20,10 @@ SAMPLE, COMMON_FROM, MOST_COMMON = 8192, 2, 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 #: Sets of texts that a task remembers between the pairs it verifies.
 SETS_HELD = 256
+#: Hashes of texts or sets that a task remembers, so as to give each of them once.
+HASHES_REMEMBERED = 1 << 20
+#: Nodes up to which a list of them (8 bytes each) is broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -169,33 +173,52 @@ class _Pairs:
         return out[np.concatenate(([True], (out[1:] != out[:-1]).any(axis=1)))]
 
 
-def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose whole shingle sets have the similarity: their texts are fetched and compared."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "text_hash")
+def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one text, compressed, of each of wanted(node, text_hash).
+
+    Where wanted is small (BROADCAST_ROWS, checked), other texts are left out before the shuffle. A task
+    gives a text once, so that copies of one text don't meet in a task by their number.
+    """
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    if wanted.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(wanted.select("text_hash")), "text_hash", "left_semi")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t, 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "text"])
+            hashes, fresh = batch.column(0).to_pylist(), []
+            for i, h in enumerate(hashes):
+                if h not in seen:
+                    fresh.append(i)
+                    seen.add(h)
+            if len(seen) >= HASHES_REMEMBERED:
+                seen.clear()
+            texts = batch.column(1).take(pa.array(fresh, pa.int64())).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([hashes[i] for i in fresh], pa.int64()), pa.array([press.compress(t or b"") for t in texts], pa.binary())], names=["text_hash", "text"])
+
+    packed = texts.mapInArrow(pack, "text_hash long, text binary")
+    return cut(packed.join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
 
-    texts = texts.join(wanted, "text_hash").select("node", "text").mapInArrow(pack, "node long, text binary")
-    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose whole shingle sets, of texts(node, text), have the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
+        unpress = zstandard.ZstdDecompressor()
 
-        def of(node: int, text: bytes) -> np.ndarray:
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
             if node not in sets:
                 if len(sets) >= SETS_HELD:
                     sets.clear()
-                sets[node] = shingle_set(zlib.decompress(text), words)
+                sets[node] = shingle_set(unpress.decompress(text.as_py()), words)
             return sets[node]
 
         for batch in batches:
             kept = []
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                x, y = of(a, batch.column(2)[i].as_py()), of(b, batch.column(3)[i].as_py())
+                x, y = of(a, batch.column(2)[i]), of(b, batch.column(3)[i])
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both) - 1e-9:
                     kept.append(i)
@@ -205,96 +228,143 @@ def _similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"))
 
 
-def _labelled(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints lie within the radius: fingerprints that share blocks, verified, as in
+    simhash.fingerprint_links, and sets of one fingerprint with the smallest of them."""
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = nodes.join(by_print, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(by_print.select("fp"), radius)
+    for end in ("a", "b"):
+        near = near.join(by_print.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_rep")), end).drop(end)
+    both = same.unionAll(near.select("a_rep", "b_rep"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs(a, b) that groups(node, component) have already joined."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group")), end)
+    return pairs.where("a_group = b_group").select("a", "b")
+
+
+def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
     """(doc_id, text_hash, kept): kept is the (none, doc_id, text_hash) of the one document of its group that stays.
 
     Groups are of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, chained.
 
     Exact, on hashes of 64 bits: no pair of that similarity is missed and none below it links. Equal sets are one
-    node. A node goes to the bucket of each shingle of its prefix (see _prefix); what meets there and may be similar
-    is a candidate, whose texts are compared. Large buckets are gone through twice: first with one set of theirs,
-    then with what the links found so far have not joined, so a dense group never becomes all its pairs. Null and
-    empty texts have the empty set, one node that links to no other.
+    node. Candidates come from the SimHash of each text first: fingerprints within `radius` bits by shared blocks.
+    Sets of the similarity can lie much further apart than any radius that blocks can cover, so a node also goes to
+    the bucket of each shingle of its prefix (see _prefix); what meets there, may be similar and isn't yet in one
+    group is a candidate too. Every candidate's texts are compared as whole sets. Large buckets are gone through
+    twice: first with one set of theirs, then with what the links found so far have not joined, so a dense group
+    never becomes all its pairs. Null and empty texts have the empty set, one node that links to no other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_most_common(docs, words))  # bounded by MOST_COMMON
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                node, n, prefix = [], [], []
-                for text in part.column(2).to_pylist():
-                    s = shingle_set(text, words)
-                    node.append(_digest(s))
-                    n.append(len(s))
-                    prefix.append(_prefix(s, common.value, similarity).view(np.int64) if node[-1] not in seen else np.empty(0, np.int64))
-                    if len(seen) >= 1 << 20:
-                        seen.clear()
-                    seen.add(node[-1])  # a task gives the prefix of a set once
-                edges = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "text_hash", "node", "n", "prefix"])
+                part, node, n = batch.slice(at, 512), [], []
+
+                def hashes(texts: list[bytes | None]) -> Iterator[np.ndarray | None]:
+                    for text in texts:
+                        pieces = list(shingle_hashes(text, words))
+                        s = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+                        node.append(_digest(s))
+                        n.append(len(s))
+                        yield from pieces
+                        yield None
+
+                fp = majority(*bit_counts_of(hashes(part.column(2).to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(fp)], names=["doc_id", "text_hash", "node", "fp"])
 
     prints = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    prints = cut(prints.mapInArrow(describe, f"doc_id {kind}, text_hash long, node long, n int, prefix array<long>"))
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("text_hash").alias("text_hash")))
+    prints = cut(prints.mapInArrow(describe, f"doc_id {kind}, text_hash long, node long, fp long"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"))
+    nodes = cut(nodes)
+    close = cut(_simhash_pairs(nodes, radius))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                token, node, size = [], [], []
+                for text in batch.column(0).slice(at, 512).to_pylist():
+                    s = shingle_set(text, words)
+                    if (name := _digest(s)) not in seen:  # a task gives the prefix of a set once
+                        seen.add(name)
+                        token.append(_prefix(s, common.value, similarity).view(np.int64))
+                        node.append(np.full(len(token[-1]), name))
+                        size.append((np.int64(len(s)) << 32) | np.arange(len(token[-1])))
+                if len(seen) >= HASHES_REMEMBERED:
+                    seen.clear()
+                if token:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, size, node)], names=["token", "size", "node"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, pairs = ["token", "a", "b", "n", "place"], _Pairs()
+        names, pairs = ["token", "a", "b", "size"], _Pairs()
 
         def batch_of(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             if p is not None:
-                none = pa.nulls(len(p), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), none, none], names=names)
+                none = pa.nulls(len(p), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), none], names=names)
 
-        for token, n, node, place in _runs(batches, 4):
-            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies of one set
-            token, n, node, place = (c[fresh] for c in (token, n, node, place))
-            x, y, long_ = _first_pairs(token, n, place, similarity)
+        for token, size, node in _runs(batches, 3):
+            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1])))  # copies of one set
+            token, size, node = (c[fresh] for c in (token, size, node))
+            x, y, long_ = _first_pairs(token, size >> 32, size & 0xFFFFFFFF, similarity)
             yield from batch_of(pairs.add(node[x], node[y]))
             if len(long_):
-                yield pa.RecordBatch.from_arrays([pa.array(token[long_]), pa.array(node[long_]), pa.nulls(len(long_), pa.int64()), pa.array(n[long_]), pa.array(place[long_])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(token[long_]), pa.array(node[long_]), pa.nulls(len(long_), pa.int64()), pa.array(size[long_])], names=names)
         yield from batch_of(pairs.take())
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs()
-        for token, n, node, place, label in _runs(batches, 5):
-            x, y = _other_pairs(token, n, place, label, similarity)
-            if (p := pairs.add(node[x], node[y])) is not None:
+
+        def batch_of(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            if p is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
-        if (p := pairs.take()) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
-
-    dealt = prints.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "n", "node", "place")
-    found = cut(dealt.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(first, "token long, a long, b long, n int, place int"))
-    asked = cut(found.where("token is null").select("a", "b").distinct())
-    links = _similar_pairs(asked, nodes, docs, words, similarity)
-    long_ = found.where("token is not null").select("token", "n", F.col("a").alias("node"), "place")
+
+        for token, size, node, label in _runs(batches, 4):
+            x, y = _other_pairs(token, size >> 32, size & 0xFFFFFFFF, label, similarity)
+            yield from batch_of(pairs.add(node[x], node[y]))
+        yield from batch_of(pairs.take())
+
+    dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(spread, "token long, size long, node long")
+    found = cut(dealt.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(first, "token long, a long, b long, size long"))
+    asked = cut(found.where("token is null").select("a", "b").distinct().join(close, ["a", "b"], "left_anti"))
+    long_ = found.where("token is not null").select("token", "size", F.col("a").alias("node"))
+    met = close.unionAll(asked).select(F.explode(F.array("a", "b")).alias("node")).unionAll(long_.select("node")).distinct()
+    texts = _texts_of(cut(nodes.join(met, "node", "left_semi").select("node", "text_hash")), docs)
+    links = _similar_pairs(close, texts, words, similarity)
+    open_ = asked.join(_joined(asked, connected_components(links)), ["a", "b"], "left_anti")
+    links = links.unionAll(_similar_pairs(open_, texts, words, similarity))
     if not long_.isEmpty():
         groups = connected_components(links)
-        labelled = long_.join(groups, "node", "left").select("token", "n", "node", "place", F.coalesce("component", "node").alias("label"))
-        more = labelled.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(others, "a long, b long").distinct()
-        links = cut(links.unionByName(_similar_pairs(cut(more.join(asked, ["a", "b"], "left_anti")), nodes, docs, words, similarity)))
+        labelled = long_.join(groups, "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("label"))
+        more = labelled.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(others, "a long, b long").distinct()
+        more = more.join(asked.unionAll(close), ["a", "b"], "left_anti")
+        links = links.unionAll(_similar_pairs(more, texts, words, similarity))
     groups = connected_components(links)
     rooted = cut(nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     return prints.select("doc_id", "text_hash", "node").join(rooted.join(kept, "root").select("node", "kept"), "node").select("doc_id", "text_hash", "kept")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id of its group; null if the group has none."""
-    return _labelled(docs, words, similarity).select("doc_id", F.col("kept.doc_id").alias("component_id"))
+    return _labelled(docs, words, similarity, radius).select("doc_id", F.col("kept.doc_id").alias("component_id"))
 
 
-def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """docs with one row, of the smallest doc_id, left of each group of near copies.
 
     Texts under one doc_id are judged apart. A group without a doc_id keeps the smallest hash of a text. Of rows that
     repeat the kept doc_id and text the smallest stays, by all columns in order.
     """
-    rows = _labelled(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    rows = _labelled(docs, words, similarity, radius).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     judged = cut(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), stays.alias("__stays"), (F.col("n") > 1).alias("__again")).where("not __stays or __again"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ BITS = 64
 HASHES_AT_ONCE = 1 << 18
 #: Rows of a block up to which all its pairs are compared by shifted arrays.
 SMALL_RUN = 24
+#: Rows of a block from which it is parted further, and how often at most.
+LONG_RUN, DEEPEST = 1024, 3
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -59,52 +61,50 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _counts(texts: list[bytes | None], words: int, remix: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: how often each bit is set in its shingle hashes (or in a second hash made of each), and how many hashes there are."""
-    counts = np.zeros((len(texts), BITS * (1 + remix)), np.int64)
-    totals = np.zeros(len(texts), np.int64)
+def bit_counts_of(hashes: Iterable[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, which ends with a None: how often each bit is set in its hashes, and how many hashes there are."""
+    counts, totals = [], []
     waiting: list[np.ndarray] = []
     owners: list[int] = []
+    held = number = 0
 
     def flush() -> None:
         if waiting:
-            starts, hashes = np.cumsum([0, *map(len, waiting[:-1])]), np.concatenate(waiting)
-            np.add.at(counts[:, :BITS], owners, bit_counts(hashes, starts))
-            if remix:
-                np.add.at(counts[:, BITS:], owners, bit_counts(_remixed(hashes), starts))
+            starts = np.cumsum([0, *map(len, waiting[:-1])])
+            for i, row, n in zip(owners, bit_counts(np.concatenate(waiting), starts), map(len, waiting), strict=True):
+                counts[i] += row
+                totals[i] += n
         waiting.clear()
         owners.clear()
 
-    held = 0
-    for i, text in enumerate(texts):
-        for hashes in shingle_hashes(text, words):
-            waiting.append(hashes)
-            owners.append(i)
-            totals[i] += len(hashes)
-            if (held := held + len(hashes)) >= HASHES_AT_ONCE:
-                flush()
-                held = 0
+    for part in hashes:
+        if number == len(counts):
+            counts.append(np.zeros(BITS, np.int64))
+            totals.append(0)
+        if part is None:
+            number += 1
+            continue
+        waiting.append(part)
+        owners.append(number)
+        if (held := held + len(part)) >= HASHES_AT_ONCE:
+            flush()
+            held = 0
     flush()
-    return counts, totals
+    return np.array(counts).reshape(-1, BITS), np.array(totals, np.int64)
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    """A second hash of what was hashed: the splitmix64 finaliser of the first."""
-    with np.errstate(over="ignore"):
-        z = hashes + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def majority(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Fingerprints as int64: a bit is 1 if set in over half the hashes."""
+    return _packed(2 * counts > totals[:, None])
 
 
 def fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
     """The fingerprint of each text as int64: a bit is 1 if set in over half the shingle hashes."""
-    counts, totals = _counts(texts, words)
-    return _packed(2 * counts > totals[:, None])
+    return majority(*bit_counts_of(part for text in texts for part in chain(shingle_hashes(text, words), (None,))))
 
 
 def fingerprint_column(text: str = "text", words: int = 3):
@@ -151,8 +151,18 @@ def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(src), np.concatenate(dst)) if src else (empty, empty)
 
 
-def _links(run: np.ndarray, values: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links within each run of equal block keys: all pairs of a short run, a forest of a long one."""
+def _parts_of(values: np.ndarray, radius: int) -> list[np.uint64]:
+    """Masks that share out the bits in which values differ; values within the radius agree on one mask at least."""
+    varying = int(np.bitwise_or.reduce(values ^ values[0]))
+    bits = [b for b in range(BITS) if varying >> b & 1]
+    return [np.uint64(sum(1 << b for b in bits[i :: radius + 1])) for i in range(radius + 1)] if len(bits) > radius else []
+
+
+def _links(run: np.ndarray, values: np.ndarray, radius: int, depth: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links within each run of equal block keys: all pairs of a short run, a forest of a long one.
+
+    A very long run is parted first by the bits that still differ in it, so that values without links aren't all compared.
+    """
     bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True])))
     sizes = np.diff(bounds)
     src, dst = [], []
@@ -163,9 +173,18 @@ def _links(run: np.ndarray, values: np.ndarray, radius: int) -> tuple[list[np.nd
         src.append(v[:-d][near])
         dst.append(v[d:][near])
     for i in np.flatnonzero(sizes > SMALL_RUN):
-        s, t = _forest(values[bounds[i] : bounds[i + 1]], radius)
-        src.append(s)
-        dst.append(t)
+        mine = values[bounds[i] : bounds[i + 1]]
+        masks = _parts_of(mine, radius) if len(mine) > LONG_RUN and depth < DEEPEST else []
+        for mask in masks:
+            key = mine & mask
+            order = np.argsort(key, kind="stable")
+            s, t = _links(key[order], mine[order], radius, depth + 1)
+            src += s
+            dst += t
+        if not masks:
+            s, t = _forest(mine, radius)
+            src.append(s)
+            dst.append(t)
     return src, dst
 
 
@@ -217,181 +236,3 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
-
-
-#: Blocks of a double fingerprint: three in either half, of these many bits.
-WIDE_BLOCKS = [(half, 21 * i, 21 * (i + 1)) for half in (0, 1) for i in range(3)]
-#: Bits of a block that may be flipped to reach another document's block: the least certain ones.
-FLIPS = 5
-
-
-def double_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two fingerprints of each text from two hashes of its shingles, and a mask with each: the
-    FLIPS bits of each block whose counts lie nearest to one half, ties to the lower bit."""
-    counts, totals = _counts(texts, words, remix=True)
-    margin = np.abs(2 * counts - totals[:, None])
-    prints, masks = [], []
-    for half in (0, 1):
-        mine = slice(BITS * half, BITS * (half + 1))
-        unsure = np.zeros((len(texts), BITS), bool)
-        for h, lo, hi in WIDE_BLOCKS:
-            if h == half:
-                least = np.argsort(margin[:, mine][:, lo:hi], axis=1, kind="stable")[:, :FLIPS] + lo
-                np.put_along_axis(unsure, least, True, axis=1)
-        prints.append(_packed(2 * counts[:, mine] > totals[:, None]))
-        masks.append(_packed(unsure))
-    return prints[0], prints[1], masks[0], masks[1]
-
-
-def _wide_keys(prints: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys of each node (rows x blocks * 2**FLIPS), and which column is a block as it is."""
-    n, out = len(prints[0]), []
-    for number, (half, lo, hi) in enumerate(WIDE_BLOCKS):
-        inside = np.uint64(((1 << (hi - lo)) - 1) << lo)
-        block, rest = prints[half] & inside, masks[half] & inside
-        keys = block[:, None]
-        for _ in range(FLIPS):
-            bit = rest & (~rest + np.uint64(1))  # the lowest bit left
-            rest = rest ^ bit
-            keys = np.concatenate((keys, keys ^ bit[:, None]), axis=1)
-        out.append((keys >> np.uint64(lo)) | np.uint64(number << 32))
-    base = np.zeros((len(WIDE_BLOCKS), 1 << FLIPS), bool)
-    base[:, 0] = True
-    return np.stack(out, axis=1).reshape(n, -1).view(np.int64), base.reshape(-1)
-
-
-def _wide_links(run: np.ndarray, base: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked rows within each run: whole blocks, which come first, against all rows after them.
-
-    A row's first link is given, and of its others those to blocks that don't have the same first
-    link: these would say nothing new, and in a dense group they are almost all pairs.
-    """
-    bounds = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True])))
-    sizes = np.diff(bounds)
-    whole = np.add.reduceat(base.astype(np.int64), bounds[:-1])
-    src, dst = [], []
-    small = (whole > 0) & (sizes > 1) & (whole <= SMALL_RUN)
-    at = np.flatnonzero(np.repeat(small, sizes))
-    first, count = np.repeat(bounds[:-1], sizes)[at], np.repeat(whole, sizes)[at]
-    parent = np.full(len(run), -1)
-    for j in range(int(whole[small].max(initial=0))):
-        other = first + j
-        ok = (j < count) & (other < at)
-        x, y = other[ok], at[ok]
-        near = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y]) <= most
-        x, y = x[near], y[near]
-        new = (parent[y] < 0) | (parent[y] != parent[x])
-        src.append(x[new])
-        dst.append(y[new])
-        parent[y] = np.where(parent[y] < 0, x, parent[y])
-    for i in np.flatnonzero(whole > SMALL_RUN):
-        rest = np.arange(bounds[i], bounds[i + 1])
-        while len(rest):  # a spanning forest, as in _forest
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                v = front.pop()
-                near = np.bitwise_count(a[rest] ^ a[v]).astype(np.int64) + np.bitwise_count(b[rest] ^ b[v]) <= most
-                if near.any():
-                    found, rest = rest[near], rest[~near]
-                    src.append(np.full(len(found), v))
-                    dst.append(found)
-                    front.extend(found)
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(src), np.concatenate(dst)) if src else (empty, empty)
-
-
-def _joins(src: list[tuple[int, int]], dst: list[tuple[int, int]], parent: dict[tuple[int, int], tuple[int, int]]) -> np.ndarray:
-    """Which links join two trees of the task's forest, held in parent by linked nodes alone; the others say nothing new."""
-
-    def find(v: tuple[int, int]) -> tuple[int, int]:
-        root = v
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while v != root:
-            parent[v], v = root, parent.get(v, v)
-        return root
-
-    out = np.zeros(len(src), bool)
-    for i, (p, q) in enumerate(zip(src, dst, strict=True)):
-        p, q = find(p), find(q)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out[i] = True
-    return out
-
-
-def most_bits(similarity: float, bits: int = 2 * BITS) -> int:
-    """Differing bits up to which a Jaccard similarity of shingle sets is estimated to be reached.
-
-    Sets of one size and Jaccard similarity J have the cosine 2 J / (1 + J), and a bit differs with a
-    chance of the angle over pi.
-    """
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents whose double fingerprints put their similarity at 0.8 or more, chained.
-
-    So many bits may differ at that similarity that no two whole blocks of a useful width need agree.
-    So a fingerprint also goes to the buckets that it reaches by flipping the bits of a block which its
-    text decided least clearly, for these are the bits that an edit turns over; what meets in a bucket
-    is verified on all 128 bits. Equal fingerprints are one node, and each task gives a spanning forest of the
-    links in its buckets, for which it remembers the linked nodes.
-    """
-    most = most_bits(similarity)
-
-    @F.arrow_udf("fp long, fp2 long, unsure long, unsure2 long")
-    def compute(batch: pa.Array) -> pa.Array:
-        parts = [double_fingerprints(batch.slice(at, 512).to_pylist(), words) for at in range(0, len(batch), 512)]
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
-        return pa.StructArray.from_arrays([pa.array(c) for c in cols], names=["fp", "fp2", "unsure", "unsure2"])
-
-    prints = cut(docs.select("doc_id", compute(F.col("text").cast("binary")).alias("p")).select("doc_id", "p.*"))
-    nodes = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least"), F.min("unsure").alias("unsure"), F.min("unsure2").alias("unsure2"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                fp, fp2, m, m2 = (batch.slice(at, 1024).column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "fp2", "unsure", "unsure2"))
-                keys, base = _wide_keys([fp, fp2], [m, m2])
-                many = keys.shape[1]
-                cols = [keys.reshape(-1), np.tile((~base).astype(np.int8), len(fp)), np.repeat(fp.view(np.int64), many), np.repeat(fp2.view(np.int64), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["block", "probe", "fp", "fp2"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, k) for k in (np.int64, np.int8, np.int64, np.int64)]
-        parent: dict[tuple[int, int], tuple[int, int]] = {}
-        for batch in batches:
-            cols = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-            if len(cols[0]):
-                last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
-                held = [c[last:] for c in cols]
-                yield from emit([c[:last] for c in cols], parent)
-        yield from emit(held, parent)
-
-    def emit(cols: list[np.ndarray], parent: dict[tuple[int, int], tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        run, probe, a, b = cols
-        if len(run):
-            x, y = _wide_links(run, probe == 0, a.view(np.uint64), b.view(np.uint64), most)
-            new = _joins(list(zip(a[x].tolist(), b[x].tolist(), strict=True)), list(zip(a[y].tolist(), b[y].tolist(), strict=True)), parent)
-            x, y = x[new], y[new]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[x], b[x], a[y], b[y])], names=["a1", "a2", "b1", "b2"])
-
-    keyed = nodes.select("fp", "fp2", "unsure", "unsure2").mapInArrow(spread, "block long, probe byte, fp long, fp2 long")
-    found = keyed.repartition("block").sortWithinPartitions("block", "probe", "fp", "fp2").mapInArrow(scan, "a1 long, a2 long, b1 long, b2 long").distinct()
-    pair = lambda x, y: F.struct(F.col(x).alias("fp"), F.col(y).alias("fp2"))
-    groups = connected_components(found.select(pair("a1", "a2").alias("a"), pair("b1", "b2").alias("b")))
-    groups = groups.select("node.fp", "node.fp2", "component")
-    rooted = cut(nodes.join(groups, ["fp", "fp2"], "left").select("fp", "fp2", "least", F.coalesce("component", F.struct("fp", "fp2")).alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "fp2", "component_id"), ["fp", "fp2"]).select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, left of each group of near copies.
-
-    Documents without a doc_id stay. Columns of any names pass through.
-    """
-    goes = similar_groups(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(goes, docs["doc_id"] == goes["__gone"], "left_anti")

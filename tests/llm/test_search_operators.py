@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from quorumlab.llm import annforest, hamming, simhash
+from quorumlab.llm import annforest, hamming, nearcopies, simhash
 
 
 def fingerprint(text, words):
@@ -86,6 +87,26 @@ def test_links_of_dense_fingerprints(spark):
     assert {v: find(v) for v in prints} == want
 
 
+def test_many_values_without_links_in_one_bucket(spark):
+    """100,000 values that agree in 40 bits and lie 4 bits apart or more but for planted pairs."""
+    rng = np.random.default_rng(6)
+    codes = rng.permutation(1 << 18)[:100_000].astype(np.uint64)
+    spread = np.zeros(len(codes), np.uint64)  # each of 18 data bits at its own place, and parity of halves
+    for b in range(18):
+        spread |= ((codes >> np.uint64(b)) & np.uint64(1)) << np.uint64(b)
+    for j in range(6):  # checksums keep most values apart
+        parity = np.bitwise_count(spread & np.uint64(0x3FFFF & (0x2D2D5 * (j + 3)))).astype(np.uint64) & np.uint64(1)
+        spread |= parity << np.uint64(18 + j)
+    run = np.zeros(len(spread), np.int64)
+    began = time.time()
+    src, dst = simhash._links(run, spread, 1)
+    assert time.time() - began < 20
+    got = set(zip(np.concatenate(src).tolist(), np.concatenate(dst).tolist(), strict=True))
+    have = set(spread.tolist())
+    linked = {v for v in have if any(v ^ 1 << b in have for b in range(24))}
+    assert {x for pair in got for x in pair} == linked
+
+
 def test_groups_equal_brute_force(spark, sf_dir, odd_docs, no_docs):
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs):
         texts = {r.doc_id: r.text for r in docs.collect()}
@@ -98,7 +119,7 @@ def test_groups_equal_brute_force(spark, sf_dir, odd_docs, no_docs):
 
 
 def test_one_document_of_each_group_stays(spark, odd_docs):
-    kept = simhash.drop_near_copies(odd_docs)
+    kept = nearcopies.drop_jaccard_copies(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = sorted(r.doc_id for r in kept.collect())
     assert 1 in ids and 2 not in ids and 7 in ids and sum(i in ids for i in (3, 4, 5)) == 1
