@@ -14,7 +14,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
 
 #: Chunks that a memo holds before it drops the later half; bounds a worker's memory.
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 500_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
 

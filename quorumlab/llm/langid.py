@@ -16,7 +16,7 @@ ORDER = 5
 SPACE = 32
 UNKNOWN = "und"
 #: Symbols handled at once; bounds memory for a text of any length.
-SYMBOLS_AT_ONCE = 1 << 20
+SYMBOLS_AT_ONCE = 1 << 18
 #: Bound on the labelled sample: about this many documents of each language fit the models.
 SAMPLE_PER_LANGUAGE = 400
 #: Share of clean documents of a language that calibration may let the rejection take.

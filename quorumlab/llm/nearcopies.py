@@ -21,7 +21,7 @@ PAIRS_AT_ONCE = 1 << 18
 #: Sets of texts that a task remembers between the pairs it verifies.
 SETS_HELD = 256
 #: Hashes of texts or sets that a task remembers, so as to give each of them once.
-HASHES_REMEMBERED = 1 << 20
+HASHES_REMEMBERED = 1 << 17
 #: Nodes up to which a list of them (8 bytes each) is broadcast.
 BROADCAST_ROWS = 1 << 20
 

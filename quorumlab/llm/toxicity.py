@@ -29,7 +29,7 @@ PRIOR_RANGE = (0.005, 0.6)
 LEVELS = (1, 2, 4)
 BEGINNINGS = (4, 5, 6, 7)
 #: Words remembered by a worker before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
