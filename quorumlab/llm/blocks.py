@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quorumlab.session import cut
 
-#: Queries that reach the driver and each task at once.
+#: Queries of a part, at most: what a task holds at once beside a block.
 QUERIES_AT_ONCE = 4096
-#: Tasks that share the queries of a part for each block, at most, where there are fewer blocks than cores.
+#: Tasks that share the queries of a block, at most, where there are fewer blocks than cores.
 SLICES = 8
 
 
 def build_blocks(rows: DataFrame, block_rows: int, build: Callable[[pa.Table], dict[str, bytes]], names: list[str]) -> DataFrame:
-    """An index of one row for each block of about block_rows rows; build makes its columns (all binary).
+    """(block, data): an index of one row for each block of about block_rows rows; build makes its columns (all binary).
 
     Each task builds the blocks of the rows it was dealt; what it holds is bounded by two blocks.
     """
     n = rows.count()
-    schema = pa.schema([(x, pa.binary()) for x in names])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -31,7 +31,7 @@ def build_blocks(rows: DataFrame, block_rows: int, build: Callable[[pa.Table], d
 
         def close() -> pa.RecordBatch:
             made = build(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array([made[x]], pa.binary()) for x in names], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([[made[x] for x in names]], pa.list_(pa.binary()))], names=["data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
@@ -46,42 +46,60 @@ def build_blocks(rows: DataFrame, block_rows: int, build: Callable[[pa.Table], d
 
     # Dealt by turns and not by a key: the number of blocks follows the rows alone, and no key is hot.
     dealt = rows.repartition(max(1, -(-n // block_rows)))
-    return cut(dealt.mapInArrow(make, ", ".join(f"{x} binary" for x in names)))
+    return cut(dealt.mapInArrow(make, "data array<binary>").select(F.monotonically_increasing_id().alias("block"), "data"))
 
 
-def search_blocks(index: DataFrame, queries: DataFrame, search: Callable[[dict[str, bytes], pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], k: int, score: str) -> DataFrame:
+def _packed(queries: DataFrame, parts: int, slices: int) -> DataFrame:
+    """(slice, data): the queries in about `parts` rows of Arrow bytes, dealt to slices by turns."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES_AT_ONCE):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, QUERIES_AT_ONCE))
+                data = pa.array([[sink.getvalue().to_pybytes()]], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([number % slices], pa.int32()), data], names=["slice", "data"])
+
+    return cut(queries.repartition(parts).mapInArrow(pack, "slice int, data array<binary>"))
+
+
+def search_blocks(
+    index: DataFrame, queries: DataFrame, names: list[str], prepare: Callable[[dict[str, bytes]], Any],
+    search: Callable[[Any, pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], k: int, score: str,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of all blocks for each query.
 
-    search gives (query ids, row ids, scores) of a block's best; the lower score, then the
-    smaller id, is the better. queries(query_id, ...) come in parts of about QUERIES_AT_ONCE.
+    prepare makes a block's row usable, once for all its queries; search gives (query ids, row ids, scores) of
+    the block's best for a part of the queries. The lower score, then the smaller id, is the better, and an id that
+    several rows have counts once, with its best score. Blocks and parts meet by key: every part is sent to every
+    block's task, which streams the parts past the block; nothing comes to the driver and the plan is the same at every size.
     """
-    spark = index.sparkSession
-    n = queries.count()
-    parts = max(1, -(-n // QUERIES_AT_ONCE))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    n, blocks = queries.count(), max(1, index.count())
+    slices = max(1, min(SLICES, -(-index.sparkSession.sparkContext.defaultParallelism // blocks)))
+    parts = _packed(queries, max(1, slices, -(-n // QUERIES_AT_ONCE)), slices)
+    copies = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "data")
+    asked = index.select("block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    asked = asked.join(parts, "slice").select("block", "slice", F.lit(1).alias("kind"), "data")
     kind = "double" if score == "double" else "int"
-    slices = max(1, min(SLICES, -(-spark.sparkContext.defaultParallelism // max(1, index.count()))))
-    dealt = index.withColumn("__slice", F.lit(0))
-    if slices > 1:
-        dealt = index.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(F.col("__slice"), F.xxhash64(index.columns[0]))
-
-    def found(number: int) -> DataFrame:
-        table = queries.where(part == number).toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast(table)  # QUERIES_AT_ONCE rows, about
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
-                    mine = shared.value.take(np.arange(row.pop("__slice"), shared.value.num_rows, slices))
-                    for ids, rows, scores in search(row, mine):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-        return dealt.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-
-    every = reduce(DataFrame.unionAll, [found(i) for i in range(parts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column("data")[i].as_py()
+                if batch.column("kind")[i].as_py() == 0:
+                    block = prepare(dict(zip(names, data, strict=True)))
+                    continue
+                for ids, rows, scores in search(block, pa.ipc.open_stream(data[0]).read_all()):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    met = copies.unionAll(asked).repartition(2 * blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "kind")
+    every = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}").repartition("query_id")
+    once = every.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def distinct_rows(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +113,7 @@ def distinct_rows(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 def expand(best: np.ndarray, scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids, without the query's own, under distinct rows `best` that come with scores.
 
-    Only k + 1 ids of a distinct row can count, so copies cost no more than that.
+    ids holds an id once under each distinct row, so only k + 1 of a row can count and copies cost no more than that.
     """
     sizes = np.minimum(starts[best + 1] - starts[best], k + 1)
     inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -103,7 +121,7 @@ def expand(best: np.ndarray, scores: np.ndarray, ids: np.ndarray, starts: np.nda
     weight = np.repeat(scores, sizes)
     keep = rows != own
     rows, weight = rows[keep], weight[keep]
-    # Repeated rows of one id count once.
+    # An id under several distinct rows counts once.
     order = np.lexsort((rows, weight))
     rows, weight = rows[order], weight[order]
     once = np.sort(np.unique(rows, return_index=True)[1])[:k]

@@ -183,7 +183,7 @@ def test_forest_recall_and_exact_scores(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = table.where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "embedding")
     got = {}
-    for r in annforest.nearest(table, asked, 10, share=0.3, least=200, block_rows=1000).orderBy("query_id", "rank").collect():
+    for r in annforest.nearest(table, asked, 10, block_rows=1000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == set(range(0, 3000, 100))
     hits, w = 0, v.astype(np.float64)
@@ -197,3 +197,51 @@ def test_forest_recall_and_exact_scores(spark):
     few = annforest.nearest(table.where("vec_id < 4"), asked.where("query_id = 0"), 10).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert annforest.nearest(table.where("vec_id < 0"), asked, 10).count() == 0
+
+
+def test_forest_recall_without_structure_over_blocks(spark):
+    """Random directions, where hashes tell least; several blocks, each climbed in part."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sample = v[rng.permutation(6000)[:2000]]
+    hashes = annforest.Hashes(32, sample.mean(axis=0))
+    share = annforest.needed_share(sample, hashes, 10, 6000, 0.96)
+    assert 0.02 < share < 0.9 and share < annforest.needed_share(sample, hashes, 10, 2000, 0.96) + 0.05
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = table.where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "embedding")
+    got = {}
+    for r in annforest.nearest(table, asked, 10, block_rows=2000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 600 >= 0.9
+
+
+def test_repeated_rows_over_blocks_count_once(spark):
+    """Copies of a row, and an id with two vectors or codes, fall into different blocks."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 8))
+    rows = [(i, x.tolist(), "q", 1.0) for i, x in enumerate(v)] * 2 + [(5, v[0].tolist(), "q", 1.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score double")
+    asked = spark.createDataFrame([(0, v[0].tolist())] * 2, "query_id long, embedding array<double>")
+    got = annforest.nearest(table, asked, 10, block_rows=8).orderBy("rank").collect()
+    d = np.sqrt(((v - v[0]) ** 2).sum(axis=1))
+    d[5] = 0.0
+    assert [r.vec_id for r in got] == [int(i) for i in np.lexsort((np.arange(40), d)) if i != 0][:10] and got[0].score == 0.0
+    codes = [(i, 1 << i % 50) for i in range(60)] * 2 + [(59, 3)]
+    table = spark.createDataFrame(codes, "vec_id long, code long")
+    asked = spark.createDataFrame([(0, 1), (0, 1)], "query_id long, code long")
+    got = [(r.vec_id, r.distance) for r in hamming.hamming_top_k(table, asked, 10, block_rows=16).orderBy("rank").collect()]
+    assert got == [(50, 0), (59, 1)] + [(i, 2) for i in range(1, 9)]
+
+
+def test_searches_of_empty_tables(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
+    assert annforest.nearest(none, asked).count() == 0 and annforest.nearest(asked.selectExpr("query_id as vec_id", "embedding"), asked.where("query_id < 0")).count() == 0
+    codes = spark.createDataFrame([], "vec_id long, code long")
+    assert hamming.hamming_top_k(codes, codes.withColumnRenamed("vec_id", "query_id")).count() == 0
