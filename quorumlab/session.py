@@ -24,12 +24,29 @@ def build_session(app: str = "quorumlab", master: str | None = None, **conf: str
     return builder.config(map=defaults | conf).getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> None:
-    """Takes the cluster's spark.checkpoint.dir; sets one of its own only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(set_by_cluster or os.path.join(tempfile.gettempdir(), "quorumlab-checkpoints"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where none is set, one of its own on a local master, as in tests; on a cluster an error, since
+    a machine's own folder would lose what is written there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and found.isDefined():
+        folder = found.get()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "quorumlab-checkpoints")
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator has written, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,5 +54,5 @@ def cut(df: DataFrame) -> DataFrame:
 
     Survives lost executors, unlike a local checkpoint or a cache of one copy.
     """
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
