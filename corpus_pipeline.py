@@ -7,13 +7,13 @@ documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quorumlab.llm import langid, nearcopies, packing, toxicity
 from quorumlab.llm.chunks import vocabulary_path
+from quorumlab.session import remove_folder, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,10 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near copies: Jaccard similarity of five-word shingles from 0.8, chained."""
+    """One document, of the smallest doc_id, of each group of near copies: Jaccard similarity of five-word shingles from 0.8, chained.
+
+    SimHash blocks give the first candidates; see nearcopies for those that no blocks can give.
+    """
     return nearcopies.drop_jaccard_copies(docs)
 
 
@@ -48,16 +51,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder of its own in the shared checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quorumlab-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again."""
-    folder, docs = _folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again.
+
+    A stage's table is removed once the next one has been written; the last one stays, as it is the result.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs

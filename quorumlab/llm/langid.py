@@ -21,6 +21,10 @@ SYMBOLS_AT_ONCE = 1 << 18
 SAMPLE_PER_LANGUAGE = 400
 #: Share of clean documents of a language that calibration may let the rejection take.
 REJECTED_SHARE = 0.001
+#: Deviations of chance that a short text may lie further out, and the symbols of the pieces that show what a deviation is.
+DEVIATIONS, SNIPPET = 3.0, 64
+#: Labelled documents of a language from which a quarter calibrates; of a rarer one all are counted.
+LEAST_TO_HOLD = 8
 
 
 @cache
@@ -174,8 +178,8 @@ class LanguageModels:
             self.grams.append(HashArray(keys[order], values))
         # Set by calibration: see calibrate().
         n = len(self.languages)
-        self.mean, self.between, self.within = np.zeros(n), np.ones(n), np.ones(n)
-        self.most, self.temperature = np.inf, 1.0
+        self.mean, self.noise, self.within = np.zeros(n), np.full(n, np.inf), np.ones(n)
+        self.most, self.temperature = 0.5, 1.0
 
     def _contexts(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> HashArray:
         keys = np.unique(np.concatenate([h for h, _ in parts]))
@@ -247,9 +251,10 @@ class LanguageModels:
     def calibrate(self, texts: list[str], languages: list[str], share: float = REJECTED_SHARE) -> None:
         """Sets temperature and rejection from labelled texts that the counts have not seen.
 
-        A document's cross-entropy varies by its writing (between) and, the shorter it is, by
-        chance (within / length). Rejected is what lies further above its language's mean than
-        the given share of labelled texts, with half as much again for safety, 6 deviations at least.
+        A language's labelled texts lie at its mean cross-entropy, and the same texts with their letters in random order
+        at its noise. How far a text lies on the way from one to the other decides: it is rejected beyond what
+        all but the given share of labelled texts reach, halfway at least, with DEVIATIONS of chance
+        for its length on top, as pieces of SNIPPET symbols of labelled texts show it.
         """
         h, n = self.cross_entropies(texts)
         y = np.array([self.languages.index(x) for x in languages], np.int64)
@@ -257,18 +262,23 @@ class LanguageModels:
         usable = n > 0
         if not usable.any():
             return
+        draw = np.random.default_rng(5)
+        letters = ["".join(map(chr, draw.permutation(symbols(t)).tolist())) for t in texts]
+        disordered = self.cross_entropies(letters)[0].min(axis=1)
+        pieces = ["".join(map(chr, symbols(t)[:SNIPPET].tolist())) for t in texts]
+        short, m = self.cross_entropies(pieces)
+        short = short[np.arange(len(y)), y]
         for j in range(len(self.languages)):
             mine = usable & (y == j)
             if not mine.any():
                 mine = usable
-            x, w = own[mine], n[mine].astype(float)
-            self.mean[j] = np.average(x, weights=w)
-            dev = (x - self.mean[j]) ** 2
-            long_ = w >= np.median(w)
-            self.between[j] = max(1e-4, dev[long_].mean())
-            self.within[j] = max(1e-2, (np.maximum(0, dev - self.between[j]) * w).mean())
-        z = (own - self.mean[y]) / np.sqrt(self.between[y] + self.within[y] / np.maximum(n, 1))
-        self.most = max(6.0, 1.5 * float(np.quantile(z[usable], 1 - share)))
+            w = n[mine].astype(float)
+            self.mean[j] = np.average(own[mine], weights=w)
+            self.noise[j] = max(self.mean[j] + 0.1, np.average(disordered[mine], weights=w))
+            apart = np.abs(short[mine] - np.median(short[mine])) * np.sqrt(m[mine])
+            self.within[j] = max(0.1, 1.4826 * float(np.median(apart))) ** 2  # the deviation of a normal spread
+        way = (own - self.mean[y]) / (self.noise - self.mean)[y]
+        self.most = float(np.clip(np.quantile(way[usable], 1 - share) + 0.1, 0.5, 0.9))
         grid = 2.0 ** np.arange(0, 9)
         loss = []
         for t in grid:
@@ -277,10 +287,9 @@ class LanguageModels:
         self.temperature = float(grid[np.flatnonzero(np.array(loss) <= min(loss) + 0.001)[-1]])  # the mildest of the best
 
     def _rejects(self, best: np.ndarray, lowest: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether a text fits its language worse than calibration allows, and lies nearer to
-        letters without any order than to the language's mean."""
-        z = (lowest - self.mean[best]) / np.sqrt(self.between[best] + self.within[best] / np.maximum(n, 1))
-        return (n == 0) | ((z > self.most) & (lowest > (self.mean[best] - self.floor) / 2))
+        """Whether a text lies nearer to letters without any order than calibration allows for its language and length."""
+        chance = DEVIATIONS * np.sqrt(self.within[best] / np.maximum(n, 1))
+        return (n == 0) | (lowest - self.mean[best] > self.most * (self.noise - self.mean)[best] + chance)
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score (its calibrated probability), cross-entropy, and whether it is rejected."""
@@ -309,8 +318,10 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     """Fits and calibrates models from labelled(doc_id, text, lang); None if nothing is labelled.
 
     About per_language documents of each language, chosen by a hash of doc_id, are the sample:
-    three quarters give the counts, gathered by Spark, and the rest calibrates. Both bound what
-    reaches the driver. Rows without text, letter or lang take no part.
+    three quarters give the counts, gathered by Spark, and the rest calibrates. Of a language with fewer than
+    LEAST_TO_HOLD documents all are counted and the other languages' texts calibrate it; where every language is so rare,
+    the counted texts do. The driver holds the sample's grams and calibration texts: bounded by languages, documents
+    of each and their lengths. Repeated rows count as often as they come; rows without text, letter or lang take no part.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -330,8 +341,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
                     cells = [g.tobytes() for g in np.ascontiguousarray(grams)]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells, pa.binary()), pa.array(counts)], names=["lang", "gram", "n"])
 
-    many = sum(min(n, per_language) for n in totals.values()) >= 8
-    counted = sample.where("part != 0") if many else sample
+    parts = sample.groupBy("lang").agg(F.sum((F.col("part") == 0).cast("int")).alias("held"), F.count("*").alias("n")).collect()
+    rare = [r["lang"] for r in parts if r["n"] < LEAST_TO_HOLD or r["held"] == r["n"]]
+    counted = sample.where((F.col("part") != 0) | F.col("lang").isin(rare))
     grams = counted.select("lang", "text").mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     by_language = {}
     names = np.array(grams.column("lang").to_pylist(), object)
@@ -342,7 +354,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     if not by_language:
         return None
     models = LanguageModels(by_language)
-    held = sample.where("part = 0 or not {}".format("true" if many else "false")).where(F.col("lang").isin(models.languages)).select("text", "lang").toArrow()
+    held = sample.where("part = 0").where(~F.col("lang").isin(rare) & F.col("lang").isin(models.languages)).select("text", "lang")
+    held = held if len(rare) < len(parts) else sample.where(F.col("lang").isin(models.languages)).select("text", "lang")
+    held = held.orderBy("lang", F.xxhash64("text"), "text").toArrow()
     models.calibrate(held.column("text").to_pylist(), held.column("lang").to_pylist())
     return models
 
@@ -373,13 +387,16 @@ def identify_documents(docs: DataFrame, models: LanguageModels | None) -> DataFr
     """(doc_id, lang_pred, score, cross_entropy, rejected) of each whole text.
 
     Null texts and those without a letter are `und`, score 0, rejected. Without a model all are.
-    Ties go to the language first in alphabetical order. Other columns are ignored.
+    Ties go to the language first in alphabetical order. Texts of any length are scored whole, in pieces of bounded memory;
+    rows repeat as they come, an empty table gives no rows. Other columns are ignored.
     """
     got = docs.select("doc_id", identify_column(models, docs.sparkSession).alias("r"))
     return got.select("doc_id", F.col("r.lang").alias("lang_pred"), "r.score", "r.cross_entropy", "r.rejected")
 
 
 def keep_identified(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
-    """docs without the rejected ones; all columns, whatever their names, pass through."""
-    kept = docs.withColumn("__language", identify_column(models, docs.sparkSession))
-    return kept.where(~F.col("__language.rejected")).drop("__language")
+    """docs without the rejected ones; all columns, whatever their names, pass through.
+
+    Repeated rows stay or go together, an empty table gives an empty one.
+    """
+    return docs.where(~identify_column(models, docs.sparkSession)["rejected"])

@@ -375,5 +375,5 @@ def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     again = judged.where("__stays")
     if again.isEmpty():
         return single
-    repeated = docs.join(again, same(again)).groupBy("__id", "__text").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
+    repeated = docs.join(again, same(again)).groupBy(again["__id"], again["__text"]).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
     return single.unionByName(repeated.select("r.*"))

@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     About most_positive toxic and most_unlabelled unlabelled documents, chosen by a hash of
     doc_id, are the sample; the unlabelled ones are drawn from all of docs, whatever their label.
     Equal texts count once. Features are kept whose share among the toxic lies CONTRAST standard
-    deviations or more above that among all, so that only features for toxicity count and none
-    (of a language or topic) against it. The class prior is given, or else the share of toxic
+    deviations or more above that among all (LEAST_TEXTS toxic texts at least, the MOST_FEATURES that
+    lie highest), so that only features for toxicity count and none (of a language or topic) against it. The class prior is given, or else the share of toxic
     labels, or less: how often the unlabelled have any kept feature, over how often the toxic
     do, bounds it from above. Without toxic labels every score is a low constant. Null doc_ids
     and null labels are left out.
@@ -203,14 +203,17 @@ def score_column(model: ToxicityModel, spark: SparkSession, text: str = "text"):
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, predicted) of each whole text; null and empty texts score as texts without words.
+    """(doc_id, score, predicted) of each whole text, however long; null and empty texts score as texts without words.
 
-    Rows repeat as they come; other columns are ignored; an empty table gives no rows.
+    A score of 0.5 is predicted 1. Rows repeat as they come; other columns are ignored; an empty table gives no rows.
     """
     scored = docs.select("doc_id", score_column(model, docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """docs that score below the threshold, with all their columns."""
-    return docs.withColumn("__toxicity", score_column(model, docs.sparkSession)).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """docs that score below the threshold; all columns, whatever their names, pass through.
+
+    Null and empty texts score as texts without words; repeated rows stay or go together; an empty table gives none.
+    """
+    return docs.where(score_column(model, docs.sparkSession) < threshold)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -94,9 +95,63 @@ def test_language_id_accuracy_and_odd_rows(spark, sf_dir, odd_docs, no_docs):
     assert langid.keep_identified(docs, models).columns == docs.columns
 
 
+def test_noise_is_rejected_and_short_texts_are_not(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models = langid.fit(docs)
+    rng = np.random.default_rng(2)
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), k))
+    text = next(r["text"] for r in rows(docs) if r["lang"] == "en" and len(r["text"]) > 500)
+    shuffled = "".join(rng.permutation(list(text)))
+    noise = [letters(60), letters(2000), shuffled, "日本語の文章がここにあります", "Привет, как у тебя дела сегодня", "$$$ ### 1 2 3", None, ""]
+    assert models.identify(noise)[3].all()
+    cjk = models.identify([text + " 日本語", *(" ".join(text.split()[i : i + 2]) for i in range(0, 40, 2)), text[:200]])
+    assert not cjk[3].any()
+    kept = langid.keep_identified(docs.withColumn("__language", docs["lang"]), models)
+    assert kept.count() >= 0.99 * docs.count() and "__language" in kept.columns
+
+
+def test_a_rare_language_gets_a_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    for i in range(4):
+        rare = spark.createDataFrame([(10**6 + i, "zaxo quvi zaxo mopru quvi zaxo lenta mopru zaxo quvi " * 5, "xx")], "doc_id long, text string, lang string")
+        models = langid.fit(docs.unionAll(rare))
+        assert "xx" in models.languages and models.identify(["quvi zaxo mopru zaxo"])[0] == ["xx"]
+
+
 # --- Toxicity ------------------------------------------------------------------------------
 
 
+def plain_risk(w, b, x, positive, prior):
+    """The non-negative risk and the part that steps backwards, document by document."""
+    loss = lambda z: np.logaddexp(0, -z)
+    g = x @ w + b
+    clean = loss(-g[~positive]).mean() - prior * loss(-g[positive]).mean()
+    return prior * loss(g[positive]).mean(), clean
+
+
+def test_nnpu_steps_follow_the_risk():
+    rng = np.random.default_rng(0)
+    x = (rng.random((60, 5)) < 0.4).astype(float)
+    positive = rng.random(60) < 0.4
+    starts, of = np.concatenate(([0], np.cumsum(x.sum(axis=1).astype(int)))), np.nonzero(x)[1]
+    for prior in (0.1, 0.5):
+        b0 = np.log(prior / (1 - prior))
+        w, b = toxicity.nnpu_fit(positive, starts, of, 5, prior, rounds=1, rate=1e-3, decay=0.0)
+        at = np.append(np.zeros(5), b0)
+
+        def goal(v, prior=prior, at=at):
+            now = plain_risk(at[:5], at[5], x, positive, prior)[1]
+            toxic, clean = plain_risk(v[:5], v[5], x, positive, prior)
+            return toxic + clean if now >= 0 else -clean
+
+        numeric = np.array([(goal(at + e) - goal(at - e)) / 2e-5 for e in 1e-5 * np.eye(6)])
+        moved = np.append(w, b) - at  # a first step of this kind has the gradient's signs and the rate's size
+        assert np.allclose(moved, -1e-3 * numeric / (np.abs(numeric) + 1e-8), rtol=1e-2, atol=1e-7)
+    w, b = toxicity.nnpu_fit(positive, starts, of, 5, 0.3, rounds=400)
+    before, after = (plain_risk(v, c, x, positive, 0.3) for v, c in ((np.zeros(5), np.log(3 / 7)), (w, b)))
+    assert after[0] + max(0, after[1]) < before[0] + max(0, before[1])
+
+
 def test_toxicity_finds_marked_texts(spark, odd_docs, no_docs):
     rng = random.Random(1)
     plain = ["alpha", "beta", "gamma", "delta", "omega", "river", "stone", "cloud"]
@@ -266,6 +321,45 @@ def test_shards_are_near_equal_and_gapless(spark, sf_dir, odd_docs, no_docs):
     assert sharding.shard_by_bytes(no_docs).count() == 0
 
 
+def test_equal_texts_stay_whole_and_shards_level(spark):
+    """At sf0.01 a document is up to a 25th of a shard's bytes; no group is larger than a shard."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = rows(sharding.shard_by_bytes(docs, shards=40))
+    size, where = Counter(), defaultdict(set)
+    for r in found:
+        size[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    mean = sum(size.values()) / 40
+    assert all(len(x) == 1 for x in where.values()) and max(abs(s - mean) for s in size.values()) <= 0.01 * mean
+    # The same as placing every group by size on the driver: the largest shard is no larger than that by more than a boundary's error.
+    groups = Counter()
+    for r in found:
+        groups[r["text_crc32"]] += r["size"]
+    loads = sharding.place_largest_first(sorted(groups.values(), reverse=True), 40)[1]
+    assert max(size.values()) <= max(loads) + mean / sharding.UNITS_PER_SHARD
+
+
+def test_repeated_rows_of_one_document_are_divided(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 400 + [(i, f"text {i}") for i in range(2, 200)], "doc_id long, text string")
+    found = rows(sharding.shard_by_bytes(docs, shards=10))
+    size, slots = Counter(), defaultdict(list)
+    for r in found:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(size.values()) / 10
+    assert len(found) == 598 and all(abs(s - mean) <= 30 for s in size.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 100), min_size=1, max_size=8), st.integers(1, 500))
+def test_levels_fill_the_least_loaded(loads, rest):
+    part = np.diff(sharding.fill_levels(loads, rest), prepend=0)
+    full = np.array(loads) + part
+    assert part.sum() == pytest.approx(rest) and (part > -1e-9).all()
+    assert all(full[i] <= full.min() + 1e-6 for i in range(len(loads)) if part[i] > 1e-9)
+
+
 def test_a_hot_group_is_divided(spark):
     docs = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i} " * 3) for i in range(4000)], "doc_id long, text string")
     found = rows(sharding.shard_by_bytes(docs, shards=10))
