@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quorumlab.operators.fits import evaluate, grid
 from quorumlab.operators.graph import connected_components
+from quorumlab.operators.ordered import global_running
 from quorumlab.session import cut
 
 #: Overlap of two fits' temperature ranges, in kelvin, from which they are compared.
@@ -66,7 +67,7 @@ def number_by_size(members: DataFrame, component: str = "component", weight: Col
     """(component, size, gid): dense ids from 0 by falling size, then by component."""
     size = F.sum(weight) if weight is not None else F.count("*")
     sizes = members.groupBy(component).agg(size.alias("size"))
-    return sizes.withColumn("gid", F.row_number().over(Window.orderBy(F.desc("size"), component)) - 1)
+    return global_running(sizes, [F.desc("size"), F.col(component)]).withColumn("gid", F.col("rank") - 1).drop("rank")
 
 
 def best_representative(fits: DataFrame, group: str) -> DataFrame:
@@ -110,8 +111,36 @@ def exclusion_reasons(fits: DataFrame, good: DataFrame, pairs: DataFrame) -> Dat
     return joined.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_pairs"))
 
 
-def theta_sweep(edges: DataFrame, nodes: DataFrame, thetas: list[float]) -> DataFrame:
-    """(theta, n_components, largest): groups that edges below each theta make, in one graph.
+def group_pair_tally(fits: DataFrame, good: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(reason, n_group_pairs): how many pairs of groups of one (solute, solvent) are compared, or why not."""
+    of = lambda df: df.groupBy("solute", "solvent").agg(F.count("*").alias("g")).agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0)).cast("long").alias("n"))
+    every, usable, made = of(fits), of(good), pairs.agg(F.count("*").alias("n"))
+    both = every.select(F.col("n").alias("e")).crossJoin(F.broadcast(usable.select(F.col("n").alias("u")))).crossJoin(F.broadcast(made.select(F.col("n").alias("m"))))  # one row each
+    parts = F.array(*[F.struct(F.lit(k).alias("reason"), c.alias("n_group_pairs")) for k, c in (("unusable_fit", F.col("e") - F.col("u")), ("overlap_too_short", F.col("u") - F.col("m")), ("compared", F.col("m")))])
+    return both.select(F.explode(parts).alias("r")).select("r.*")
+
+
+def group_fits(fits: DataFrame, members: DataFrame) -> DataFrame:
+    """Fits of final groups: the best fit of each (solute, solvent, component) of members(src, component)."""
+    return best_representative(fits.join(members, "src"), "component")
+
+
+def pair_agreement(fits: DataFrame, good: DataFrame, flagged: DataFrame, group: str) -> DataFrame:
+    """(solute, solvent): pair_mae with the groups there are, the usable and compared ones, and any_flagged.
+
+    flagged(group) are groups that don't agree with the others anywhere; any_flagged tells whether a compared pair has one.
+    """
+    pairs = fit_pairs(good, group)
+    by_pair = pair_mae(group_pair_mae(pairs))
+    ends = pairs.select("solute", "solvent", F.explode(F.array("gi", "gj")).alias(group)).distinct()
+    marked = ends.join(flagged.select(group), group, "left_semi").select("solute", "solvent").distinct().withColumn("any_flagged", F.lit(True))
+    count = lambda df, name: df.groupBy("solute", "solvent").agg(F.countDistinct(group).alias(name))
+    out = by_pair.join(count(fits, "n_groups"), ["solute", "solvent"]).join(count(good, "n_usable"), ["solute", "solvent"]).join(marked, ["solute", "solvent"], "left")
+    return out.withColumn("any_flagged", F.coalesce("any_flagged", F.lit(False)))
+
+
+def theta_groups(edges: DataFrame, nodes: DataFrame, thetas: list[float]) -> DataFrame:
+    """(theta, src, component): groups that edges below each theta make, in one graph.
 
     A node of the graph is a (theta, source); edges of different thetas never meet, so all
     thresholds take one run of connected components instead of one each.
@@ -123,9 +152,29 @@ def theta_sweep(edges: DataFrame, nodes: DataFrame, thetas: list[float]) -> Data
     after = lambda c: F.expr(f"substring({c}, locate('|', {c}) + 1)")
     found = connected_components(linked).select(F.substring_index("node", "|", 1).cast("double").alias("theta"), after("node").alias("src"), after("component").alias("component"))
     every = nodes.select("src").distinct().withColumn("theta", F.explode(F.array(*[F.lit(float(x)) for x in thetas])))
-    labelled = every.join(found, ["theta", "src"], "left").select("theta", F.coalesce("component", "src").alias("component"))
-    sizes = labelled.groupBy("theta", "component").agg(F.count("*").alias("size"))
-    return sizes.groupBy("theta").agg(F.count("*").alias("n_components"), F.max("size").alias("largest"))
+    return every.join(found, ["theta", "src"], "left").select("theta", "src", F.coalesce("component", "src").alias("component"))
+
+
+def theta_sweep(fits: DataFrame, edges: DataFrame, nodes: DataFrame, thetas: list[float], threshold: float = 0.6) -> DataFrame:
+    """For each theta: the final groups it makes, those flagged, and the agreement of pairs without the flagged ones.
+
+    Columns: theta, n_final_groups, largest, n_flagged, n_pairs, and of the pairs' mean absolute differences mean, p90, median
+    and rmse. theta becomes a part of the solvent and of the group, so the operators for one grouping serve all thresholds in one run.
+    """
+    labels = cut(theta_groups(edges, nodes, thetas))
+    tagged = lambda c: F.concat_ws("|", F.col("theta").cast("string"), F.col(c))
+    theta = F.substring_index("solvent", "|", 1).cast("double").alias("theta")
+    each = best_representative(fits.join(labels, "src").withColumn("gid", tagged("component")).withColumn("solvent", tagged("solvent")), "gid")
+    each = cut(each.drop("theta", "component"))
+    flagged = cut(leave_one_out(each, "gid").groupBy("gid").agg(F.avg("dev").alias("d")).where(F.col("d") >= threshold).select("gid"))
+    pairs = pair_mae(group_pair_mae(fit_pairs(each.join(flagged, "gid", "left_anti"), "gid"))).select(theta, "pair_mae")
+    p = F.expr("percentile(pair_mae, array(0.5, 0.9))")
+    stats = pairs.groupBy("theta").agg(F.count("*").alias("n_pairs"), F.avg("pair_mae").alias("mean"), p.alias("p"), F.sqrt(F.avg(F.col("pair_mae") * F.col("pair_mae"))).alias("rmse"))
+    sizes = labels.groupBy("theta", "component").agg(F.count("*").alias("size")).groupBy("theta").agg(F.count("*").alias("n_final_groups"), F.max("size").alias("largest"))
+    hos = flagged.groupBy(F.substring_index("gid", "|", 1).cast("double").alias("theta")).agg(F.count("*").alias("n"))
+    out = sizes.join(stats, "theta", "left").join(hos, "theta", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("theta", "n_final_groups", "largest", F.coalesce("n", zero).alias("n_flagged"), F.coalesce("n_pairs", zero).alias("n_pairs"), "mean", F.col("p")[1].alias("p90"), F.col("p")[0].alias("median"), "rmse")
 
 
 def bit_exact_groups(rows: DataFrame, member: str, key: list[str]) -> DataFrame:

@@ -8,9 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quorumlab.operators.ordered import exact_quantiles
+from quorumlab.session import cut
+
 KEY = ["solute", "solvent", "src"]
 #: Sums of squares below this are those of a constant curve.
 FLAT = 1e-18
+#: What of ln t's spread 1/t must leave unexplained for a third parameter; less is rounding.
+SINGULAR = 1e-14
 
 
 def average_duplicates(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -40,10 +45,10 @@ def fit_curves(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
     sums = pts.groupBy(*key).agg(
         F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
         *[F.first(c).alias(c) for c in ("m1", "m2", "my", "s1", "s2")],
-        F.sum(F.col("q") * F.col("r")).alias("qr"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(dev * dev).alias("sst"),
+        F.sum(F.col("q") * F.col("r")).alias("qr"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("q") * F.col("q")).alias("qq"), (F.var_pop("x2") * F.count("*")).alias("xx"), F.sum(dev * dev).alias("sst"),
     )
     n = F.col("n")
-    c = F.when(n >= 3, F.try_divide("qr", "rr")).when(n == 2, F.lit(0.0))
+    c = F.when(n >= 3, F.when(F.col("rr") > SINGULAR * F.col("xx"), F.try_divide("qr", "rr"))).when(n == 2, F.lit(0.0))
     sums = sums.withColumn("c_", c).withColumn("b", F.col("s2") - F.col("c_") * F.col("s1"))
     sse = F.greatest(F.lit(0.0), F.col("qq") - 2 * F.col("c_") * F.col("qr") + F.col("c_") * F.col("c_") * F.col("rr"))
     fitted = F.col("c_").isNotNull()
@@ -108,12 +113,13 @@ def monotonicity(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 def fit_summary(fits: DataFrame) -> DataFrame:
     """One row: how good the fits are."""
-    fitted = fits.where("r2 is not null")
-    return fitted.agg(
-        F.count("*").alias("n_fits"), F.median("r2").alias("r2_median"), F.avg("r2").alias("r2_mean"),
-        F.avg((F.col("r2") >= 0.95).cast("int")).alias("share_r2_95"), F.avg((F.col("r2") >= 0.99).cast("int")).alias("share_r2_99"),
-        F.median("rmse").alias("rmse_median"), F.expr("percentile(rmse, 0.95)").alias("rmse_p95"), F.count_if((F.col("r2") < 0.8) | (F.col("rmse") > 0.3)).alias("n_bad"),
+    fitted = cut(fits.where("r2 is not null").select("r2", "rmse"))
+    out = fitted.agg(
+        F.count("*").alias("n_fits"), F.avg("r2").alias("r2_mean"), F.avg((F.col("r2") >= 0.95).cast("int")).alias("share_r2_95"),
+        F.avg((F.col("r2") >= 0.99).cast("int")).alias("share_r2_99"), F.count_if((F.col("r2") < 0.8) | (F.col("rmse") > 0.3)).alias("n_bad"),
     )
+    ends = exact_quantiles(fitted, "r2", {"r2_median": 0.5}).crossJoin(exact_quantiles(fitted, "rmse", {"rmse_median": 0.5, "rmse_p95": 0.95}))
+    return out.crossJoin(F.broadcast(ends)).select("n_fits", "r2_median", "r2_mean", "share_r2_95", "share_r2_99", "rmse_median", "rmse_p95", "n_bad")  # one row
 
 
 FITS_SQL = """avg_t AS (SELECT solute, solvent, src, t, avg(y) AS y FROM m WHERE y IS NOT NULL GROUP BY ALL),

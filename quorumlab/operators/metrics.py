@@ -85,10 +85,13 @@ def anova(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Sums of squares between and within groups, F over groups of 2 rows or more."""
     clean = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     g = clean.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("ssw"))
-    overall = g.select("*", (F.sum(F.col("n") * F.col("m")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())).alias("grand"))
     big = F.col("n") >= 2
-    of_big = g.where(big).agg(F.sum("n").alias("bn"), F.count("*").alias("bk"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("bg"))
-    parts = overall.crossJoin(F.broadcast(of_big)).agg(  # a row beside a row for each group
+    weighted = F.col("n") * F.col("m")
+    means = g.agg(  # one row
+        (F.sum(weighted) / F.sum("n")).alias("grand"), F.sum(F.when(big, F.col("n"))).alias("bn"), F.count_if(big).alias("bk"),
+        F.try_divide(F.sum(F.when(big, weighted)), F.sum(F.when(big, F.col("n")))).alias("bg"),
+    )
+    parts = g.crossJoin(F.broadcast(means)).agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2))).alias("ss_between"), F.sum("ssw").alias("ss_within"), F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"),
         F.sum(F.when(big, F.col("n") * F.pow(F.col("m") - F.col("bg"), F.lit(2)))).alias("bb"), F.sum(F.when(big, F.col("ssw"))).alias("bw"), F.first("bn").alias("bn"), F.first("bk").alias("bk"),
     )
@@ -107,9 +110,8 @@ def dummy_baseline(train: DataFrame, other: DataFrame, group: str = "solvent", v
 def count_domination(rows: DataFrame, key: str, tops: tuple[int, ...] = (1, 5, 10, 25, 50)) -> DataFrame:
     """(top, share): the share of rows that the most frequent keys hold."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), key)
-    ranked = counts.select("n", F.row_number().over(w).alias("r"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    at = ranked.withColumn("top", F.explode(F.array(*map(F.lit, tops)))).where("r <= top")
+    most = counts.orderBy(F.desc("n"), key).limit(max(tops)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), key)))  # max(tops) rows
+    at = most.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).withColumn("top", F.explode(F.array(*map(F.lit, tops)))).where("r <= top")  # one row
     return at.groupBy("top").agg((F.sum("n") / F.max("total")).alias("share"))
 
 

@@ -39,29 +39,40 @@ def ridge_predict(rows: DataFrame, models: DataFrame, group: str, x: str) -> Dat
 def ridge_by_group(rows: DataFrame, group: str, features: list[str], y: str, ridge: float, least_rows: int) -> DataFrame:
     """(group, n, coefficients, intercept) with any number of features and an intercept that isn't shrunk.
 
-    Sums of products come from SQL, d squared numbers for each group, so a hot group needs no task of its own;
-    only these small matrices are solved in NumPy.
+    Groups of least_rows or more have a row each; the row of a null group is the fallback over all rows. Moments are those
+    of deviations from the mean (covar_pop merges them so), never raw products, which lose all digits where the mean is
+    far from 0. They are d squared numbers for each group, so a hot group needs no task of its own; only these small
+    matrices are solved in NumPy.
     """
-    clean = rows.dropna(subset=[group, y, *features])
+    clean = rows.dropna(subset=[y, *features])
     d = len(features)
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
-    xy = [F.sum(F.col(a) * F.col(y)).alias(f"_y{i}") for i, a in enumerate(features)]
-    means = [F.sum(c).alias(f"_m{i}") for i, c in enumerate(features)]
-    grouped = clean.groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("_sy"), *sums, *xy, *means).where(F.col("n") >= least_rows)
+    moments = [F.covar_pop(a, b).alias(f"_{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
+    moments += [F.covar_pop(a, y).alias(f"_y{i}") for i, a in enumerate(features)] + [F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)]
+    kind = dict(rows.dtypes)[group]
+    own = clean.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("_my"), *moments).where(F.col("n") >= least_rows)
+    every = clean.agg(F.count("*").alias("n"), F.avg(y).alias("_my"), *moments).where("n > 0").withColumn(group, F.lit(None).cast(kind))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             out = []
             for r in g.to_dict("records"):
-                n = r["n"]
-                m = np.array([r[f"_m{i}"] for i in range(d)]) / n
-                xx = np.array([[r[f"_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) - n * np.outer(m, m)
-                v = np.array([r[f"_y{i}"] for i in range(d)]) - m * r["_sy"]
-                beta = np.linalg.solve(xx + ridge * np.eye(d), v)
-                out.append({group: r[group], "n": n, "coefficients": beta.tolist(), "intercept": float(r["_sy"] / n - beta @ m)})
+                n, m = r["n"], np.array([r[f"_m{i}"] for i in range(d)])
+                xx = n * np.array([[r[f"_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+                beta = np.linalg.solve(xx + ridge * np.eye(d), n * np.array([r[f"_y{i}"] for i in range(d)]))
+                out.append({group: r[group], "n": n, "coefficients": beta.tolist(), "intercept": float(r["_my"] - beta @ m)})
             yield pd.DataFrame(out, columns=[group, "n", "coefficients", "intercept"])
 
-    return grouped.mapInPandas(solve, f"{group} string, n long, coefficients array<double>, intercept double")
+    return own.unionByName(every).mapInPandas(solve, f"{group} {kind}, n long, coefficients array<double>, intercept double")
+
+
+def ridge_predict_by_group(rows: DataFrame, models: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """rows with y_pred by the own group's coefficients or else the fallback's; null where a feature is null."""
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    value = lambda c, i: F.aggregate(F.zip_with(F.col(c), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.col(i)
+    own = models.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col("coefficients").alias("_c"), F.col("intercept").alias("_i"))
+    every = models.where(F.col(group).isNull()).select(F.col("coefficients").alias("_fc"), F.col("intercept").alias("_fi"))
+    out = rows.join(own, F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(every))  # one row
+    return out.withColumn("y_pred", F.coalesce(value("_c", "_i"), value("_fc", "_fi"))).drop("_g", "_c", "_i", "_fc", "_fi")
 
 
 def standardize(rows: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -160,27 +171,27 @@ def gradient_targets(rows: DataFrame, key: list[str]) -> DataFrame:
     return pts.select(*key, "t", "y", F.when((g > 0) & (g < 1), g).alias("g"))
 
 
-def bootstrap_mean_ci(rows: DataFrame, value: str, resamples: int = 5000, alpha: float = 0.05, seed: int = 42, blocks: int = 40) -> DataFrame:
+def bootstrap_mean_ci(rows: DataFrame, value: str, resamples: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(n, mean, low, high): percentile interval of the mean over resamples.
 
-    Each task draws Poisson(1) weights for its rows and all resamples of a block, and sends back sums, not
+    A value that occurs c times gets a Poisson(c) weight in each resample, drawn from a generator of its own (seed and
+    value), so the draws don't depend on how rows lie in partitions and no two values share them. Tasks send back sums, not
     rows: a resample is a row of two numbers for each task, whatever the size of the table.
     """
     clean = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
     every = clean.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((resamples, 2))
+        sums = np.zeros((2, resamples))
         for g in batches:
-            for at in range(0, len(g), 256):
-                v = g["v"].to_numpy()[at : at + 256]
-                rng = np.random.default_rng([seed, *np.frombuffer(v.tobytes(), np.uint32)[:64].tolist(), len(v)])
-                w = rng.poisson(1.0, (resamples, len(v)))
-                sums += np.stack([w @ v, w.sum(axis=1)], axis=1)
-        yield pd.DataFrame({"rep": np.arange(resamples), "s": sums[:, 0], "w": sums[:, 1]})
-
-    means = clean.sortWithinPartitions("v").mapInPandas(draw, "rep int, s double, w double").groupBy("rep").agg((F.sum("s") / F.sum("w")).alias("m"))
-    ends = means.agg(F.expr(f"percentile(m, array({alpha / 2}, {1 - alpha / 2}))").alias("p"))
+            for v, c in zip(g["v"].to_numpy(np.float64), g["c"].to_numpy(), strict=True):
+                w = np.random.default_rng([seed, *np.float64(v).reshape(1).view(np.uint32).tolist()]).poisson(c, resamples)
+                sums += np.stack([w * v, w])
+        yield pd.DataFrame({"rep": np.arange(resamples), "s": sums[0], "w": sums[1]})
+
+    counts = clean.groupBy("v").agg(F.count("*").alias("c"))
+    means = counts.mapInPandas(draw, "rep int, s double, w double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    ends = means.agg(F.expr(f"percentile(m, array({alpha / 2}, {1 - alpha / 2}))").alias("p"))  # a row for each resample
     return every.crossJoin(F.broadcast(ends)).select("n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
@@ -218,6 +229,34 @@ def lower_gamma(a: float, x: float) -> float:
     return 1 - math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 
+def lower_gamma_of(a: float, x: np.ndarray) -> np.ndarray:
+    """lower_gamma of many x at once: the series below a + 1, the continued fraction above."""
+    out = np.zeros(len(x))
+    small = (x > 0) & (x < a + 1)
+    if small.any():
+        u, n = x[small], a
+        term = total = np.full(len(u), 1 / a)
+        while (np.abs(term) > np.abs(total) * 1e-15).any():
+            n += 1
+            term = term * u / n
+            total = total + term
+        out[small] = total * np.exp(-u + a * np.log(u) - math.lgamma(a))
+    if (large := x >= a + 1).any():
+        u = x[large]
+        b, c = u + 1 - a, np.full(len(u), 1e300)
+        d = h = 1 / b
+        for i in range(1, 500):
+            an = -i * (i - a)
+            b = b + 2
+            d = 1 / (an * d + b)
+            c = b + an / c
+            h = h * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[large] = 1 - np.exp(-u + a * np.log(u) - math.lgamma(a)) * h
+    return out
+
+
 def gamma_fit(rows: DataFrame, value: str, least: int = 100) -> DataFrame:
     """(n, shape, scale, ks): maximum likelihood with location 0 and the Kolmogorov-Smirnov distance; null below `least` positive values.
 
@@ -248,7 +287,7 @@ def gamma_fit(rows: DataFrame, value: str, least: int = 100) -> DataFrame:
 
     @F.pandas_udf("double")
     def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda u: lower_gamma(k, u / scale))
+        return pd.Series(lower_gamma_of(k, x.to_numpy(np.float64) / scale))
 
     d = ranked.withColumn("f", cdf("v")).agg(F.max(F.greatest(F.col("hi") / n - F.col("f"), F.col("f") - (F.col("hi") - F.col("c")) / n)).alias("ks"))
     return d.select(F.lit(n).cast("long").alias("n"), F.lit(k).alias("shape"), F.lit(scale).alias("scale"), "ks")

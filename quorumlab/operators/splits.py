@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quorumlab.operators.ordered import first_rows, global_running
+
 
 def head_by_share(rows: DataFrame, key: str, share: float = 0.85) -> DataFrame:
     """(key, n, cum_share) of the most frequent keys up to and with the first that reaches the share.
@@ -11,9 +13,8 @@ def head_by_share(rows: DataFrame, key: str, share: float = 0.85) -> DataFrame:
     The running sum is over a row for each key, ties by key; nulls are no key.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), key)
-    total = F.sum("n").over(Window.partitionBy())
-    out = counts.select(key, "n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), total.alias("total"))
+    run = global_running(counts, [F.desc("n"), F.col(key)], "n")
+    out = run.crossJoin(F.broadcast(run.agg(F.sum("n").alias("total"))))  # one row
     return out.where((F.col("cum") - F.col("n")) / F.col("total") < share).select(key, "n", (F.col("cum") / F.col("total")).alias("cum_share"))
 
 
@@ -33,7 +34,7 @@ def stratified_holdout(pairs: DataFrame, stratum: str, member: str, fraction: fl
 def subsample(rows: DataFrame, key: Column, n: int, fraction: float, seed: int, least: int = 32) -> DataFrame:
     """max(least, round(n * fraction)) of the n rows, without replacement."""
     k = min(n, max(least, round(n * fraction)))
-    return rows.orderBy(draw(seed, key), key).limit(k)
+    return first_rows(rows, [draw(seed, key), key], k)
 
 
 def stratified_subsample(rows: DataFrame, stratum: str, key: Column, fraction: float, seed: int) -> DataFrame:

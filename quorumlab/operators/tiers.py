@@ -16,6 +16,11 @@ def assign_tiers(pair_mae: DataFrame, cuts: dict[str, float] = CUTS) -> DataFram
     return out.where(F.col("pair_mae") <= max(cuts.values()))
 
 
+def tier_points(measured: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(solute, solvent, t): each temperature measured for a tier pair, to 2 places."""
+    return measured.select("solute", "solvent", F.bround("t", 2).alias("t")).distinct().join(tiers.select("solute", "solvent"), ["solute", "solvent"], "left_semi")
+
+
 def tier_rows(measured: DataFrame, fits: DataFrame, tiers: DataFrame, floor: float = SIGMA_FLOOR) -> DataFrame:
     """(solute, solvent, t): consensus of the fits whose range holds t, and its sigma.
 
@@ -23,7 +28,7 @@ def tier_rows(measured: DataFrame, fits: DataFrame, tiers: DataFrame, floor: flo
     below the floor, and null with fewer than 2 fits. An equi-join on the pair with the range
     as residual predicate; temperatures without a fit keep no row.
     """
-    at = measured.select("solute", "solvent", F.bround("t", 2).alias("t")).distinct().join(tiers.select("solute", "solvent"), ["solute", "solvent"], "left_semi")
+    at = tier_points(measured, tiers)
     f = fits.select(F.col("solute").alias("_s"), F.col("solvent").alias("_v"), "a", "b", "c", "t_min", "t_max")
     hit = at.join(f, (F.col("solute") == F.col("_s")) & (F.col("solvent") == F.col("_v")) & F.col("t").between(F.col("t_min"), F.col("t_max")))
     v = hit.withColumn("v", evaluate(F.col("t"))).groupBy("solute", "solvent", "t").agg(F.count("*").alias("n_groups"), F.avg("v").alias("consensus"), F.stddev_samp("v").alias("sd"))
@@ -42,5 +47,8 @@ def tier_summary(rows: DataFrame, tiers: DataFrame, names: list[str]) -> DataFra
     )
 
 
-def contributor_histogram(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("n_groups").agg(F.count("*").alias("n_rows"))
+def contributor_histogram(measured: DataFrame, tiers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(n_groups, n_rows): how many fits stand behind the temperatures measured for tier pairs; 0 where no fit's range holds one."""
+    key = ["solute", "solvent", "t"]
+    every = tier_points(measured, tiers).join(rows.select(*key, "n_groups"), key, "left")
+    return every.groupBy(F.coalesce("n_groups", F.lit(0)).alias("n_groups")).agg(F.count("*").alias("n_rows"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlab.functions import scalar
-from quorumlab.operators import agreement, audit, clean, fits, metrics, models, splits, tiers
+from quorumlab.operators import agreement, audit, clean, fits, metrics, models, ordered, splits, tiers
 from quorumlab.plans import registry
 from quorumlab.session import cut
 from quorumlab.sources import sinks, tables
@@ -19,7 +19,9 @@ FIT = fits.FITS_SQL
 
 #: Tier cuts that tell pairs of these tables apart; the operators' defaults are wider.
 CUTS = {"gold": 0.04, "silver": 0.05, "bronze": 0.07}
-THETAS = [0.03, 0.035, 0.04, 0.045, 0.05]
+THETAS = [0.0, 0.03, 0.035, 0.04, 0.045, 0.05, 0.06]
+#: Where groups merge, and from which mean deviation a group is flagged, so that these tables show both.
+MERGE_AT, FLAG_AT = 0.036, 0.05
 BAD_SOURCES = ["N1-0", "N7-1", "N13-0"]
 
 
@@ -150,9 +152,10 @@ def residual_distribution(spark, sf_dir):
     m = measurements(spark, sf_dir)
     mean = m.groupBy("solute", "solvent").agg(F.avg("y").alias("e"))
     r = m.join(mean, ["solute", "solvent"]).select(F.abs(F.col("y") - F.col("e")).alias("r"))
-    p = F.expr("percentile(r, array(0.95, 0.99))")
-    out = r.agg(F.count("*").alias("n"), r6(F.median("r")).alias("median"), r6(F.avg("r")).alias("mean"), p.alias("p"), r6(F.max("r")).alias("most"), r6(F.avg((F.col("r") > 0.1).cast("int"))).alias("share_01"), r6(F.avg((F.col("r") > 0.5).cast("int"))).alias("share_05"))
-    return out.select("n", "median", "mean", r6(F.col("p")[0]).alias("p95"), r6(F.col("p")[1]).alias("p99"), "most", "share_01", "share_05")
+    r = cut(r)
+    out = r.agg(F.count("*").alias("n"), r6(F.avg("r")).alias("mean"), r6(F.max("r")).alias("most"), r6(F.avg((F.col("r") > 0.1).cast("int"))).alias("share_01"), r6(F.avg((F.col("r") > 0.5).cast("int"))).alias("share_05"))
+    ends = rounded(ordered.exact_quantiles(r, "r", {"median": 0.5, "p95": 0.95, "p99": 0.99}), "median", "p95", "p99")
+    return out.crossJoin(F.broadcast(ends)).select("n", "median", "mean", "p95", "p99", "most", "share_01", "share_05")  # one row
 
 
 @query("""WITH x AS (SELECT p_type AS cell, p_size AS s, p_partkey AS rid, p_brand AS member, p_retailprice AS v FROM part),
@@ -350,7 +353,7 @@ def interp_groups(spark, sf_dir):
     return agreement.merge_groups(edges, measurements(spark, sf_dir), 0.036)
 
 
-@query(f"""WITH {PAIRS}, sweep AS (SELECT unnest([0.03, 0.035, 0.04, 0.045, 0.05]) AS theta)
+@query(f"""WITH {PAIRS}, sweep AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta)
 SELECT theta, count(*) AS n_edges, round(max(weighted_mae), 6) AS most FROM sweep JOIN wm ON weighted_mae < theta GROUP BY 1""")
 def theta_edges(spark, sf_dir):
     edges = agreement.weighted_group_mae(group_pairs(spark, sf_dir))
@@ -358,14 +361,107 @@ def theta_edges(spark, sf_dir):
     return steps.groupBy("theta").agg(F.count("*").alias("n_edges"), r6(F.max("weighted_mae")).alias("most"))
 
 
-@query(f"""WITH RECURSIVE {PAIRS}, sweep AS (SELECT unnest([0.03, 0.035, 0.04, 0.045, 0.05]) AS theta),
+SWEEP = f"""WITH RECURSIVE {PAIRS}, sweep AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta),
 x AS (SELECT theta, gi AS a, gj AS b FROM sweep JOIN wm ON weighted_mae < theta UNION ALL SELECT theta, gj, gi FROM sweep JOIN wm ON weighted_mae < theta),
 r(theta, node, reach) AS (SELECT theta, src, src FROM sweep, (SELECT DISTINCT src FROM m) UNION SELECT r.theta, r.node, x.b FROM r JOIN x ON r.reach = x.a AND r.theta = x.theta),
-k AS (SELECT theta, node, min(reach) AS component FROM r GROUP BY 1, 2), z AS (SELECT theta, component, count(*) AS size FROM k GROUP BY 1, 2)
-SELECT theta, count(*) AS n_components, max(size) AS largest FROM z GROUP BY 1""")
+k AS (SELECT theta, node, min(reach) AS component FROM r GROUP BY 1, 2),
+rp AS (SELECT * FROM (SELECT good.*, k.theta, k.component, row_number() OVER (PARTITION BY theta, solute, solvent, component ORDER BY r2 DESC NULLS LAST, src) AS rn FROM good JOIN k ON src = node) WHERE rn = 1),
+co AS (SELECT *, max(t_min) OVER w AS t0, min(t_max) OVER w AS t1, count(*) OVER w AS kk FROM rp WINDOW w AS (PARTITION BY theta, solute, solvent)),
+pt AS (SELECT theta, solute, solvent, component, kk, t0 + i AS t, a + b / (t0 + i) + coalesce(c, 0) * ln(t0 + i) AS v FROM (SELECT *, unnest(range(0, floor(t1 - t0)::BIGINT + 1)) AS i FROM co WHERE kk >= 2 AND t1 - t0 >= 5)),
+dv AS (SELECT theta, component, abs(v - (sum(v) OVER (PARTITION BY theta, solute, solvent, t) - v) / (kk - 1)) AS dev FROM pt),
+rel AS (SELECT theta, component, count(*) AS n_grid, avg(dev) AS mean_dev FROM dv GROUP BY 1, 2), hs AS (SELECT theta, component FROM rel WHERE mean_dev >= {FLAG_AT}),
+fp AS (SELECT a.theta, a.solute, a.solvent, a.component AS gi, b.component AS gj, a.a - b.a AS da, a.b - b.b AS db, coalesce(a.c, 0) - coalesce(b.c, 0) AS dc, greatest(a.t_min, b.t_min) AS t0, least(a.t_max, b.t_max) AS t1
+  FROM rp a JOIN rp b ON a.theta = b.theta AND a.solute = b.solute AND a.solvent = b.solvent AND a.component < b.component WHERE least(a.t_max, b.t_max) - greatest(a.t_min, b.t_min) >= 5),
+fd AS (SELECT theta, solute, solvent, gi, gj, abs(da + db / (t0 + i) + dc * ln(t0 + i)) AS d FROM (SELECT *, unnest(range(0, floor(t1 - t0)::BIGINT + 1)) AS i FROM fp)),
+fg AS (SELECT theta, solute, solvent, gi, gj, avg(d) AS e FROM fd GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(f"""{SWEEP}, z AS (SELECT theta, component, count(*) AS size FROM k GROUP BY 1, 2), gz AS (SELECT theta, count(*) AS n_final_groups, max(size) AS largest FROM z GROUP BY 1),
+pp AS (SELECT theta, solute, solvent, avg(e) AS v FROM fg WHERE (theta, gi) NOT IN (SELECT (theta, component) FROM hs) AND (theta, gj) NOT IN (SELECT (theta, component) FROM hs) GROUP BY 1, 2, 3),
+s AS (SELECT theta, count(*) AS n_pairs, avg(v) AS mean, quantile_cont(v, 0.9) AS p90, median(v) AS median, sqrt(avg(v * v)) AS rmse FROM pp GROUP BY 1), h AS (SELECT theta, count(*) AS n FROM hs GROUP BY 1)
+SELECT theta, n_final_groups, largest, coalesce(h.n, 0) AS n_flagged, coalesce(n_pairs, 0) AS n_pairs, round(mean, 6) AS mean, round(p90, 6) AS p90, round(median, 6) AS median, round(rmse, 6) AS rmse FROM gz LEFT JOIN s USING (theta) LEFT JOIN h USING (theta)""")
 def theta_sweep(spark, sf_dir):
-    edges = cut(agreement.weighted_group_mae(group_pairs(spark, sf_dir)))
-    return agreement.theta_sweep(edges, measurements(spark, sf_dir), THETAS)
+    good = usable_fits(spark, sf_dir)
+    edges = cut(agreement.weighted_group_mae(agreement.group_pair_mae(agreement.fit_pairs(good))))
+    return rounded(agreement.theta_sweep(good, edges, measurements(spark, sf_dir), THETAS, FLAG_AT), "mean", "p90", "median", "rmse")
+
+
+#: The same sweep at one threshold: final groups, and what is made of them.
+FINAL = SWEEP.replace(f"unnest({THETAS}::DOUBLE[])", f"unnest([{MERGE_AT}]::DOUBLE[])")
+
+
+def final_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (src, component) of the final groups, the best fit of each, their reliability, and the flagged ones."""
+    good = usable_fits(spark, sf_dir)
+    edges = agreement.weighted_group_mae(agreement.group_pair_mae(agreement.fit_pairs(good)))
+    members = cut(agreement.merge_groups(edges, measurements(spark, sf_dir), MERGE_AT))
+    best = cut(agreement.group_fits(good, members))
+    reliability = cut(agreement.source_reliability(best, members, "component", FLAG_AT))
+    return members, best, reliability, reliability.where("flagged").select("component")
+
+
+@query(f"{FINAL} SELECT solute, solvent, component, src, n, round(r2, 6) AS r2 FROM rp")
+def final_representatives(spark, sf_dir):
+    return rounded(final_groups(spark, sf_dir)[1].select("solute", "solvent", "component", "src", "n", "r2"), "r2")
+
+
+@query(f"""{FINAL} SELECT node AS src, k.component, coalesce(n_grid, 0) AS n_grid, round(mean_dev, 6) AS mean_dev, coalesce(mean_dev >= {FLAG_AT}, false) AS flagged, count(*) OVER (PARTITION BY k.component) AS n_sources
+FROM k LEFT JOIN rel ON k.component = rel.component""")
+def final_reliability(spark, sf_dir):
+    """The reliability of each final group, spread to its sources."""
+    members, _, reliability, _ = final_groups(spark, sf_dir)
+    sizes = members.groupBy("component").agg(F.count("*").alias("n_sources"))
+    return rounded(members.join(reliability, "component").join(sizes, "component").select("src", "component", "n_grid", "mean_dev", "flagged", "n_sources"), "mean_dev")
+
+
+FINAL_PAIRS = f"""{FINAL}, fm AS (SELECT solute, solvent, count(*) AS n_group_pairs, avg(e) AS pair_mae, max(e) AS pair_mae_max, bool_or(gi IN (SELECT component FROM hs) OR gj IN (SELECT component FROM hs)) AS any_flagged FROM fg GROUP BY 1, 2),
+fn AS (SELECT solute, solvent, count(*) AS n_groups FROM rp GROUP BY 1, 2)"""
+
+
+def final_pairs(spark, sf_dir) -> DataFrame:
+    _, best, _, flagged = final_groups(spark, sf_dir)
+    return agreement.pair_agreement(best, best, flagged, "component")
+
+
+@query(f"{FINAL_PAIRS} SELECT solute, solvent, n_groups, n_groups AS n_usable, n_group_pairs, round(pair_mae, 6) AS pair_mae, round(pair_mae_max, 6) AS pair_mae_max, any_flagged FROM fm JOIN fn USING (solute, solvent)")
+def final_pair_mae(spark, sf_dir):
+    return rounded(final_pairs(spark, sf_dir).select("solute", "solvent", "n_groups", "n_usable", "n_group_pairs", "pair_mae", "pair_mae_max", "any_flagged"), "pair_mae", "pair_mae_max")
+
+
+def two_populations(rows: DataFrame) -> DataFrame:
+    """rows once as inclusive, and those without a flagged group again as primary."""
+    names = F.when(F.col("any_flagged"), F.array(F.lit("inclusive"))).otherwise(F.array(F.lit("inclusive"), F.lit("primary")))
+    return rows.withColumn("population", F.explode(names))
+
+
+@query(f"""{FINAL_PAIRS}, po AS (SELECT *, 'inclusive' AS population FROM fm UNION ALL SELECT *, 'primary' FROM fm WHERE NOT any_flagged)
+SELECT population, count(pair_mae) AS n, round(avg(pair_mae), 6) AS mean, round(median(pair_mae), 6) AS median, round(quantile_cont(pair_mae, 0.9), 6) AS p90, round(sqrt(avg(pair_mae * pair_mae)), 6) AS rmse FROM po GROUP BY 1""")
+def final_noise_floor(spark, sf_dir):
+    out = metrics.distribution_stats(two_populations(final_pairs(spark, sf_dir)), "pair_mae", ["population"])
+    return rounded(out.select("population", "n", "mean", "median", "p90", "rmse"), "mean", "median", "p90", "rmse")
+
+
+@query(f"""{FINAL}, po AS (SELECT d, 'inclusive' AS population FROM fd UNION ALL SELECT d, 'primary' FROM fd WHERE gi NOT IN (SELECT component FROM hs) AND gj NOT IN (SELECT component FROM hs))
+SELECT population, count(*) AS n, round(avg(d), 6) AS mean, round(sqrt(avg(d * d)), 6) AS rmse, round(max(d), 6) AS max FROM po GROUP BY 1""")
+def final_atoms(spark, sf_dir):
+    """The same two populations over grid points."""
+    _, best, _, flagged = final_groups(spark, sf_dir)
+    marked = flagged.withColumn("f", F.lit(True))
+    d = agreement.atom_deltas(agreement.fit_pairs(best, "component"))
+    for end in ("gi", "gj"):
+        d = d.join(F.broadcast(marked.select(F.col("component").alias(end), F.col("f").alias(f"f_{end}"))), end, "left")  # at most a row for each source
+    d = d.withColumn("any_flagged", F.coalesce("f_gi", "f_gj", F.lit(False))).withColumn("d", F.abs("delta"))
+    out = two_populations(d).groupBy("population").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.max("d").alias("max"))
+    return rounded(out, "mean", "rmse", "max")
+
+
+@query(f"""{FINAL_PAIRS}, ft AS (SELECT solute, solvent, avg(e) AS v FROM fg WHERE gi NOT IN (SELECT component FROM hs) AND gj NOT IN (SELECT component FROM hs) GROUP BY 1, 2)
+SELECT solute, solvent, round(v, 6) AS pair_mae, v <= 0.04 AS tier_gold, v <= 0.05 AS tier_silver, v <= 0.07 AS tier_bronze FROM ft WHERE v <= 0.07""")
+def final_tiers(spark, sf_dir):
+    _, best, _, flagged = final_groups(spark, sf_dir)
+    kept = best.join(flagged, "component", "left_anti")
+    pairs = agreement.pair_mae(agreement.group_pair_mae(agreement.fit_pairs(kept, "component")))
+    return rounded(tiers.assign_tiers(pairs, CUTS).select("solute", "solvent", "pair_mae", "tier_gold", "tier_silver", "tier_bronze"), "pair_mae")
 
 
 LOO = f"""{M}, {FIT}, co AS (SELECT *, max(t_min) OVER w AS t0, min(t_max) OVER w AS t1, count(*) OVER w AS k FROM good WINDOW w AS (PARTITION BY solute, solvent)),
@@ -396,6 +492,14 @@ def exclusion_reasons(spark, sf_dir):
     return agreement.exclusion_reasons(every, good, agreement.fit_pairs(good))
 
 
+@query(f"""WITH {PAIRS}, a AS (SELECT sum(g * (g - 1) / 2) AS n FROM (SELECT count(*) AS g FROM fits GROUP BY solute, solvent)), u AS (SELECT sum(g * (g - 1) / 2) AS n FROM (SELECT count(*) AS g FROM good GROUP BY solute, solvent)), q AS (SELECT count(*) AS n FROM p)
+SELECT 'unusable_fit' AS reason, (a.n - u.n)::BIGINT AS n_group_pairs FROM a, u UNION ALL SELECT 'overlap_too_short', (u.n - q.n)::BIGINT FROM u, q UNION ALL SELECT 'compared', n FROM q""")
+def group_pair_tally(spark, sf_dir):
+    every = cut(fits.fit_curves(measurements(spark, sf_dir)))
+    good = fits.usable(every)
+    return agreement.group_pair_tally(every, good, agreement.fit_pairs(good))
+
+
 STATS = "count({v}) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS p75, round(quantile_cont({v}, 0.9), 6) AS p90, round(quantile_cont({v}, 0.95), 6) AS p95, round(quantile_cont({v}, 0.99), 6) AS p99, round(sqrt(avg({v} * {v})), 6) AS rmse, round(max({v}), 6) AS max"
 STAT_COLUMNS = ("mean", "median", "p75", "p90", "p95", "p99", "rmse", "max")
 FLAGS = f"""{PAIRS}, hs AS (SELECT gi AS g, avg(weighted_mae) AS v FROM (SELECT gi, weighted_mae FROM wm UNION ALL SELECT gj, weighted_mae FROM wm) GROUP BY 1 HAVING avg(weighted_mae) >= 0.058),
@@ -467,9 +571,10 @@ def tier_summary(spark, sf_dir):
     return rounded(tiers.tier_summary(rows, ti, list(CUTS)), "sigma_coverage", "sigma_median", "sigma_mean", "sigma_p90", "sigma_p95")
 
 
-@query(f"WITH {TROWS} SELECT n_groups, count(*) AS n_rows FROM tr GROUP BY 1")
+@query(f"WITH {TROWS} SELECT coalesce(n_groups, 0) AS n_groups, count(*) AS n_rows FROM me LEFT JOIN tr USING (solute, solvent, t) GROUP BY 1")
 def contributor_histogram(spark, sf_dir):
-    return tiers.contributor_histogram(tier_frames(spark, sf_dir)[1])
+    ti, rows = tier_frames(spark, sf_dir)
+    return tiers.contributor_histogram(measurements(spark, sf_dir), ti, rows)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT k, n, sum(n) OVER (ORDER BY n DESC, k) AS cum, sum(n) OVER () AS total FROM c)
@@ -525,10 +630,10 @@ def stratified_subsample(spark, sf_dir):
     return splits.stratified_subsample(m, "solvent", F.col("rid").cast("string"), 0.05, 7)
 
 
-@query("""SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('|', '101', o_orderkey)), o_orderkey LIMIT 200)""")
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('|', '101', o_orderkey)), o_orderkey::VARCHAR) AS r, count(*) OVER () AS n FROM orders) WHERE r <= least(n, greatest(32, round_even(n * 0.2, 0)))""")
 def fixed_subsample(spark, sf_dir):
     orders = scan_parquet(spark, sf_dir, "orders").select("o_orderkey")
-    return splits.subsample(orders, F.col("o_orderkey").cast("string"), 1000, 0.2, 101).select("o_orderkey")
+    return splits.subsample(orders, F.col("o_orderkey").cast("string"), orders.count(), 0.2, 101).select("o_orderkey")
 
 
 # --- Statistics and metrics ------------------------------------------------------------------
@@ -576,8 +681,9 @@ def count_domination(spark, sf_dir):
 def heavy_tail(spark, sf_dir):
     m = measurements(spark, sf_dir).select("y")
     d = m.crossJoin(F.broadcast(m.agg(F.avg("y").alias("g")))).select(F.abs(F.col("y") - F.col("g")).alias("d"))  # one row
-    p = d.agg(F.avg("d").alias("mean"), F.expr("percentile(d, array(0.5, 0.95, 0.99))").alias("p"))
-    return p.select(r6("mean").alias("mean"), r6(F.col("p")[0]).alias("median"), r6(F.col("p")[1]).alias("p95"), r6(F.col("p")[2]).alias("p99"))
+    d = cut(d)
+    ends = rounded(ordered.exact_quantiles(d, "d", {"median": 0.5, "p95": 0.95, "p99": 0.99}), "median", "p95", "p99")
+    return d.agg(r6(F.avg("d")).alias("mean")).crossJoin(F.broadcast(ends))  # one row
 
 
 @query(f"""WITH {M} SELECT {', '.join(f'round(avg((abs(y) < {t})::INT), 6) AS below_{i}' for i, t in enumerate((0.01, 0.05, 0.1, 0.25, 0.5)))} FROM m""")
@@ -758,7 +864,10 @@ def tree_regressors(spark, sf_dir):
     return out
 
 
-@query()
+@query("""WITH p AS (SELECT p_type AS solvent, p_retailprice AS y, p_size::DOUBLE AS a, (p_partkey % 13)::DOUBLE AS b FROM part), g AS (SELECT * FROM p UNION ALL SELECT NULL, y, a, b FROM p),
+s AS (SELECT solvent, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS yb
+  FROM g GROUP BY 1 HAVING count(*) >= 2 OR solvent IS NULL), v AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS sa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS sb FROM s)
+SELECT solvent, n, round(sa, 4) AS slope_a, round(sb, 4) AS slope_b, round(my - sa * ma - sb * mb, 3) AS intercept FROM v""")
 def ridge_many_features(spark, sf_dir):
     part = scan_parquet(spark, sf_dir, "part").select(F.col("p_type").alias("solvent"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("a"), (F.col("p_partkey") % 13).cast("double").alias("b"))
     out = models.ridge_by_group(part, "solvent", ["a", "b"], "y", 1.0, 2)
@@ -785,9 +894,9 @@ def row_count_report(spark, sf_dir):
     return sinks.row_counts({n: scan_parquet(spark, sf_dir, n) for n in ("nation", "orders", "part")})
 
 
-@query("""SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_name) AS n_names FROM part WHERE p_size = 7 GROUP BY 1, 2""")
+@query("""SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1, 2""")
 def key_verification(spark, sf_dir):
-    part = scan_parquet(spark, sf_dir, "part").where("p_size = 7")
+    part = scan_parquet(spark, sf_dir, "part")
     return part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("n_names"))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions import scalar
 from quorumlab.operators import agreement, audit, clean, fits, metrics, models, splits, tiers
+from quorumlab.operators import graph, ordered
 from quorumlab.operators.graph import connected_components
 from quorumlab.sources import tables
 
@@ -142,7 +144,7 @@ def test_theta_is_strict(spark):
     edges = frame(spark, [("a", "b", 0.01), ("b", "c", 0.0099)], "gi string, gj string, weighted_mae double")
     nodes = frame(spark, [("a",), ("b",), ("c",)], "src string")
     assert dict(values(agreement.merge_groups(edges, nodes, 0.01), "src", "component")) == {"a": "a", "b": "b", "c": "b"}
-    sweep = agreement.theta_sweep(edges, nodes, [0.005, 0.01, 0.02]).orderBy("theta")
+    sweep = agreement.theta_groups(edges, nodes, [0.005, 0.01, 0.02]).orderBy("theta")
     assert values(sweep, "n_components", "largest") == [(3, 1), (2, 2), (1, 3)]
 
 
@@ -316,3 +318,48 @@ def test_messages_and_temperature_stamp(spark):
     assert dict(values(pass_messages(nodes, edges, mean=True), "node", "x"))[3] == [2.0, 3.0]
     stamped = nodes.limit(1).select(scalar.stamp_temperature(F.array("x"), F.lit(300.0)).alias("s")).first()["s"]
     assert stamped[0] == [1.0, 2.0, 1.0, pytest.approx(10 / 3), 1.0, 0.0]
+
+
+def test_bootstrap_of_tied_values(spark):
+    """Two values alone: the interval is that of a share, sqrt(1/4/n) wide."""
+    df = spark.createDataFrame(pd.DataFrame({"v": [1.0] * 20_000 + [0.0] * 20_000}))
+    r = models.bootstrap_mean_ci(df, "v", resamples=2000).first()
+    assert r["low"] == pytest.approx(0.5 - 1.96 * 0.0025, abs=0.0005) and r["high"] == pytest.approx(0.5 + 1.96 * 0.0025, abs=0.0005)
+
+
+def test_ridge_far_from_zero_and_its_fallback(spark):
+    rng = np.random.default_rng(1)
+    x = 1e8 + rng.random(200)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 200, "x": x, "y": 2 * x - 2e8}))
+    found = {r["g"]: r for r in models.ridge_by_group(df, "g", ["x"], "y", 1.0, 30).collect()}
+    d = x - x.mean()
+    assert found["a"]["coefficients"][0] == pytest.approx(2 * (d @ d) / (d @ d + 1), rel=1e-6) and found[None]["coefficients"] == found["a"]["coefficients"]
+    small = spark.createDataFrame([("b", 0.5, None), ("a", 0.5, None)], "g string, x double, y double")
+    model = models.ridge_by_group(spark.createDataFrame([("a", float(i), 3.0 * i) for i in range(40)], "g string, x double, y double"), "g", ["x"], "y", 0.0, 30)
+    assert [r["y_pred"] for r in models.ridge_predict_by_group(small, model, "g", ["x"]).collect()] == pytest.approx([1.5, 1.5])
+
+
+def test_ranks_sums_and_quantiles_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 50, 3000).astype(float)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double").repartition(7)
+    run = ordered.global_running(df, ["v", "i"], "v").orderBy("rank").collect()
+    order = np.lexsort((np.arange(3000), v))
+    assert [r["i"] for r in run] == order.tolist() and [r["rank"] for r in run] == list(range(1, 3001))
+    assert [r["cum"] for r in run] == pytest.approx(np.cumsum(v[order]).tolist())
+    q = ordered.exact_quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.999, "e": 1.0}).first()
+    assert list(q) == pytest.approx(np.quantile(v, [0.0, 0.37, 0.5, 0.999, 1.0]).tolist())
+    assert ordered.exact_quantiles(df.where("v < 0"), "v", {"a": 0.5}).first()["a"] is None
+    assert [r["i"] for r in ordered.first_rows(df, ["v", "i"], 10).orderBy("v", "i").collect()] == order[:10].tolist()
+
+
+def test_components_over_many_rounds(spark, monkeypatch):
+    """Edges that no task holds at once: a long chain, a hub, and strings."""
+    monkeypatch.setattr(graph, "EDGES_AT_ONCE", 8)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(7, 7), (None, 3)]
+    random.Random(1).shuffle(edges)
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert found == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)}
+    named = spark.createDataFrame([(str(a), str(b)) for a, b in edges if a is not None], "a string, b string").repartition(3)
+    found = {r["node"]: r["component"] for r in connected_components(named).collect()}
+    assert found["60"] == "0" and found["1079"] == "1000"
