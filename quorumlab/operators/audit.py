@@ -74,10 +74,11 @@ def cell_pair_deltas(df: DataFrame, cell: list[str], rid: str, member: str, valu
     return df.join(b, on).select(*cell, F.abs(F.col(value) - F.col("_" + value)).alias("d"))
 
 
-def majority(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The most frequent value of each group, the smallest on ties, and its count."""
-    c = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy(F.desc("n"), value)
+def majority(df: DataFrame, group: str, value: str, order: str | None = None) -> DataFrame:
+    """The most frequent value of each group and its count; on ties the one met first in the order column, or else the smallest."""
+    first = F.min(order) if order else F.lit(None)
+    c = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"), first.alias("_first"))
+    w = Window.partitionBy(group).orderBy(F.desc("n"), "_first", value)
     return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(group, value, "n")
 
 

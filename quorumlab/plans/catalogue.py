@@ -761,26 +761,6 @@ def fixed_t_interp(spark, sf_dir):
     return rounded(out.groupBy("split").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y")), "mean_y")
 
 
-SEEDS = [("ridge", s, sp, "RMSE", v) for s, sp, v in ((42, "eval", 0.5), (101, "eval", 0.7), (42, "ood", 1.0), (101, "ood", 1.5))] + [("extra", 42, "eval", "RMSE", 0.9)]
-SEEDS_SQL = "r(method, seed, split, metric, value) AS (VALUES " + ", ".join(repr(x) for x in SEEDS) + ")"
-
-
-def seed_results(spark):
-    return spark.createDataFrame(SEEDS, "method string, seed int, split string, metric string, value double")
-
-
-@query(f"WITH {SEEDS_SQL} SELECT method, split, metric, round(avg(value), 6)::DOUBLE AS mean, round(stddev_pop(value), 6)::DOUBLE AS std, count(*) AS n FROM r GROUP BY 1, 2, 3")
-def seed_aggregate(spark, sf_dir):
-    return rounded(metrics.seed_aggregate(seed_results(spark), ["method", "split", "metric"]), "mean", "std")
-
-
-@query(f"""WITH {SEEDS_SQL}, a AS (SELECT method, split || '_' || metric AS k, avg(value) AS v FROM r GROUP BY 1, 2)
-SELECT method, CASE WHEN method = 'ridge' THEN 1 ELSE 2 END::BIGINT AS ord, round(max(v) FILTER (k = 'eval_RMSE'), 6)::DOUBLE AS eval_RMSE, round(max(v) FILTER (k = 'ood_RMSE'), 6)::DOUBLE AS ood_RMSE FROM a GROUP BY 1""")
-def method_table(spark, sf_dir):
-    table = metrics.method_table(metrics.seed_aggregate(seed_results(spark), ["method", "split", "metric"]), ["eval_RMSE", "ood_RMSE"], ["ridge"])
-    return rounded(table, "eval_RMSE", "ood_RMSE").select("method", "ord", "eval_RMSE", "ood_RMSE")
-
-
 def assembled(spark, sf_dir) -> DataFrame:
     """A row of features for each measurement: those of its solute, its solvent, and of temperature."""
     part = scan_parquet(spark, sf_dir, "part")

@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python workers in batches of so many rows at most, so that batches of long texts stay small in both processes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder that an operator has written, on whatever file system it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

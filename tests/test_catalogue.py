@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quorumlab.plans.catalogue import ORACLES, QUERIES
+from quorumlab.plans.catalogue import ORACLES, QUERIES  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
