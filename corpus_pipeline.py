@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorumlab.llm import langid, nearcopies, packing, toxicity
 from quorumlab.llm.chunks import vocabulary_path
-from quorumlab.session import remove_folder, shared_folder
+from quorumlab.session import bound_batches, remove_folder, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; texts without a letter and those unlike any language go."""
+    bound_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier doesn't find toxic."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
@@ -32,11 +34,13 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     SimHash blocks give the first candidates; see nearcopies for those that no blocks can give.
     """
+    bound_batches(spark)
     return nearcopies.drop_jaccard_copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, in sequences of 4096 tokens."""
+    bound_batches(spark)
     return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 

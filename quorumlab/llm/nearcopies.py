@@ -10,12 +10,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quorumlab.llm.simhash import SEED, SMALL_RUN, bit_counts_of, fingerprint_links, majority, shingle_hashes
+from quorumlab.llm.simhash import SEED, bit_counts_of, fingerprint_links, majority, shingle_hashes
 from quorumlab.operators.graph import connected_components
 from quorumlab.session import cut
 
 #: Distinct texts whose shingles are counted to learn which are common, how often one must occur there, and how many are remembered.
 SAMPLE, COMMON_FROM, MOST_COMMON = 8192, 2, 1 << 17
+#: Sets in a bucket up to which all its pairs are candidates at once; a larger bucket gives rows in proportion to its size.
+SMALL_RUN = 3
 #: Candidate pairs that a task holds at once to give each of them once.
 PAIRS_AT_ONCE = 1 << 18
 #: Sets of texts that a task remembers between the pairs it verifies.
