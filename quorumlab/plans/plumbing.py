@@ -336,3 +336,44 @@ def worst_residuals(spark, sf_dir):
 def precision_histogram(spark, sf_dir):
     line = scan_parquet(spark, sf_dir, "lineitem").select(scalar.n_decimals(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("decimals"))
     return line.groupBy("decimals").agg(F.count("*").alias("n"))
+
+
+# --- Molecules ---------------------------------------------------------------------------------
+
+#: SMILES with their atoms, bonds, hydrogens, ring atoms, and closed walks of 3 and 4 steps, counted by hand. Fixed values.
+MOLECULES = [
+    ("CCO", 3, 2, 6, 0, 0, 8), ("c1ccccc1", 6, 6, 6, 6, 0, 36), ("CC(=O)O", 4, 3, 4, 0, 0, 18), ("C1CC1", 3, 3, 6, 3, 6, 18), ("[NH4+]", 1, 0, 4, 0, 0, 0), ("O", 1, 0, 2, 0, 0, 0),
+    ("c1ccncc1", 6, 6, 5, 6, 0, 36), ("CC#N", 3, 2, 3, 0, 0, 8), ("ClCCl", 3, 2, 2, 0, 0, 8), ("c1ccc2ccccc2c1", 10, 11, 8, 10, 0, 78), ("CS(C)=O", 4, 3, 6, 0, 0, 18), ("C1CC", None, None, None, None, None, None),
+]
+MOLECULES_SQL = "mo(k, smiles, atoms, bonds, hydrogens, ring, walks3, walks4) AS (VALUES " + ", ".join(f"({i}, " + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for i, r in enumerate(MOLECULES)) + ")"
+
+
+def with_molecules(spark, sf_dir) -> DataFrame:
+    smiles = F.array(*[F.lit(r[0]) for r in MOLECULES])
+    return scan_parquet(spark, sf_dir, "part").select("p_partkey", "p_type", F.element_at(smiles, (F.col("p_partkey") % len(MOLECULES)).cast("int") + 1).alias("smiles"))
+
+
+@query(f"""WITH {MOLECULES_SQL} SELECT smiles, count(*) AS n, any_value(atoms)::DOUBLE AS atoms, any_value(2 * bonds)::DOUBLE AS edges, any_value(hydrogens)::DOUBLE AS hydrogens, any_value(ring)::DOUBLE AS ring
+FROM part JOIN mo ON k = p_partkey % {len(MOLECULES)} GROUP BY 1""")
+def molecular_graphs(spark, sf_dir):
+    """Graphs of the distinct molecules, joined back to the rows."""
+    rows = with_molecules(spark, sf_dir)
+    of = lambda i: F.aggregate("nodes", F.lit(0.0), lambda s, x: s + x[i].cast("double"))
+    g = registry.molecule_graphs(rows, "smiles").select("smiles", F.size("nodes").alias("atoms"), F.size("edges").alias("edges"), of(3).alias("hydrogens"), of(5).alias("ring"))
+    known = F.col("hydrogens").isNotNull()
+    return rows.groupBy("smiles").agg(F.count("*").alias("n")).join(g, "smiles").select("smiles", "n", F.when(known, F.col("atoms").cast("double")).alias("atoms"), F.when(known, F.col("edges").cast("double")).alias("edges"), "hydrogens", "ring")
+
+
+@query(f"WITH {MOLECULES_SQL} SELECT p_partkey, smiles, walks3::DOUBLE AS walks3, walks4::DOUBLE AS walks4 FROM part JOIN mo ON k = p_partkey % {len(MOLECULES)}")
+def molecular_topology(spark, sf_dir):
+    rows = with_molecules(spark, sf_dir)
+    table = registry.feature_table(rows, ["smiles"], "topology").select(F.col("key").alias("smiles"), F.col("features")[0].cast("double").alias("walks3"), F.col("features")[1].cast("double").alias("walks4"))
+    return rows.join(table, "smiles", "left").select("p_partkey", "smiles", "walks3", "walks4")
+
+
+@query(f"""WITH {MOLECULES_SQL}, s AS (SELECT smiles, atoms, bonds, (sum(atoms) OVER (ORDER BY smiles) - atoms)::BIGINT AS first FROM (SELECT DISTINCT smiles, atoms, bonds FROM part JOIN mo ON k = p_partkey % {len(MOLECULES)} WHERE atoms IS NOT NULL))
+SELECT smiles, first, CASE WHEN bonds > 0 THEN first::DOUBLE END AS least_node FROM s""")
+def graph_batch(spark, sf_dir):
+    """The molecules as one batch: nodes numbered through, edges shifted."""
+    batch = registry.batch_graphs(registry.molecule_graphs(with_molecules(spark, sf_dir), "smiles"), "smiles")
+    return batch.select("smiles", F.col("first").cast("long").alias("first"), F.array_min(F.flatten("edges")).cast("double").alias("least_node"))

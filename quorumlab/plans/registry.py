@@ -11,7 +11,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quorumlab.functions import molecules
 from quorumlab.operators import models
+from quorumlab.operators.ordered import global_running
 from quorumlab.operators.splits import draw
 
 SEEDS = [42, 101, 123, 456, 789]
@@ -95,6 +97,36 @@ def _letter_counts(keys: pd.Series) -> pd.Series:
 register_featurizer("letter_counts", _letter_counts)
 
 
+def of_molecules(f: Callable[[molecules.Molecule], list]) -> Featurizer:
+    """A featurizer of keys that are SMILES; None for those that can't be read."""
+    return lambda keys: keys.map(lambda k: None if (m := molecules.parse(k)) is None else f(m))
+
+
+for _name in ("topology", "environments", "atom_pairs"):
+    register_featurizer(_name, of_molecules(getattr(molecules, _name)))
+
+
+def molecule_graphs(keys: DataFrame, key: str) -> DataFrame:
+    """(key, nodes, edges) of each distinct key: seven features an atom and both directions of each bond; nulls if unreadable."""
+
+    @F.pandas_udf("struct<nodes: array<array<float>>, edges: array<array<int>>>")
+    def graph(s: pd.Series) -> pd.DataFrame:
+        found = [molecules.parse(k) for k in s]
+        return pd.DataFrame({"nodes": [m and molecules.node_features(m) for m in found], "edges": [m and molecules.edge_index(m) for m in found]})
+
+    return keys.select(key).where(F.col(key).isNotNull()).distinct().select(key, graph(key).alias("g")).select(key, "g.nodes", "g.edges")
+
+
+def batch_graphs(graphs: DataFrame, key: str) -> DataFrame:
+    """graphs in the order of their key, with `first`, the nodes before each, and edges shifted by it; unreadable ones go.
+
+    The running count of nodes is taken range by range, so no task holds the batch.
+    """
+    sized = graphs.where("nodes is not null").withColumn("_n", F.size("nodes").cast("long"))
+    run = global_running(sized, [F.col(key)], "_n").withColumn("first", F.col("cum") - F.col("_n"))
+    return run.withColumn("edges", F.transform("edges", lambda e: F.transform(e, lambda i: i + F.col("first")))).drop("_n", "cum", "rank")
+
+
 def map_distinct(df: DataFrame, key: str, f: Callable[[pd.Series], pd.Series], kind: str, out: str) -> DataFrame:
     """df with out = f(key), computed once for each distinct key and joined back.
 

@@ -144,7 +144,8 @@ def test_theta_is_strict(spark):
     edges = frame(spark, [("a", "b", 0.01), ("b", "c", 0.0099)], "gi string, gj string, weighted_mae double")
     nodes = frame(spark, [("a",), ("b",), ("c",)], "src string")
     assert dict(values(agreement.merge_groups(edges, nodes, 0.01), "src", "component")) == {"a": "a", "b": "b", "c": "b"}
-    sweep = agreement.theta_groups(edges, nodes, [0.005, 0.01, 0.02]).orderBy("theta")
+    sizes = agreement.theta_groups(edges, nodes, [0.005, 0.01, 0.02]).groupBy("theta", "component").agg(F.count("*").alias("size"))
+    sweep = sizes.groupBy("theta").agg(F.count("*").alias("n_components"), F.max("size").alias("largest")).orderBy("theta")
     assert values(sweep, "n_components", "largest") == [(3, 1), (2, 2), (1, 3)]
 
 

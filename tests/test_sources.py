@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from quorumlab.functions import molecules
 from quorumlab.plans import registry
 from quorumlab.sources import sinks, tables
 from quorumlab.streaming import incremental
@@ -119,3 +120,15 @@ def test_stream_deduplication(spark, tmp_path):
     counts = incremental.windowed_source_counts(stream, "at", "k", "1 hour", "1 hour").writeStream.format("memory").outputMode("complete").queryName("counted").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert {r["k"]: r["n"] for r in spark.table("counted").collect()} == {"a": 2, "b": 1}
+
+
+def test_smiles_are_read_or_refused():
+    m = molecules.parse("C[C@@H](N)C(=O)[O-].[Na+]")
+    assert m.symbols == ["C", "C", "N", "C", "O", "O", "Na"] and m.hydrogens == [3, 1, 2, 0, 0, 0, 0] and m.charges == [0, 0, 0, 0, 0, -1, 1] and len(m.bonds) == 5
+    assert molecules.parse("c1cc[nH]c1").hydrogens == [1, 1, 1, 1, 1] and molecules.parse("C%12CC%12").in_ring() == [True] * 3
+    assert all(molecules.parse(x) is None for x in (None, "", "C1CC", "C(", "C)", "xyz", "[Zz]", "1C"))
+    ethanol, same, other = (molecules.parse(x) for x in ("CCO", "OCC", "CCN"))
+    for f in (molecules.environments, molecules.atom_pairs, molecules.topology):
+        assert f(ethanol) == f(same)
+    assert molecules.environments(ethanol) != molecules.environments(other) and len(molecules.topology(ethanol)) == len(molecules.TOPOLOGY_NAMES)
+    assert sum(molecules.atom_pairs(ethanol)) == 3
