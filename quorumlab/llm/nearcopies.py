@@ -18,8 +18,12 @@ from quorumlab.session import cut
 SAMPLE, COMMON_FROM, MOST_COMMON = 8192, 2, 1 << 17
 #: Sets in a bucket up to which all its pairs are candidates at once; a larger bucket gives rows in proportion to its size.
 SMALL_RUN = 3
+#: Cells of a set's sketch (half a byte each), and how far a hash is shifted to give its cell.
+CELLS, CELL_SHIFT = 128, np.uint64(57)
 #: Candidate pairs that a task holds at once to give each of them once.
 PAIRS_AT_ONCE = 1 << 18
+#: Sketches that are compared with one at once.
+SKETCHES_AT_ONCE = 8192
 #: Sets of texts that a task remembers between the pairs it verifies.
 SETS_HELD = 256
 #: Hashes of texts or sets that a task remembers, so as to give each of them once.
@@ -84,6 +88,34 @@ def _possible(n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, si
     return (small >= similarity * large - 1e-6) & (rest * (1 + similarity) >= similarity * (small + large) - 1e-6)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of CELLS cells, 15 at most, two cells a byte."""
+    n = np.minimum(np.bincount((hashes >> CELL_SHIFT).astype(np.int64), minlength=CELLS), 15).astype(np.uint8)
+    return (n[::2] << 4 | n[1::2]).tobytes()
+
+
+def _cells(sketches: np.ndarray) -> np.ndarray:
+    """A row of cells for each sketch."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), CELLS // 2)
+    return np.concatenate((packed >> 4, packed & 15), axis=1)
+
+
+def _sketch_allows(n: np.ndarray, cells: np.ndarray, x: int, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of set x and of the sets y leave room for the similarity; never false for a similar pair.
+
+    Where x has more in a cell than another set, the surplus isn't shared, and cells cut off at 15 only hide
+    some of it. So both share at most what remains of x without its surplus, and as much of the other.
+    """
+    ok = np.empty(len(y), bool)
+    for at in range(0, len(y), SKETCHES_AT_ONCE):
+        part = y[at : at + SKETCHES_AT_ONCE]
+        more = np.maximum(cells[part], cells[x])
+        own, other = (more - cells[part]).sum(axis=1, dtype=np.int64), (more - cells[x]).sum(axis=1, dtype=np.int64)
+        both = np.minimum(n[x] - own, n[part] - other)
+        ok[at : at + SKETCHES_AT_ONCE] = both * (1 + similarity) >= similarity * (n[x] + n[part]) - 1e-6
+    return ok
+
+
 def _run_bounds(run: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True])))
 
@@ -119,22 +151,22 @@ def _first_pairs(run: np.ndarray, n: np.ndarray, place: np.ndarray, similarity:
     return np.concatenate(src or empty), np.concatenate(dst or empty), np.concatenate(long_ or empty)
 
 
-def _other_pairs(run: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the candidate pairs of each run that aren't yet in one group."""
+def _other_pairs(run: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the candidate pairs of each run that aren't yet in one group and whose sketches allow the similarity."""
     src, dst, bounds = [], [], _run_bounds(run)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         groups, which, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
         if len(groups) < 2:
             continue
-        largest = which == count.argmax()
+        largest, cells = which == count.argmax(), _cells(sketch[lo:hi])
         for i in np.flatnonzero(~largest):
             others = (which != which[i]) & largest
             others[i + 1 :] |= which[i + 1 :] != which[i]
             y = lo + np.flatnonzero(others)
-            x = np.full(len(y), lo + i)
-            ok = _possible(n, place, x, y, similarity)
-            src.append(x[ok])
-            dst.append(y[ok])
+            y = y[_possible(n, place, np.full(len(y), lo + i), y, similarity)]
+            y = lo + (y - lo)[_sketch_allows(n[lo:hi], cells, i, y - lo, similarity)]
+            src.append(np.full(len(y), lo + i))
+            dst.append(y)
     empty = [np.empty(0, np.int64)]
     return np.concatenate(src or empty), np.concatenate(dst or empty)
 
@@ -260,7 +292,7 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     the bucket of each shingle of its prefix (see _prefix); what meets there, may be similar and isn't yet in one
     group is a candidate too. Every candidate's texts are compared as whole sets. Large buckets are gone through
     twice: first with one set of theirs, then with what the links found so far have not joined, so a dense group
-    never becomes all its pairs. Null and empty texts have the empty set, one node that links to no other.
+    never becomes all its pairs; of those, only sets whose sketches leave room for the similarity are compared. Null and empty texts have the empty set, one node that links to no other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_most_common(docs, words))  # bounded by MOST_COMMON
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -268,23 +300,23 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, node, n = batch.slice(at, 512), [], []
+                part, node, sketch = batch.slice(at, 512), [], []
 
                 def hashes(texts: list[bytes | None]) -> Iterator[np.ndarray | None]:
                     for text in texts:
                         pieces = list(shingle_hashes(text, words))
                         s = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
                         node.append(_digest(s))
-                        n.append(len(s))
+                        sketch.append(_sketch(s))
                         yield from pieces
                         yield None
 
                 fp = majority(*bit_counts_of(hashes(part.column(2).to_pylist())))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(fp)], names=["doc_id", "text_hash", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(fp), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "sketch"])
 
     prints = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    prints = cut(prints.mapInArrow(describe, f"doc_id {kind}, text_hash long, node long, fp long"))
-    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"))
+    prints = cut(prints.mapInArrow(describe, f"doc_id {kind}, text_hash long, node long, fp long, sketch binary"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes)
     close = cut(_simhash_pairs(nodes, radius))
 
@@ -329,8 +361,8 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
             if p is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
-        for token, size, node, label in _runs(batches, 4):
-            x, y = _other_pairs(token, size >> 32, size & 0xFFFFFFFF, label, similarity)
+        for token, size, node, label, sketch in _runs(batches, 5):
+            x, y = _other_pairs(token, size >> 32, size & 0xFFFFFFFF, label, sketch, similarity)
             yield from batch_of(pairs.add(node[x], node[y]))
         yield from batch_of(pairs.take())
 
@@ -345,7 +377,7 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     links = links.unionAll(_similar_pairs(open_, texts, words, similarity))
     if not long_.isEmpty():
         groups = connected_components(links)
-        labelled = long_.join(groups, "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("label"))
+        labelled = long_.join(groups, "node", "left").join(nodes.select("node", "sketch"), "node").select("token", "size", "node", F.coalesce("component", "node").alias("label"), "sketch")
         more = labelled.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(others, "a long, b long").distinct()
         more = more.join(asked.unionAll(close), ["a", "b"], "left_anti")
         links = links.unionAll(_similar_pairs(more, texts, words, similarity))
