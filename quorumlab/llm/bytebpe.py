@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quorumlab.llm.chunks import ChunkMemo, read_ranks, split_before_spaces, tokenizer_from_ranks
+from quorumlab.llm.workers import kept_by_worker
 
 #: Texts encoded at once.
 TEXTS_AT_ONCE = 256
@@ -79,7 +79,7 @@ class StreamDecoder:
         return rest.decode("utf-8", "replace")
 
 
-@cache
+@kept_by_worker
 def codec(ranks_path: str, pattern: str) -> ByteCodec:
     """One codec for each worker process."""
     return ByteCodec(ranks_path, pattern)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quorumlab.llm.workers import release_kept
 from quorumlab.session import cut
 
 ORDER = 5
@@ -367,6 +368,7 @@ def identify_column(models: LanguageModels | None, spark, text: str = "text"):
 
     @F.arrow_udf("lang string, score double, cross_entropy double, rejected boolean")
     def identify(batch: pa.Array) -> pa.Array:
+        release_kept()
         names, score, entropy, rejected = [], [], [], []
         for at in range(0, len(batch), 256):
             texts = batch.slice(at, 256).to_pylist()

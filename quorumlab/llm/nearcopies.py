@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quorumlab.llm.simhash import SEED, bit_counts_of, fingerprint_links, majority, shingle_hashes
+from quorumlab.llm.workers import release_kept
 from quorumlab.operators.graph import connected_components
 from quorumlab.session import cut
 
@@ -298,6 +299,7 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, node, sketch = batch.slice(at, 512), [], []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from quorumlab.llm.chunks import ChunkMemo, split_at_spaces
+from quorumlab.llm.workers import kept_by_worker
 from quorumlab.session import cut
 
 #: Groups of (length, salt) beyond one for each length, so that a group holds about 1/4096 of all pieces at most.
@@ -20,7 +20,7 @@ SALTS = 4096
 TEXTS_AT_ONCE = 256
 
 
-@cache
+@kept_by_worker
 def memo(tokenizer_path: str) -> ChunkMemo:
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quorumlab.llm.chunks import read_ranks
+from quorumlab.llm.workers import kept_by_worker
 
 #: Words remembered by a worker before it starts anew; longer words are counted each time.
 MEMO_WORDS = 300_000
@@ -100,7 +100,7 @@ class WordCounts:
         return len(sizes), sum(sizes), max(sizes, default=0)
 
 
-@cache
+@kept_by_worker
 def word_counts(ranks_path: str) -> WordCounts:
     """One for each worker process."""
     return WordCounts(ranks_path)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quorumlab.llm.workers import release_kept
 from quorumlab.session import cut
 
 #: Bounds on the sample that is fitted: documents marked toxic, and unlabelled ones.
@@ -196,6 +197,7 @@ def score_column(model: ToxicityModel, spark: SparkSession, text: str = "text"):
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:
+        release_kept()
         parts = [shared.value.scores(batch.slice(at, 1024).to_pylist()) for at in range(0, len(batch), 1024)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
