@@ -19,6 +19,8 @@ from quorumlab.session import cut
 SAMPLE, COMMON_FROM, MOST_COMMON = 8192, 2, 1 << 17
 #: Sets in a bucket up to which all its pairs are candidates at once; a larger bucket gives rows in proportion to its size.
 SMALL_RUN = 3
+#: Times that each set of a large bucket meets two others there before those still apart all meet.
+ROUNDS = 1
 #: Candidate pairs that a task holds at once to give each of them once.
 PAIRS_AT_ONCE = 1 << 18
 #: Sets of texts that a task remembers between the pairs it verifies.
@@ -140,6 +142,25 @@ def _other_pairs(run: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.nd
     return np.concatenate(src or empty), np.concatenate(dst or empty)
 
 
+def _few_pairs(run: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, label: np.ndarray, turn: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two candidate pairs at most for each row, of sets that aren't yet in one group, whatever the size of a run.
+
+    A row meets the one beside it in an order of its own for each run and turn, and one of its run's middle: the row that
+    comes at this turn by the share of rarer shingles before its place. Sets with few shingles of their own are most similar to all.
+    """
+    mixed = (node.view(np.uint64) ^ run.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.lexsort((mixed, run))
+    bounds = _run_bounds(run)
+    sizes = np.diff(bounds)
+    middle = np.lexsort((node, place / n, run))[bounds[:-1] + np.minimum(turn, sizes - 1)]
+    x, y = np.concatenate((order[:-1], np.repeat(middle, sizes))), np.concatenate((order[1:], np.arange(len(run))))
+    apart = (run[x] == run[y]) & (label[x] != label[y])
+    x, y = x[apart], y[apart]
+    ok = _possible(n, place, x, y, similarity)
+    return x[ok], y[ok]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
     """Columns of whole runs of the first column, a batch or more at a time."""
     held = None
@@ -260,8 +281,8 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     Sets of the similarity can lie much further apart than any radius that blocks can cover, so a node also goes to
     the bucket of each shingle of its prefix (see _prefix); what meets there, may be similar and isn't yet in one
     group is a candidate too. Every candidate's texts are compared as whole sets. Large buckets are gone through
-    twice: first with one set of theirs, then with what the links found so far have not joined, so a dense group
-    never becomes all its pairs. Null and empty texts have the empty set, one node that links to no other.
+    several times: first with one set of theirs, then each set with two others that the links found so far have not
+    joined to it, at last all that is still apart, so a dense group never becomes all its pairs. Null and empty texts have the empty set, one node that links to no other.
     """
     common = docs.sparkSession.sparkContext.broadcast(_most_common(docs, words))  # bounded by MOST_COMMON
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -324,17 +345,21 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(token[long_]), pa.array(node[long_]), pa.nulls(len(long_), pa.int64()), pa.array(size[long_])], names=names)
         yield from batch_of(pairs.take())
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
+    def others(turn: int):
+        def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = _Pairs()
 
-        def batch_of(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            if p is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+            def batch_of(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+                if p is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
-        for token, size, node, label in _runs(batches, 4):
-            x, y = _other_pairs(token, size >> 32, size & 0xFFFFFFFF, label, similarity)
-            yield from batch_of(pairs.add(node[x], node[y]))
-        yield from batch_of(pairs.take())
+            for token, size, node, label in _runs(batches, 4):
+                n, place = size >> 32, size & 0xFFFFFFFF
+                x, y = _few_pairs(token, n, place, node, label, turn, similarity) if turn < ROUNDS else _other_pairs(token, n, place, label, similarity)
+                yield from batch_of(pairs.add(node[x], node[y]))
+            yield from batch_of(pairs.take())
+
+        return pairs_apart
 
     dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(spread, "token long, size long, node long")
     found = cut(dealt.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(first, "token long, a long, b long, size long"))
@@ -346,11 +371,13 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
     open_ = asked.join(_joined(asked, connected_components(links)), ["a", "b"], "left_anti")
     links = links.unionAll(_similar_pairs(open_, texts, words, similarity))
     if not long_.isEmpty():
-        groups = connected_components(links)
-        labelled = long_.join(groups, "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("label"))
-        more = labelled.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(others, "a long, b long").distinct()
-        more = more.join(asked.unionAll(close), ["a", "b"], "left_anti")
-        links = links.unionAll(_similar_pairs(more, texts, words, similarity))
+        known = asked.unionAll(close)
+        for turn in range(ROUNDS + 1):
+            groups = connected_components(links)
+            labelled = long_.join(groups, "node", "left").select("token", "size", "node", F.coalesce("component", "node").alias("label"))
+            more = labelled.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(others(turn), "a long, b long").distinct()
+            more = cut(more.join(known, ["a", "b"], "left_anti"))
+            links, known = links.unionAll(_similar_pairs(more, texts, words, similarity)), known.unionAll(more)
     groups = connected_components(links)
     rooted = cut(nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -79,3 +80,17 @@ def test_one_row_stays_of_repeated_rows_and_null_ids(spark):
     kept = sorted(((r.doc_id, r.text, r.source) for r in nearcopies.drop_jaccard_copies(docs).collect()), key=str)
     assert [k for k in kept if k[1]] == sorted([(7, a, "x"), (7, b, "v"), (None, c, "s")], key=str)
     assert len(kept) == 4
+
+
+def test_a_round_gives_few_pairs_of_sets_apart():
+    """A run of 400 sets in 40 groups: two pairs a row at most, none within a group or a run of its own, other ones at the next turn."""
+    run = np.repeat(np.array([3, 9, 11]), [400, 1, 200])
+    node = np.arange(len(run)) * 7919
+    n, place, label = np.full(len(run), 100), np.arange(len(run)) % 20, np.arange(len(run)) % 40
+    turns = []
+    for turn in (0, 1):
+        x, y = nearcopies._few_pairs(run, n, place, node, label, turn, 0.8)
+        assert 0 < len(x) <= 2 * len(run)
+        assert (run[x] == run[y]).all() and (label[x] != label[y]).all()
+        turns.append({frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)})
+    assert len(turns[0] & turns[1]) < len(turns[0]) / 2
