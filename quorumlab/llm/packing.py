@@ -23,7 +23,6 @@ TEXTS_AT_ONCE = 256
 @kept_by_worker
 def memo(tokenizer_path: str) -> ChunkMemo:
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         ends_word[i] = token.endswith("</w>")
@@ -201,7 +200,8 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
-    Null and empty texts are one piece, the end id alone. Repeated rows are packed as often as
+    Ids are those of the plain call: an added token's exact string in a text gives that token. Null
+    and empty texts are one piece, the end id alone. Repeated rows are packed as often as
     they come. Other columns are ignored.
     """
     pieces = cut(cut_pieces(docs, tokenizer_path, end_id, capacity))
