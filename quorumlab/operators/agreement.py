@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quorumlab.operators.fits import evaluate, grid
-from quorumlab.operators.graph import connected_components
-from quorumlab.operators.ordered import global_running
+from quorumlab.operators.fits import grid
+from quorumlab.operators.graph import components_at, connected_components, minimum_spanning_forest
+from quorumlab.operators.ordered import global_running, with_quantiles
 from quorumlab.session import cut
 
 #: Overlap of two fits' temperature ranges, in kelvin, from which they are compared.
 LEAST_OVERLAP = 5.0
+#: Groups of one (solute, solvent) that meet each other in one task.
+BLOCK = 512
 
 
 def fit_pairs(fits: DataFrame, group: str = "src", least_overlap: float = LEAST_OVERLAP) -> DataFrame:
     """Each unordered pair of groups that share a (solute, solvent), with their overlap t0 to t1.
 
     An equi-join with gi < gj and the overlap as residual predicates, so only pairs that are
-    compared are made; a (solute, solvent) with very many groups is split by AQE.
+    compared are made. Groups of a (solute, solvent) are dealt into as many blocks as its number asks for, and each
+    block meets each other under a key of its own: a pair is made once, and a hot (solute, solvent) is spread over its pairs of blocks.
     """
     cols = ["a", "b", "c", "t_min", "t_max"]
-    a = fits.select("solute", "solvent", F.col(group).alias("gi"), *[F.col(x).alias("i_" + x) for x in cols])
-    b = fits.select(F.col("solute").alias("_s"), F.col("solvent").alias("_v"), F.col(group).alias("gj"), *[F.col(x).alias("j_" + x) for x in cols])
+    blocks = fits.groupBy("solute", "solvent").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")).where("_n > 1")  # hot ones only
+    dealt = fits.join(blocks.withColumnsRenamed({"solute": "_s", "solvent": "_v"}), (F.col("solute") == F.col("_s")) & (F.col("solvent") == F.col("_v")), "left")
+    dealt = dealt.withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(group), "_n").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    a = dealt.select("solute", "solvent", F.col("_own").alias("_p"), F.col("_other").alias("_q"), F.col(group).alias("gi"), *[F.col(x).alias("i_" + x) for x in cols])
+    b = dealt.select(F.col("solute").alias("_s"), F.col("solvent").alias("_v"), F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col(group).alias("gj"), *[F.col(x).alias("j_" + x) for x in cols])
     t0, t1 = F.greatest("i_t_min", "j_t_min"), F.least("i_t_max", "j_t_max")
-    on = (F.col("solute") == F.col("_s")) & (F.col("solvent") == F.col("_v")) & (F.col("gi") < F.col("gj")) & (t1 - t0 >= least_overlap)
-    return a.join(b, on).withColumn("t0", t0).withColumn("t1", t1).drop("_s", "_v")
+    same = (F.col("solute") == F.col("_s")) & (F.col("solvent") == F.col("_v")) & (F.col("_p") == F.col("_x")) & (F.col("_q") == F.col("_y"))
+    on = same & (F.col("gi") < F.col("gj")) & (t1 - t0 >= least_overlap)
+    return a.join(b, on).withColumn("t0", t0).withColumn("t1", t1).drop("_s", "_v", "_p", "_q", "_x", "_y")
 
 
 def _difference(t: Column) -> Column:
@@ -76,18 +84,37 @@ def best_representative(fits: DataFrame, group: str) -> DataFrame:
     return fits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def leave_one_out(fits: DataFrame, group: str = "src", least_overlap: float = LEAST_OVERLAP) -> DataFrame:
-    """(group, dev): how far each group lies from the mean of the others, a row for each grid point.
+def leave_one_out_curves(fits: DataFrame, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+    """fits with da, db, dc: each fit less the mean of the other fits of its (solute, solvent), as a curve over t0 to t1.
 
-    On the temperatures common to all groups of a (solute, solvent) with 2 groups at least. The
-    mean of the others needs no self-join: it is the window's sum less the own value, over one less.
+    On the temperatures common to all groups of a (solute, solvent) with 2 groups at least. Curves are linear in their
+    coefficients, so the mean of the others is the sum of coefficients less the own ones: one aggregate, without grid rows or a self-join.
     """
-    w = Window.partitionBy("solute", "solvent")
-    common = fits.select("*", F.max("t_min").over(w).alias("t0"), F.min("t_max").over(w).alias("t1"), F.count("*").over(w).alias("k"))
-    common = common.where((F.col("k") >= 2) & (F.col("t1") - F.col("t0") >= least_overlap))
-    pts = common.withColumn("t", F.explode(grid(F.col("t0"), F.col("t1")))).withColumn("v", evaluate(F.col("t")))
-    at = Window.partitionBy("solute", "solvent", "t")
-    return pts.select(group, F.abs(F.col("v") - (F.sum("v").over(at) - F.col("v")) / (F.col("k") - 1)).alias("dev"))
+    key = ["solute", "solvent"]
+    c = F.coalesce("c", F.lit(0.0))
+    sums = fits.groupBy(*key).agg(F.count("*").alias("k"), F.max("t_min").alias("t0"), F.min("t_max").alias("t1"), F.sum("a").alias("_a"), F.sum("b").alias("_b"), F.sum(c).alias("_c"))
+    joined = fits.join(sums.where((F.col("k") >= 2) & (F.col("t1") - F.col("t0") >= least_overlap)), key)
+    return joined.withColumns(_from_others(F.col("_a"), F.col("_b"), F.col("_c"), F.col("k"))).drop("_a", "_b", "_c")
+
+
+def _from_others(a: Column, b: Column, c: Column, k: Column) -> dict[str, Column]:
+    own = {"a": F.col("a"), "b": F.col("b"), "c": F.coalesce("c", F.lit(0.0))}
+    return {f"d{x}": own[x] - (total - own[x]) / (k - 1) for x, total in (("a", a), ("b", b), ("c", c))}
+
+
+def _deviation(t: Column) -> Column:
+    return F.abs(F.col("da") + F.col("db") / t + F.col("dc") * F.log(t))
+
+
+def _grid_sums() -> tuple[Column, Column]:
+    """How many grid points of 1 K lie in t0 to t1, and the sum of the deviations there."""
+    steps = F.floor(F.col("t1") - F.col("t0")).cast("int")
+    return (steps + 1).cast("long"), F.aggregate(F.sequence(F.lit(0), steps), F.lit(0.0), lambda s, i: s + _deviation(F.col("t0") + i))
+
+
+def leave_one_out(fits: DataFrame, group: str = "src", least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+    """(group, dev): how far each group lies from the mean of the others, a row for each grid point, made only when asked for."""
+    return leave_one_out_curves(fits, least_overlap).withColumn("t", F.explode(grid(F.col("t0"), F.col("t1")))).select(group, _deviation(F.col("t")).alias("dev"))
 
 
 def source_reliability(fits: DataFrame, members: DataFrame, group: str = "src", threshold: float = 0.6) -> DataFrame:
@@ -95,9 +122,9 @@ def source_reliability(fits: DataFrame, members: DataFrame, group: str = "src",
 
     flagged: a mean deviation of the threshold or more.
     """
-    dev = leave_one_out(fits, group)
-    stats = dev.groupBy(group).agg(F.count("*").alias("n_grid"), F.avg("dev").alias("mean_dev"), F.median("dev").alias("median_dev"), F.max("dev").alias("max_dev"))
-    out = members.select(group).distinct().join(stats, group, "left")
+    dev = cut(leave_one_out(fits, group))
+    stats = dev.groupBy(group).agg(F.count("*").alias("n_grid"), F.avg("dev").alias("mean_dev"), F.max("dev").alias("max_dev"))
+    out = members.select(group).distinct().join(with_quantiles(stats, dev, [group], "dev", {"median_dev": 0.5}), group, "left")
     return out.select(group, F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"), "mean_dev", "median_dev", "max_dev", F.coalesce(F.col("mean_dev") >= threshold, F.lit(False)).alias("flagged"))
 
 
@@ -139,42 +166,60 @@ def pair_agreement(fits: DataFrame, good: DataFrame, flagged: DataFrame, group:
     return out.withColumn("any_flagged", F.coalesce("any_flagged", F.lit(False)))
 
 
-def theta_groups(edges: DataFrame, nodes: DataFrame, thetas: list[float]) -> DataFrame:
-    """(theta, src, component): groups that edges below each theta make, in one graph.
+def representatives_until(fits: DataFrame, labels: DataFrame) -> DataFrame:
+    """(solute, solvent, src, until): up to which threshold (a place in labels' components) each fit is its final group's best.
 
-    A node of the graph is a (theta, source); edges of different thetas never meet, so all
-    thresholds take one run of connected components instead of one each.
+    Components only grow with the threshold, so a fit is the best of its group for the first thresholds or for none.
     """
-    spark = edges.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(float(x),) for x in thetas], "theta double"))
-    label = lambda c: F.concat_ws("|", F.col("theta").cast("string"), F.col(c).cast("string"))
-    linked = edges.join(steps, F.col("weighted_mae") < F.col("theta")).select(label("gi").alias("a"), label("gj").alias("b"))
-    after = lambda c: F.expr(f"substring({c}, locate('|', {c}) + 1)")
-    found = connected_components(linked).select(F.substring_index("node", "|", 1).cast("double").alias("theta"), after("node").alias("src"), after("component").alias("component"))
-    every = nodes.select("src").distinct().withColumn("theta", F.explode(F.array(*[F.lit(float(x)) for x in thetas])))
-    return every.join(found, ["theta", "src"], "left").select("theta", "src", F.coalesce("component", "src").alias("component"))
+    best = F.min(F.struct(F.negative("r2").alias("r"), "src"))["src"].alias("src")
+    placed = fits.select("solute", "solvent", "r2", "src").join(labels, "src").select("solute", "solvent", "r2", "src", F.posexplode("components").alias("k", "component"))
+    kept = placed.groupBy("solute", "solvent", "k", "component").agg(best)
+    return kept.groupBy("solute", "solvent", "src").agg((F.max("k") + 1).alias("until"))
 
 
-def theta_sweep(fits: DataFrame, edges: DataFrame, nodes: DataFrame, thetas: list[float], threshold: float = 0.6) -> DataFrame:
+def theta_sweep(fits: DataFrame, pairs: DataFrame, nodes: DataFrame, thetas: list[float], threshold: float = 0.6) -> DataFrame:
     """For each theta: the final groups it makes, those flagged, and the agreement of pairs without the flagged ones.
 
-    Columns: theta, n_final_groups, largest, n_flagged, n_pairs, and of the pairs' mean absolute differences mean, p90, median
-    and rmse. theta becomes a part of the solvent and of the group, so the operators for one grouping serve all thresholds in one run.
+    fits: of the groups src that the sweep starts from; pairs: their group_pair_mae; nodes(src): all of them. Columns: theta,
+    n_final_groups, largest (in starting groups), n_flagged, n_pairs, and of the pairs' mean absolute differences mean, p90, median and rmse.
+
+    One spanning forest of the groups' weighted differences gives the components at every theta. A fit is a final group's representative up to one
+    threshold, and two fits differ by the same at each, so no fit and no pair of fits is made anew for a theta: a pair counts where both
+    are representatives and neither is flagged.
     """
-    labels = cut(theta_groups(edges, nodes, thetas))
-    tagged = lambda c: F.concat_ws("|", F.col("theta").cast("string"), F.col(c))
-    theta = F.substring_index("solvent", "|", 1).cast("double").alias("theta")
-    each = best_representative(fits.join(labels, "src").withColumn("gid", tagged("component")).withColumn("solvent", tagged("solvent")), "gid")
-    each = cut(each.drop("theta", "component"))
-    flagged = cut(leave_one_out(each, "gid").groupBy("gid").agg(F.avg("dev").alias("d")).where(F.col("d") >= threshold).select("gid"))
-    pairs = pair_mae(group_pair_mae(fit_pairs(each.join(flagged, "gid", "left_anti"), "gid"))).select(theta, "pair_mae")
-    p = F.expr("percentile(pair_mae, array(0.5, 0.9))")
-    stats = pairs.groupBy("theta").agg(F.count("*").alias("n_pairs"), F.avg("pair_mae").alias("mean"), p.alias("p"), F.sqrt(F.avg(F.col("pair_mae") * F.col("pair_mae"))).alias("rmse"))
-    sizes = labels.groupBy("theta", "component").agg(F.count("*").alias("size")).groupBy("theta").agg(F.count("*").alias("n_final_groups"), F.max("size").alias("largest"))
-    hos = flagged.groupBy(F.substring_index("gid", "|", 1).cast("double").alias("theta")).agg(F.count("*").alias("n"))
-    out = sizes.join(stats, "theta", "left").join(hos, "theta", "left")
+    thetas, key = sorted(set(map(float, thetas))), ["solute", "solvent"]
+    pairs = cut(pairs)
+    forest = minimum_spanning_forest(weighted_group_mae(pairs), "gi", "gj", "weighted_mae")
+    labels = cut(components_at(forest, nodes, thetas, "src"))
+    each = cut(fits.select(*key, "src", "a", "b", "c", "t_min", "t_max", "r2").join(representatives_until(fits, labels), [*key, "src"]))
+
+    c = F.coalesce("c", F.lit(0.0))
+    by_end = each.groupBy(*key, "until").agg(F.count("*").alias("n"), F.max("t_min").alias("t0"), F.min("t_max").alias("t1"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.sum(c).alias("sc"))
+    at = by_end.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("until") - 1))).groupBy(*key, "k")
+    at = at.agg(F.sum("n").alias("n"), F.max("t0").alias("t0"), F.min("t1").alias("t1"), F.sum("sa").alias("sa"), F.sum("sb").alias("sb"), F.sum("sc").alias("sc"))
+    at = at.where((F.col("n") >= 2) & (F.col("t1") - F.col("t0") >= LEAST_OVERLAP)).groupBy(*key).agg(F.collect_list(F.struct("k", "n", "t0", "t1", "sa", "sb", "sc")).alias("s"))  # an entry for each theta
+    tested = each.join(at, key).withColumn("s", F.explode(F.filter("s", lambda s: s["k"] < F.col("until")))).select("src", "a", "b", "c", "s.*")
+    tested = tested.withColumns(_from_others(F.col("sa"), F.col("sb"), F.col("sc"), F.col("n")))
+    n, total = _grid_sums()
+    sums = tested.select("src", "k", n.alias("n"), total.alias("d")).groupBy("src", "k").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    placed = labels.select("src", F.posexplode("components").alias("k", "component"))
+    flagged = sums.join(placed, ["src", "k"]).groupBy("k", "component").agg((F.sum("d") / F.sum("n")).alias("d")).where(F.col("d") >= threshold).select("k", "component")
+    flagged = cut(flagged)
+    out_of = placed.join(flagged, ["k", "component"], "left_semi").groupBy("src").agg(F.collect_set("k").alias("out"))  # an entry for each theta
+
+    counted = F.array_except(F.sequence(F.lit(0), F.col("until") - 1), F.coalesce("out", F.array().cast("array<int>")))
+    usable = each.join(out_of, "src", "left").select(*key, "src", counted.alias("ks"))
+    both = pairs.select(*key, "gi", "gj", (F.col("sum_abs") / F.col("n")).alias("e"))
+    for end in ("i", "j"):
+        both = both.join(usable.withColumnsRenamed({"src": f"g{end}", "ks": f"ks_{end}"}), [*key, f"g{end}"])
+    mae = cut(both.select(*key, "e", F.explode(F.array_intersect("ks_i", "ks_j")).alias("k")).groupBy(*key, "k").agg(F.avg("e").alias("pair_mae")))
+    stats = mae.groupBy("k").agg(F.count("*").alias("n_pairs"), F.avg("pair_mae").alias("mean"), F.sqrt(F.avg(F.col("pair_mae") * F.col("pair_mae"))).alias("rmse"))
+    stats = with_quantiles(stats, mae, ["k"], "pair_mae", {"median": 0.5, "p90": 0.9})
+    sizes = placed.groupBy("k", "component").agg(F.count("*").alias("size")).groupBy("k").agg(F.count("*").alias("n_final_groups"), F.max("size").alias("largest"))
+    out = sizes.join(stats, "k", "left").join(flagged.groupBy("k").agg(F.count("*").alias("n_flagged")), "k", "left")
     zero = F.lit(0).cast("long")
-    return out.select("theta", "n_final_groups", "largest", F.coalesce("n", zero).alias("n_flagged"), F.coalesce("n_pairs", zero).alias("n_pairs"), "mean", F.col("p")[1].alias("p90"), F.col("p")[0].alias("median"), "rmse")
+    theta = F.element_at(F.array(*map(F.lit, thetas)), F.col("k") + 1).alias("theta")
+    return out.select(theta, "n_final_groups", "largest", F.coalesce("n_flagged", zero).alias("n_flagged"), F.coalesce("n_pairs", zero).alias("n_pairs"), "mean", "p90", "median", "rmse")
 
 
 def bit_exact_groups(rows: DataFrame, member: str, key: list[str]) -> DataFrame:

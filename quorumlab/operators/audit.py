@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quorumlab.operators.ordered import with_quantiles
+
 
 def schema_profile(df: DataFrame) -> DataFrame:
     """(column_name, kind, null_count, row_count) from one aggregate over the table."""
@@ -60,7 +62,8 @@ def collisions(df: DataFrame, a: str, b: str, name_ab: str, name_ba: str) -> Dat
 def residuals_by_source(df: DataFrame, source: str, residual: str, least_median: float, top: int) -> DataFrame:
     """Sources with the largest median absolute residual above a bound."""
     r = F.abs(F.col(residual))
-    s = df.groupBy(source).agg(F.count("*").alias("n"), F.median(r).alias("med"), F.avg(r).alias("mean"), F.expr(f"percentile(abs({residual}), 0.95)").alias("p95"), F.max(r).alias("most"), F.avg(residual).alias("signed"))
+    s = df.groupBy(source).agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.max(r).alias("most"), F.avg(residual).alias("signed"))
+    s = with_quantiles(s, df, [source], r, {"med": 0.5, "p95": 0.95})
     return s.where(F.col("med") > least_median).orderBy(F.desc("med"), source).limit(top)
 
 

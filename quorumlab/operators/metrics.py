@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quorumlab.operators.ordered import with_quantiles
+
 #: Labels nearer to 0 than this are left out of mape.
 MAPE_EPS = 1e-6
 #: The toolkit divides by no sigma below this.
@@ -27,7 +29,8 @@ def _usable_sigma() -> Column:
 def simple_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
     """rmse, mae, medae, r2 and n for each group of `by`."""
     e = _error()
-    return pred.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("medae"), _r2(F.sum(e * e), F.var_pop("y_true") * F.count("*")).alias("r2"), F.count("*").alias("n"))
+    one = pred.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), _r2(F.sum(e * e), F.var_pop("y_true") * F.count("*")).alias("r2"), F.count("*").alias("n"))
+    return with_quantiles(one, pred, by, F.abs(e), {"medae": 0.5}).select(*by, "rmse", "mae", "medae", "r2", "n")
 
 
 def metrics_module(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -38,10 +41,11 @@ def metrics_module(pred: DataFrame, by: list[str]) -> DataFrame:
     e = _error()
     ok, away = _usable_sigma(), F.abs(F.col("y_true")) >= MAPE_EPS
     one = pred.groupBy(*by).agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("medae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(F.when(ok, F.pow(e / F.when(ok, F.col("sigma")), F.lit(2))))).alias("z_rmse"), F.count_if(ok).alias("z_n"),
         (100 * F.avg(F.when(away, F.abs(e / F.when(away, F.col("y_true")))))).alias("mape"), F.count_if(away).alias("mape_n"),
     )
+    one = with_quantiles(one, pred, by, F.abs(e), {"medae": 0.5})
     each = pred.where("solvent is not null").groupBy(*by, "solvent").agg(F.sqrt(F.avg(e * e)).alias("r"))
     return one.join(each.groupBy(*by).agg(F.avg("r").alias("ps_rmse")), by, "left")
 
@@ -76,9 +80,9 @@ def evaluate_predictions(pred: DataFrame, by: list[str], variant: str = "module"
 def distribution_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean, median, percentiles, rmse and max of a value."""
     v = F.col(value)
-    p = F.expr(f"percentile({value}, array(0.75, 0.9, 0.95, 0.99))")
-    out = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), p.alias("p"), F.sqrt(F.avg(v * v)).alias("rmse"), F.max(v).alias("max"))
-    return out.select(*by, "n", "mean", "median", *[F.col("p")[i].alias(n) for i, n in enumerate(("p75", "p90", "p95", "p99"))], "rmse", "max")
+    out = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rmse"), F.max(v).alias("max"))
+    out = with_quantiles(out, rows, by, v, {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return out.select(*by, "n", "mean", "median", "p75", "p90", "p95", "p99", "rmse", "max")
 
 
 def anova(rows: DataFrame, group: str, value: str) -> DataFrame:

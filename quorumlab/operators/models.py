@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quorumlab.session import cut
+
 
 def ridge_1d(rows: DataFrame, group: str, x: str, y: str, ridge: float = 1.0, least_rows: int = 30) -> DataFrame:
     """(group, slope, intercept, n) by closed form, only for groups of least_rows or more; the row of a null group is the fallback over all."""
@@ -111,11 +113,39 @@ def fit_trees(name: str, train: DataFrame, columns: list[str], seed: int = 42, f
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip"), TREES[name](seed, params)]).fit(train)
 
 
+def stop_early(model: PipelineModel, held: DataFrame, patience: int = 50) -> tuple[PipelineModel, list[float]]:
+    """A fitted pipeline of boosted trees cut after its best stage on held rows, and the squared error there after each stage that counts.
+
+    The best stage has the least error, the first one on ties; stages beyond `patience` without a better one don't count. One
+    pass over the held rows gives the errors of all stages; without held rows the model stays whole.
+    """
+    assembler, boosted = model.stages
+    rows = assembler.transform(held.dropna(subset=[*assembler.getInputCols(), "y"]))
+    losses, best = (boosted.evaluateEachIteration(rows, "squared") if rows.limit(1).count() else []), 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            losses = losses[: i + 1]
+            break
+    if not losses:
+        return model, []
+    gateway, trees = held.sparkSession.sparkContext._gateway, boosted._java_obj.trees()
+    kinds = gateway.jvm.org.apache.spark.ml.regression
+    kept = gateway.new_array(kinds.DecisionTreeRegressionModel, best + 1)
+    weights = gateway.new_array(gateway.jvm.double, best + 1)
+    for i in range(best + 1):
+        kept[i], weights[i] = trees[i], boosted.treeWeights[i]
+    cut_model = GBTRegressionModel(kinds.GBTRegressionModel(boosted.uid, kept, weights, boosted.numFeatures))
+    cut_model._java_obj.setFeaturesCol(boosted.getFeaturesCol()).setPredictionCol(boosted.getPredictionCol())
+    cut_model._transfer_params_from_java()
+    return PipelineModel([assembler, cut_model]), losses
+
+
 def load_or_fit(path: str, force: bool, fit):
     """A saved pipeline, or a fitted one that is saved for the next time."""
     from py4j.protocol import Py4JError
     from pyspark.errors import AnalysisException
-    from pyspark.ml import PipelineModel
 
     if not force:
         try:
@@ -171,26 +201,58 @@ def gradient_targets(rows: DataFrame, key: list[str]) -> DataFrame:
     return pts.select(*key, "t", "y", F.when((g > 0) & (g < 1), g).alias("g"))
 
 
-def bootstrap_mean_ci(rows: DataFrame, value: str, resamples: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(n, mean, low, high): percentile interval of the mean over resamples.
+#: Distinct values whose draws are made at once, and resamples.
+VALUES_AT_ONCE, RESAMPLES_AT_ONCE = 1024, 500
+
+
+def bootstrap_sums(rows: DataFrame, value: str, resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """(rep, s, w): for each resample the sum of its values, and its size, which is the number of values.
 
-    A value that occurs c times gets a Poisson(c) weight in each resample, drawn from a generator of its own (seed and
-    value), so the draws don't depend on how rows lie in partitions and no two values share them. Tasks send back sums, not
-    rows: a resample is a row of two numbers for each task, whatever the size of the table.
+    Equal values are counted first and range partitioned. How many of a resample's draws fall into a range follows from a tree of
+    conditional binomials over the ranges' sizes: a node's draws come from a generator of its own, so each task walks from the root to its range and all
+    agree. Inside, the draws are dealt on in the same way to stretches of values, and to the values of a stretch, for all resamples at once. Tasks send back a row of two
+    numbers for each resample, whatever the size of the table. Nulls are left out; no values give no rows.
     """
-    clean = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    every = clean.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    counts = rows.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    ranged = cut(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("_range", F.spark_partition_id()))
+    found = sorted(map(tuple, ranged.groupBy("_range").agg(F.sum("c")).collect()))  # a row for each range
+    place = {r: i for i, (r, _) in enumerate(found)}
+    ends = np.cumsum([0, *(n for _, n in found)])
+
+    def of_range(i: int) -> np.ndarray:
+        draws, lo, hi = np.full(resamples, ends[-1]), 0, len(found)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = np.random.default_rng([seed, lo, hi]).binomial(draws, (ends[mid] - ends[lo]) / (ends[hi] - ends[lo]))
+            draws, lo, hi = (left, lo, mid) if i < mid else (draws - left, mid, hi)
+        return draws
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, resamples))
+        sums = left = None
         for g in batches:
-            for v, c in zip(g["v"].to_numpy(np.float64), g["c"].to_numpy(), strict=True):
-                w = np.random.default_rng([seed, *np.float64(v).reshape(1).view(np.uint32).tolist()]).poisson(c, resamples)
-                sums += np.stack([w * v, w])
-        yield pd.DataFrame({"rep": np.arange(resamples), "s": sums[0], "w": sums[1]})
+            for at in range(0, len(g), VALUES_AT_ONCE):
+                some = g.iloc[at : at + VALUES_AT_ONCE]
+                if sums is None:
+                    i = place[int(some["_range"].iloc[0])]
+                    sums, left, size = np.zeros((2, resamples)), of_range(i), int(ends[i + 1] - ends[i])
+                    rng = np.random.default_rng([seed, i, len(found), 1])
+                v, c = some["v"].to_numpy(np.float64), some["c"].to_numpy(np.int64)
+                mine = rng.binomial(left, c.sum() / size)
+                left, size = left - mine, size - int(c.sum())
+                for r in range(0, resamples, RESAMPLES_AT_ONCE):
+                    dealt = rng.multinomial(mine[r : r + RESAMPLES_AT_ONCE], c / c.sum())
+                    sums[0, r : r + RESAMPLES_AT_ONCE] += dealt @ v
+                    sums[1, r : r + RESAMPLES_AT_ONCE] += dealt.sum(1)
+        if sums is not None:
+            yield pd.DataFrame({"rep": np.arange(resamples), "s": sums[0], "w": sums[1].astype(np.int64)})
+
+    return ranged.mapInPandas(draw, "rep int, s double, w long").groupBy("rep").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
 
-    counts = clean.groupBy("v").agg(F.count("*").alias("c"))
-    means = counts.mapInPandas(draw, "rep int, s double, w double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+
+def bootstrap_mean_ci(rows: DataFrame, value: str, resamples: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(n, mean, low, high): percentile interval of the mean over resamples of the table's size; nulls are left out."""
+    every = rows.agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    means = bootstrap_sums(rows, value, resamples, seed).select((F.col("s") / F.col("w")).alias("m"))
     ends = means.agg(F.expr(f"percentile(m, array({alpha / 2}, {1 - alpha / 2}))").alias("p"))  # a row for each resample
     return every.crossJoin(F.broadcast(ends)).select("n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quorumlab.operators.fits import evaluate
+from quorumlab.operators.ordered import with_quantiles
+from quorumlab.session import cut
 
 CUTS = {"gold": 0.10, "silver": 0.20, "bronze": 0.50}
 SIGMA_FLOOR = 0.012
@@ -40,11 +42,12 @@ def tier_summary(rows: DataFrame, tiers: DataFrame, names: list[str]) -> DataFra
     """A row for each nested tier, from one pass over the rows exploded by the tiers they belong to."""
     mine = F.array_compact(F.array(*[F.when(F.col(f"tier_{x}"), x) for x in names]))
     joined = rows.join(tiers.select("solute", "solvent", mine.alias("tiers")), ["solute", "solvent"]).withColumn("tier", F.explode("tiers"))
-    return joined.groupBy("tier").agg(
+    joined = cut(joined)
+    out = joined.groupBy("tier").agg(
         F.count("*").alias("n_rows"), F.countDistinct("solute", "solvent").alias("n_pairs"), F.countDistinct("solute").alias("n_solutes"), F.countDistinct("solvent").alias("n_solvents"),
-        (F.count("sigma") / F.count("*")).alias("sigma_coverage"), F.median("sigma").alias("sigma_median"), F.avg("sigma").alias("sigma_mean"),
-        F.expr("percentile(sigma, 0.9)").alias("sigma_p90"), F.expr("percentile(sigma, 0.95)").alias("sigma_p95"),
+        (F.count("sigma") / F.count("*")).alias("sigma_coverage"), F.avg("sigma").alias("sigma_mean"),
     )
+    return with_quantiles(out, joined, ["tier"], "sigma", {"sigma_median": 0.5, "sigma_p90": 0.9, "sigma_p95": 0.95})
 
 
 def contributor_histogram(measured: DataFrame, tiers: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlab.functions import scalar
-from quorumlab.operators import agreement, audit, clean, fits, metrics, models, ordered, splits, tiers
+from quorumlab.operators import agreement, attributions, audit, clean, differences, fits, metrics, models, ordered, splits, tiers
 from quorumlab.plans import registry
 from quorumlab.session import cut
 from quorumlab.sources import sinks, tables
-from quorumlab.sources.tables import MEASUREMENTS_SQL as M, measurements, scan_parquet
+from quorumlab.sources.tables import MEASUREMENTS_SQL as M, bit_exact_sql, measurements, scan_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,7 @@ FIT = fits.FITS_SQL
 
 #: Tier cuts that tell pairs of these tables apart; the operators' defaults are wider.
 CUTS = {"gold": 0.04, "silver": 0.05, "bronze": 0.07}
-THETAS = [0.0, 0.03, 0.035, 0.04, 0.045, 0.05, 0.06]
+THETAS = [0.0, 0.001, 0.002, 0.003, 0.005, 0.007, 0.010, 0.015, 0.020, 0.030, 0.050, 0.080, 0.120, 0.200]
 #: Where groups merge, and from which mean deviation a group is flagged, so that these tables show both.
 MERGE_AT, FLAG_AT = 0.036, 0.05
 BAD_SOURCES = ["N1-0", "N7-1", "N13-0"]
@@ -43,9 +43,21 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 
 
-def usable_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usable_fits(rows: DataFrame) -> DataFrame:
     """Written once to the shared folder: both sides of the pair join read it."""
-    return cut(fits.usable(fits.fit_curves(measurements(spark, sf_dir))))
+    return cut(fits.usable(fits.fit_curves(rows)))
+
+
+#: Measurements of the groups that the merging by difference starts from.
+MA = bit_exact_sql()
+
+
+def exact_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Measurements with src replaced by its bit-exact group (the smallest source that shares a whole record with it, over chains), and (src, prelim)."""
+    rows = measurements(spark, sf_dir, ("l_tax", "l_shipdate"))
+    keyed = rows.select("src", "solute", "solvent", F.bround("t", 2).alias("tk"), F.bround("y", 4).alias("yk"), "l_tax", F.date_trunc("month", "l_shipdate").alias("mon"))
+    members = cut(agreement.bit_exact_groups(keyed, "src", ["solute", "solvent", "tk", "yk", "l_tax", "mon"]).withColumnRenamed("component", "prelim"))
+    return rows.join(members, "src").select("rid", "solute", "solvent", F.col("prelim").alias("src"), "t", "y"), members
 
 
 # --- Audit -----------------------------------------------------------------------------------
@@ -162,9 +174,19 @@ def residual_distribution(spark, sf_dir):
 d AS (SELECT a.cell, abs(a.v - b.v) AS d FROM x a JOIN x b ON a.cell = b.cell AND a.s = b.s AND a.rid < b.rid AND a.member <> b.member)
 SELECT cell, count(*) AS n_deltas, round(median(d), 6) AS median, round(max(d), 6) AS most, round(quantile_cont(d, 0.9), 6) AS p90 FROM d GROUP BY 1""")
 def cell_pair_deltas(spark, sf_dir):
-    part = scan_parquet(spark, sf_dir, "part").select(F.col("p_type").alias("cell"), F.col("p_size").alias("s"), F.col("p_partkey").alias("rid"), F.col("p_brand").alias("member"), F.col("p_retailprice").alias("v"))
-    d = audit.cell_pair_deltas(part, ["cell", "s"], "rid", "member", "v")
-    return rounded(d.groupBy("cell").agg(F.count("*").alias("n_deltas"), F.median("d").alias("median"), F.max("d").alias("most"), F.expr("percentile(d, 0.9)").alias("p90")), "median", "most", "p90")
+    """How far prices of one type and size lie apart between brands, pooled by type; no pair is made."""
+    part = scan_parquet(spark, sf_dir, "part").select(F.col("p_type").alias("cell"), F.col("p_size").alias("s"), F.col("p_brand").alias("member"), F.col("p_retailprice").alias("v"))
+    out = differences.difference_quantiles(part, "cell", ["s"], "member", "v", {"median": 0.5, "most": 1.0, "p90": 0.9})
+    return rounded(out.withColumnRenamed("n", "n_deltas"), "median", "most", "p90")
+
+
+@query("""WITH x AS (SELECT p_brand, p_type AS member, p_retailprice AS v, p_partkey AS rid FROM part), d AS (SELECT a.p_brand, abs(a.v - b.v) AS d FROM x a JOIN x b ON a.p_brand = b.p_brand AND a.rid < b.rid AND a.member <> b.member)
+SELECT p_brand, count(*) AS n_pairs, round(median(d), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS most FROM d GROUP BY 1""")
+def brand_price_deltas(spark, sf_dir):
+    """The same between the types of a brand, whose cells are large."""
+    part = scan_parquet(spark, sf_dir, "part").select("p_brand", "p_type", "p_retailprice")
+    out = differences.difference_quantiles(part, "p_brand", [], "p_type", "p_retailprice", {"median": 0.5, "p90": 0.9, "most": 1.0})
+    return rounded(out.withColumnRenamed("n", "n_pairs"), "median", "p90", "most")
 
 
 @query(f"""WITH {M}, c AS (SELECT src, solute, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, solute) AS k FROM c)
@@ -326,7 +348,7 @@ wm AS (SELECT gi, gj, sum(n)::BIGINT AS n_grid, sum(sum_abs) / sum(n) AS weighte
 
 
 def group_pairs(spark, sf_dir) -> DataFrame:
-    return agreement.group_pair_mae(agreement.fit_pairs(usable_fits(spark, sf_dir)))
+    return agreement.group_pair_mae(agreement.fit_pairs(usable_fits(measurements(spark, sf_dir))))
 
 
 @query(f"WITH {PAIRS} SELECT solute, solvent, n_group_pairs, round(pair_mae, 6) AS pair_mae, round(pair_mae_max, 6) AS pair_mae_max FROM pm")
@@ -336,7 +358,7 @@ def pair_mae(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT solute, solvent, gi, gj, count(*) AS n_points, round(sum(delta), 6) AS sum_delta, round(max(abs(delta)), 6) AS most FROM d GROUP BY 1, 2, 3, 4")
 def atom_deltas(spark, sf_dir):
-    d = agreement.atom_deltas(agreement.fit_pairs(usable_fits(spark, sf_dir)))
+    d = agreement.atom_deltas(agreement.fit_pairs(usable_fits(measurements(spark, sf_dir))))
     return rounded(d.groupBy("solute", "solvent", "gi", "gj").agg(F.count("*").alias("n_points"), F.sum("delta").alias("sum_delta"), F.max(F.abs("delta")).alias("most")), "sum_delta", "most")
 
 
@@ -345,12 +367,17 @@ def weighted_group_mae(spark, sf_dir):
     return rounded(agreement.weighted_group_mae(group_pairs(spark, sf_dir)), "weighted_mae")
 
 
-@query(f"""WITH RECURSIVE {PAIRS}, x AS (SELECT gi AS a, gj AS b FROM wm WHERE weighted_mae < 0.036 UNION ALL SELECT gj, gi FROM wm WHERE weighted_mae < 0.036),
+PAIRS_A = PAIRS.replace(M, MA)
+
+
+@query(f"""WITH RECURSIVE {PAIRS_A}, x AS (SELECT gi AS a, gj AS b FROM wm WHERE weighted_mae < 0.036 UNION ALL SELECT gj, gi FROM wm WHERE weighted_mae < 0.036),
 r(node, reach) AS (SELECT DISTINCT src, src FROM m UNION SELECT r.node, x.b FROM r JOIN x ON r.reach = x.a)
-SELECT node AS src, min(reach) AS component FROM r GROUP BY 1""")
+SELECT ka.src, ka.prelim, min(reach) AS component FROM r JOIN ka ON node = prelim GROUP BY 1, 2""")
 def interp_groups(spark, sf_dir):
-    edges = cut(agreement.weighted_group_mae(group_pairs(spark, sf_dir)))
-    return agreement.merge_groups(edges, measurements(spark, sf_dir), 0.036)
+    rows, members = exact_members(spark, sf_dir)
+    edges = cut(agreement.weighted_group_mae(agreement.group_pair_mae(agreement.fit_pairs(usable_fits(rows)))))
+    found = agreement.merge_groups(edges, members.select(F.col("prelim").alias("src")), 0.036)
+    return members.join(found.withColumnRenamed("src", "prelim"), "prelim").select("src", "prelim", "component")
 
 
 @query(f"""WITH {PAIRS}, sweep AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta)
@@ -361,7 +388,7 @@ def theta_edges(spark, sf_dir):
     return steps.groupBy("theta").agg(F.count("*").alias("n_edges"), r6(F.max("weighted_mae")).alias("most"))
 
 
-SWEEP = f"""WITH RECURSIVE {PAIRS}, sweep AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta),
+SWEEP = f"""WITH RECURSIVE {PAIRS_A}, sweep AS (SELECT unnest({THETAS}::DOUBLE[]) AS theta),
 x AS (SELECT theta, gi AS a, gj AS b FROM sweep JOIN wm ON weighted_mae < theta UNION ALL SELECT theta, gj, gi FROM sweep JOIN wm ON weighted_mae < theta),
 r(theta, node, reach) AS (SELECT theta, src, src FROM sweep, (SELECT DISTINCT src FROM m) UNION SELECT r.theta, r.node, x.b FROM r JOIN x ON r.reach = x.a AND r.theta = x.theta),
 k AS (SELECT theta, node, min(reach) AS component FROM r GROUP BY 1, 2),
@@ -381,9 +408,10 @@ pp AS (SELECT theta, solute, solvent, avg(e) AS v FROM fg WHERE (theta, gi) NOT
 s AS (SELECT theta, count(*) AS n_pairs, avg(v) AS mean, quantile_cont(v, 0.9) AS p90, median(v) AS median, sqrt(avg(v * v)) AS rmse FROM pp GROUP BY 1), h AS (SELECT theta, count(*) AS n FROM hs GROUP BY 1)
 SELECT theta, n_final_groups, largest, coalesce(h.n, 0) AS n_flagged, coalesce(n_pairs, 0) AS n_pairs, round(mean, 6) AS mean, round(p90, 6) AS p90, round(median, 6) AS median, round(rmse, 6) AS rmse FROM gz LEFT JOIN s USING (theta) LEFT JOIN h USING (theta)""")
 def theta_sweep(spark, sf_dir):
-    good = usable_fits(spark, sf_dir)
-    edges = cut(agreement.weighted_group_mae(agreement.group_pair_mae(agreement.fit_pairs(good))))
-    return rounded(agreement.theta_sweep(good, edges, measurements(spark, sf_dir), THETAS, FLAG_AT), "mean", "p90", "median", "rmse")
+    rows, members = exact_members(spark, sf_dir)
+    good = usable_fits(rows)
+    found = agreement.theta_sweep(good, agreement.group_pair_mae(agreement.fit_pairs(good)), members.select(F.col("prelim").alias("src")), THETAS, FLAG_AT)
+    return rounded(found, "mean", "p90", "median", "rmse")
 
 
 #: The same sweep at one threshold: final groups, and what is made of them.
@@ -392,9 +420,10 @@ FINAL = SWEEP.replace(f"unnest({THETAS}::DOUBLE[])", f"unnest([{MERGE_AT}]::DOUB
 
 def final_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Members (src, component) of the final groups, the best fit of each, their reliability, and the flagged ones."""
-    good = usable_fits(spark, sf_dir)
+    rows, exact = exact_members(spark, sf_dir)
+    good = usable_fits(rows)
     edges = agreement.weighted_group_mae(agreement.group_pair_mae(agreement.fit_pairs(good)))
-    members = cut(agreement.merge_groups(edges, measurements(spark, sf_dir), MERGE_AT))
+    members = cut(agreement.merge_groups(edges, exact.select(F.col("prelim").alias("src")), MERGE_AT))
     best = cut(agreement.group_fits(good, members))
     reliability = cut(agreement.source_reliability(best, members, "component", FLAG_AT))
     return members, best, reliability, reliability.where("flagged").select("component")
@@ -472,14 +501,14 @@ dv AS (SELECT src, abs(v - (sum(v) OVER (PARTITION BY solute, solvent, t) - v) /
 @query(f"""WITH {LOO}, s AS (SELECT src, count(*) AS n_grid, avg(dev) AS mean_dev, median(dev) AS median_dev, max(dev) AS max_dev FROM dv GROUP BY 1)
 SELECT src, coalesce(n_grid, 0) AS n_grid, round(mean_dev, 6) AS mean_dev, round(median_dev, 6) AS median_dev, round(max_dev, 6) AS max_dev, coalesce(mean_dev >= 0.05, false) AS flagged FROM (SELECT DISTINCT src FROM m) LEFT JOIN s USING (src)""")
 def source_reliability(spark, sf_dir):
-    out = agreement.source_reliability(usable_fits(spark, sf_dir), measurements(spark, sf_dir), threshold=0.05)
+    out = agreement.source_reliability(usable_fits(measurements(spark, sf_dir)), measurements(spark, sf_dir), threshold=0.05)
     return rounded(out, "mean_dev", "median_dev", "max_dev")
 
 
 @query(f"""WITH {LOO}, s AS (SELECT src, avg(dev) AS d FROM dv GROUP BY 1), e AS (SELECT src, d FROM (SELECT DISTINCT src FROM m) LEFT JOIN s USING (src))
 SELECT count(d) AS n_tested, count(*) - count(d) AS n_untested, count(*) FILTER (d <= 0.2) AS n_close, count(*) FILTER (d >= 0.6) AS n_flagged, round(median(d), 6) AS median, round(avg(d), 6) AS mean FROM e""")
 def reliability_summary(spark, sf_dir):
-    r = agreement.source_reliability(usable_fits(spark, sf_dir), measurements(spark, sf_dir))
+    r = agreement.source_reliability(usable_fits(measurements(spark, sf_dir)), measurements(spark, sf_dir))
     d = F.col("mean_dev")
     return r.agg(F.count(d).alias("n_tested"), (F.count("*") - F.count(d)).alias("n_untested"), F.count_if(d <= 0.2).alias("n_close"), F.count_if(d >= 0.6).alias("n_flagged"), r6(F.median(d)).alias("median"), r6(F.avg(d)).alias("mean"))
 
@@ -529,6 +558,20 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(models.bootstrap_mean_ci(agreement.pair_mae(group_pairs(spark, sf_dir)), "pair_mae"), "mean", "low", "high")
 
 
+@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(pair_mae), 6) AS mean, true AS sizes_equal, true AS centred, true AS spread_fits FROM pm")
+def bootstrap_moments(spark, sf_dir):
+    """Sizes of all resamples, and whether their means have the mean and the spread that drawing with replacement gives."""
+    mae = cut(agreement.pair_mae(group_pairs(spark, sf_dir)).select("pair_mae"))
+    of = mae.agg(F.count("*").alias("n"), F.avg("pair_mae").alias("mean"), F.stddev_pop("pair_mae").alias("sd"))
+    m = F.col("s") / F.col("w")
+    drawn = models.bootstrap_sums(mae, "pair_mae", 2000).agg(F.min("w").alias("least"), F.max("w").alias("most"), F.avg(m).alias("centre"), F.stddev_pop(m).alias("spread"), F.count("*").alias("reps"))
+    each = F.col("sd") / F.sqrt("n")
+    return of.crossJoin(F.broadcast(drawn)).select(  # one row each
+        "n", r6("mean").alias("mean"), ((F.col("least") == F.col("n")) & (F.col("most") == F.col("n"))).alias("sizes_equal"),
+        (F.abs(F.col("centre") - F.col("mean")) <= 6 * each / F.sqrt("reps")).alias("centred"), F.col("spread").between(0.9 * each, 1.1 * each).alias("spread_fits"),
+    )
+
+
 @query()
 def gamma_fit(spark, sf_dir):
     gp = cut(group_pairs(spark, sf_dir)).select((F.col("sum_abs") / F.col("n")).alias("v"))
@@ -544,7 +587,7 @@ tr AS (SELECT solute, solvent, t, count(*) AS n_groups, avg(v) AS consensus, CAS
 
 
 def tier_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    good = usable_fits(spark, sf_dir)
+    good = usable_fits(measurements(spark, sf_dir))
     ti = cut(tiers.assign_tiers(agreement.pair_mae(agreement.group_pair_mae(agreement.fit_pairs(good))), CUTS))
     return ti, tiers.tier_rows(measurements(spark, sf_dir), good, ti)
 
@@ -698,8 +741,10 @@ def metric_domains(spark, sf_dir):
 
 @query(f"""WITH {M} SELECT solvent, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS std, round(median(y), 6) AS median, round(quantile_cont(y, 0.1), 6) AS p10, round(quantile_cont(y, 0.9), 6) AS p90, arg_min(solute, rid) AS first_name FROM m GROUP BY 1""")
 def solvent_distribution(spark, sf_dir):
-    out = measurements(spark, sf_dir).groupBy("solvent").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.expr("percentile(y, array(0.5, 0.1, 0.9))").alias("p"), F.min_by("solute", "rid").alias("first_name"))
-    return rounded(out.select("solvent", "n", "mean", "std", F.col("p")[0].alias("median"), F.col("p")[1].alias("p10"), F.col("p")[2].alias("p90"), "first_name"), "mean", "std", "median", "p10", "p90")
+    m = measurements(spark, sf_dir)
+    out = m.groupBy("solvent").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.min_by("solute", "rid").alias("first_name"))
+    out = ordered.with_quantiles(out, m, ["solvent"], "y", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return rounded(out.select("solvent", "n", "mean", "std", "median", "p10", "p90", "first_name"), "mean", "std", "median", "p10", "p90")
 
 
 @query(f"""WITH {PRED}, o AS (SELECT split, sqrt(avg(pow(y_pred - y_true, 2))) AS rmse, avg(abs(y_pred - y_true)) AS mae, median(abs(y_pred - y_true)) AS medae, sqrt(avg(pow((y_pred - y_true) / sigma, 2)) FILTER (sigma > 0)) AS z_rmse, count(*) FILTER (sigma > 0) AS z_n,
@@ -844,6 +889,19 @@ def tree_regressors(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {M} SELECT count(*) AS n_rows, 0::BIGINT AS n_off, true AS fewer_trees FROM m WHERE rid % 5 = 0""")
+def tree_attributions(spark, sf_dir):
+    """Boosted trees stopped early on one fifth of the rows, and what each feature adds to each of its predictions: the parts sum to the prediction."""
+    rows = cut(assembled(spark, sf_dir))
+    held = rows.where("rid % 5 = 0")
+    model = models.fit_trees("gradient_boosting", rows.where("rid % 5 <> 0"), FEATURES, maxIter=12, maxDepth=3, stepSize=0.9)
+    model, losses = models.stop_early(model, held, patience=3)
+    told = attributions.tree_attributions(model, model.transform(held))
+    off = F.abs(F.aggregate("attribution", F.col("attribution_base"), lambda s, v: s + v) - F.col("y_pred")) > 1e-9
+    fewer = F.lit(len(model.stages[-1].trees) <= min(12, len(losses)))
+    return told.agg(F.count("*").alias("n_rows"), F.count_if(off).alias("n_off"), F.first(fewer).alias("fewer_trees"))
+
+
 @query("""WITH p AS (SELECT p_type AS solvent, p_retailprice AS y, p_size::DOUBLE AS a, (p_partkey % 13)::DOUBLE AS b FROM part), g AS (SELECT * FROM p UNION ALL SELECT NULL, y, a, b FROM p),
 s AS (SELECT solvent, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS yb
   FROM g GROUP BY 1 HAVING count(*) >= 2 OR solvent IS NULL), v AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS sa, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS sb FROM s)

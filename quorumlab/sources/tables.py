@@ -70,14 +70,14 @@ def last_name_wins(rows: DataFrame, key: str, name: str, order: list[str]) -> Da
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, name)
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements read off the star schema: (rid, solute, solvent, src, t, y).
+def measurements(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Measurements read off the star schema: (rid, solute, solvent, src, t, y), and columns of lineitem named in also.
 
     part's brand and type are the pair, the supplier's nation and parity the source, quantity the
     temperature and a price its reading. rid orders the rows as they came in. The two dimensions
     are small beside lineitem; whether they are broadcast is left to their measured size.
     """
-    line = scan_parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    line = scan_parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", *also)
     part = scan_parquet(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     supplier = scan_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -88,6 +88,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string"), F.lit("-"), (F.col("l_suppkey") % 2).cast("string")).alias("src"),
         (F.lit(273.15) + F.col("l_quantity")).alias("t"),
         (F.log10(F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount"))) - 5).alias("y"),
+        *also,
     )
 
 
@@ -97,3 +98,14 @@ MEASUREMENTS_SQL = """m AS (
     'N' || s_nationkey || '-' || (l_suppkey % 2) AS src, 273.15 + l_quantity AS t,
     log10(l_quantity * p_retailprice * (1 - l_discount)) - 5 AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def bit_exact_sql(m: str = MEASUREMENTS_SQL) -> str:
+    """m with src replaced by its group of sources that share an exact record, chains included (for WITH RECURSIVE)."""
+    base = m.replace("m AS (", "m0 AS (", 1).replace(" - 5 AS y\n", " - 5 AS y, l_tax, date_trunc('month', l_shipdate) AS mon\n")
+    return f"""{base},
+sk AS (SELECT DISTINCT solute, solvent, round_even(t, 2) AS tk, round_even(y, 4) AS yk, l_tax, mon, src FROM m0),
+se AS (SELECT DISTINCT a.src AS a, b.src AS b FROM sk a JOIN sk b USING (solute, solvent, tk, yk, l_tax, mon) WHERE a.src <> b.src),
+sr(node, reach) AS (SELECT DISTINCT src, src FROM m0 UNION SELECT sr.node, se.b FROM sr JOIN se ON sr.reach = se.a),
+ka AS MATERIALIZED (SELECT node AS src, min(reach) AS prelim FROM sr GROUP BY 1),
+m AS (SELECT rid, solute, solvent, prelim AS src, t, y FROM m0 JOIN ka USING (src))"""

@@ -144,9 +144,8 @@ def test_theta_is_strict(spark):
     edges = frame(spark, [("a", "b", 0.01), ("b", "c", 0.0099)], "gi string, gj string, weighted_mae double")
     nodes = frame(spark, [("a",), ("b",), ("c",)], "src string")
     assert dict(values(agreement.merge_groups(edges, nodes, 0.01), "src", "component")) == {"a": "a", "b": "b", "c": "b"}
-    sizes = agreement.theta_groups(edges, nodes, [0.005, 0.01, 0.02]).groupBy("theta", "component").agg(F.count("*").alias("size"))
-    sweep = sizes.groupBy("theta").agg(F.count("*").alias("n_components"), F.max("size").alias("largest")).orderBy("theta")
-    assert values(sweep, "n_components", "largest") == [(3, 1), (2, 2), (1, 3)]
+    at = graph.components_at(graph.minimum_spanning_forest(edges, "gi", "gj", "weighted_mae"), nodes, [0.005, 0.01, 0.02], "src")
+    assert dict(values(at, "src", "components")) == {"a": ["a", "a", "a"], "b": ["b", "b", "a"], "c": ["c", "b", "a"]}
 
 
 def test_leave_one_out_deviations(spark):
@@ -364,3 +363,20 @@ def test_components_over_many_rounds(spark, monkeypatch):
     named = spark.createDataFrame([(str(a), str(b)) for a, b in edges if a is not None], "a string, b string").repartition(3)
     found = {r["node"]: r["component"] for r in connected_components(named).collect()}
     assert found["60"] == "0" and found["1079"] == "1000"
+
+
+def test_resamples_have_the_size_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(models, "VALUES_AT_ONCE", 16)
+    monkeypatch.setattr(models, "RESAMPLES_AT_ONCE", 70)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.exponential(size=700), np.repeat(2.5, 300)])
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).repartition(5)
+    got = models.bootstrap_sums(df, "v", resamples=400).toPandas()
+    assert len(got) == 400 and (got["w"] == 1000).all()
+    means = got["s"] / got["w"]
+    assert means.mean() == pytest.approx(x.mean(), abs=5 * x.std() / math.sqrt(1000 * 400)) and means.std() == pytest.approx(x.std() / math.sqrt(1000), rel=0.15)
+    again = models.bootstrap_sums(df, "v", resamples=400).toPandas()
+    assert sorted(got["s"]) == pytest.approx(sorted(again["s"]))
+    assert models.bootstrap_sums(df.limit(0), "v", resamples=5).count() == 0
+    one = models.bootstrap_sums(df.limit(1), "v", resamples=5).collect()
+    assert len({r["s"] for r in one}) == 1 and {r["w"] for r in one} == {1}
