@@ -22,18 +22,20 @@ TEXTS_AT_ONCE = 256
 
 @kept_by_worker
 def memo(tokenizer_path: str) -> ChunkMemo:
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    plain, tokenizer = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = True  # doesn't look for added tokens, which few chunks have
+    added = re.compile("|".join(re.escape(t.content) for t in plain.get_added_tokens_decoder().values()) or "(?!)").search
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         ends_word[i] = token.endswith("</w>")
     # Such letters stay letters in lower case and composed form, so these chunks are one word, or one and a mark.
-    plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
+    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
 
     def ends(ids: np.ndarray, chunks: list[str]) -> np.ndarray:
         words = np.flatnonzero(ends_word[ids]) + 1
         return words[np.cumsum([1 + (c[-1] in ".,;:!?") for c in chunks]) - 1]
 
-    return ChunkMemo(tokenizer, split_at_spaces, plain, " ", ends)
+    return ChunkMemo(tokenizer, split_at_spaces, letters, " ", ends, added, plain)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
