@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from quorumlab.functions import scalar
 from quorumlab.operators import audit, metrics, models, splits
-from quorumlab.plans import registry
+from quorumlab.plans import registry, sweeps
 from quorumlab.plans.catalogue import M, PRED, SPLITS, query, r6, rounded, split_rows
 from quorumlab.session import cut, shared_folder
 from quorumlab.sources import sinks, tables
@@ -136,12 +136,31 @@ def method_table(spark, sf_dir):
     return rounded(table, "eval_RMSE", "ood_RMSE").select("method", "ord", "eval_RMSE", "ood_RMSE")
 
 
-@query(f"""WITH {RUNS}, f AS (SELECT rl.*, fr.fraction, value * fr.fraction AS v FROM rl, (SELECT unnest([0.5, 1.0]) AS fraction) fr)
-SELECT fraction::DOUBLE AS fraction, method, split, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM f GROUP BY ALL""")
+FRACTIONS, SWEEP_SEEDS = [0.1, 0.5, 1.0], [42, 101]
+
+
+def mean_baseline(method: str, train: DataFrame, seed: int):
+    """group_mean predicts the training mean of a solvent, grand_mean that of all rows."""
+    group = F.col("solvent") if method == "group_mean" else F.lit("")
+    return lambda rows: metrics.dummy_baseline(train.withColumn("_key", group), rows.withColumn("_key", group), "_key").drop("_key")
+
+
+@query(f"""WITH {SPLITS}, gr AS (SELECT fraction, seed FROM (SELECT unnest({FRACTIONS}::DOUBLE[]) AS fraction), (SELECT unnest({SWEEP_SEEDS}) AS seed)),
+pk AS (SELECT * FROM (SELECT fraction, seed, solvent, y, row_number() OVER (PARTITION BY fraction, seed ORDER BY md5(concat_ws('|', seed, rid)), rid::VARCHAR) AS r, count(*) OVER (PARTITION BY fraction, seed) AS n FROM gr, sp WHERE split = 'train') WHERE r <= least(n, greatest(32, round_even(n * fraction, 0)))),
+mn AS (SELECT fraction, seed, solvent, avg(y) AS mu FROM pk GROUP BY ALL), gm AS (SELECT fraction, seed, avg(y) AS g FROM pk GROUP BY ALL),
+ps AS (SELECT gm.fraction, gm.seed, split, sp.y, coalesce(mu, g) AS f FROM sp, gm LEFT JOIN mn ON mn.fraction = gm.fraction AND mn.seed = gm.seed AND mn.solvent = sp.solvent WHERE split <> 'train'),
+sc AS (SELECT fraction, seed, split, sqrt(avg(pow(f - y, 2))) AS rmse, avg(abs(f - y)) AS mae, count(*)::DOUBLE AS n FROM ps GROUP BY ALL),
+rl AS (SELECT fraction, seed, split, 'RMSE' AS metric, rmse AS value FROM sc UNION ALL SELECT fraction, seed, split, 'MAE', mae FROM sc UNION ALL SELECT fraction, seed, split, 'N', n FROM sc)
+SELECT fraction, 'group_mean' AS method, split, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM rl GROUP BY ALL""")
 def fraction_aggregate(spark, sf_dir):
-    """Means and deviations over seeds by training fraction, method and split."""
-    every = run_metrics(spark, sf_dir).withColumn("fraction", F.explode(F.array(F.lit(0.5), F.lit(1.0)))).withColumn("value", F.col("value") * F.col("fraction"))
-    return rounded(metrics.seed_aggregate(every, ["fraction", "method", "split", "metric"]), "mean", "std")
+    """A scaling sweep: the baseline is trained on seeded parts of the training rows, several runs at once; means and deviations over seeds."""
+    rows, _ = split_rows(spark, sf_dir)
+    run = sweeps.scaling_run(rows.where("split = 'train'"), rows.where("split <> 'train'"), F.col("rid").cast("string"), mean_baseline)
+    path = scratch(spark, "scaling")
+    sweeps.run_sweep(spark, path, sweeps.grid(method=["group_mean"], fraction=FRACTIONS, seed=SWEEP_SEEDS), run)
+    found = cut(sweeps.results(spark, path, "method string, fraction double, seed int"))
+    sinks.remove_table(spark, path)
+    return rounded(metrics.seed_aggregate(found, ["fraction", "method", "split", "metric"]), "mean", "std")
 
 
 @query(f"WITH {RUNS} SELECT method, seed, split, metric, round(value, 6) AS value FROM rl WHERE seed < 2")
@@ -283,22 +302,33 @@ def occlusion(spark, sf_dir):
     return rounded(out, "mean", "std").withColumn("sum", F.round("sum", 4))
 
 
-@query("""SELECT a AS side, b AS size, a = 'left' AND b = 2 AS failed FROM (SELECT unnest(['left', 'right']) AS a), (SELECT unnest([1, 2])::BIGINT AS b)""")
+@query(f"""WITH {PRED}, z AS (SELECT unnest(['group_mean', 'grand_mean']) AS method),
+ps AS (SELECT method, split, (rid % 3)::INT AS seed, y, CASE WHEN method = 'group_mean' THEN coalesce(mu, g) ELSE g END AS f FROM sp LEFT JOIN mn USING (solvent), gm, z)
+SELECT method, seed, split, round(sqrt(avg(pow(f - y, 2))), 6) AS rmse, CASE WHEN method = 'grand_mean' AND seed = 1 THEN 2 ELSE 1 END AS tries FROM ps WHERE seed < 2 GROUP BY ALL""")
 def grid_runs(spark, sf_dir):
-    """A grid whose runs go on past one that fails."""
-
-    def run(row: dict) -> None:
-        if row["side"] == "left" and row["size"] == 2:
-            raise ValueError("this run fails")
-
-    done = registry.run_grid(registry.sweep_grid(spark, side=["left", "right"], size=[1, 2]), run)
-    return spark.createDataFrame([(r["side"], r["size"], error is not None) for r, error in done], "side string, size long, failed boolean")
-
-
-@query(f"""WITH {M}, n AS (SELECT count(*) AS n FROM m WHERE solute LIKE 'Brand#1%') SELECT fraction::DOUBLE AS fraction, least(n, greatest(32, round_even(n * fraction, 0)))::BIGINT AS n_rows FROM n, (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0]) AS fraction)""")
+    """A sweep in which one run breaks: the others are kept, and calling again makes up for it alone."""
+    rows, path, tries = split_rows(spark, sf_dir)[0], scratch(spark, "grid"), {}
+
+    def run(at: dict) -> DataFrame:
+        name = sweeps.run_id(at)
+        tries[name] = tries.get(name, 0) + 1
+        if at == {"method": "grand_mean", "seed": 1} and tries[name] == 1:
+            raise RuntimeError("this run breaks")
+        return sweeps.error_cells(mean_baseline(at["method"], rows.where("split = 'train'"), 0)(rows.where(F.col("rid") % 3 == at["seed"])))
+
+    for _ in range(2):
+        sweeps.run_sweep(spark, path, sweeps.grid(method=["group_mean", "grand_mean"], seed=[0, 1]), run)
+    found = cut(sweeps.results(spark, path, "method string, seed int"))
+    sinks.remove_table(spark, path)
+    counted = F.create_map(*[F.lit(x) for pair in tries.items() for x in pair])
+    key = F.to_json(F.struct("method", "seed"))
+    return found.where("metric = 'RMSE'").select("method", "seed", "split", r6("value").alias("rmse"), F.element_at(counted, key).cast("int").alias("tries"))
+
+
+@query(f"""WITH {M}, n AS (SELECT count(*) AS n FROM m) SELECT fraction::DOUBLE AS fraction, least(n, greatest(32, round_even(n * fraction, 0)))::BIGINT AS n_rows FROM n, (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0]) AS fraction)""")
 def training_fractions(spark, sf_dir):
     """The sizes of seeded parts of the training rows at each fraction of a scaling sweep."""
-    rows, out = measurements(spark, sf_dir).where("solute like 'Brand#1%'").select("rid"), None
+    rows, out = measurements(spark, sf_dir).select("rid"), None
     rows = cut(rows)
     for f in (0.05, 0.1, 0.25, 0.5, 1.0):
         part = registry.training_fraction(rows, F.col("rid").cast("string"), f, 42).agg(F.count("*").alias("n_rows")).select(F.lit(f).alias("fraction"), "n_rows")

@@ -175,18 +175,6 @@ def sweep_grid(spark: SparkSession, **axes: list) -> DataFrame:
     return spark.createDataFrame([tuple(x) for x in product(*axes.values())], names)
 
 
-def run_grid(todo: DataFrame, run: Callable[[dict], DataFrame]) -> list[tuple[dict, str | None]]:
-    """Runs each row of a small grid; a run that fails doesn't stop the others. Gives each row and its error."""
-    out: list[tuple[dict, str | None]] = []
-    for row in todo.toLocalIterator():
-        try:
-            run(row.asDict())
-            out.append((row.asDict(), None))
-        except Exception as e:  # noqa: BLE001 the grid goes on, the error is reported
-            out.append((row.asDict(), f"{type(e).__name__}: {e}"))
-    return out
-
-
 def training_fraction(rows: DataFrame, key: Column, fraction: float, seed: int, stratum: str | None = None) -> DataFrame:
     """A seeded part of the training rows: 32 rows at least, or by stratum one of each at least."""
     from quorumlab.operators.splits import stratified_subsample, subsample
@@ -197,10 +185,9 @@ def training_fraction(rows: DataFrame, key: Column, fraction: float, seed: int,
 
 
 def validation_cut(rows: DataFrame, key: Column, n: int, seed: int, least: int = 2048, share: float = 0.05) -> DataFrame:
-    """rows with `validation` on max(least, share of n) of them, in the order of a seeded hash."""
+    """rows with `validation` on max(least, share of n) of them, in the order of a seeded hash, which is numbered range by range."""
     k = min(n, max(least, round(n * share)))
-    limit = rows.select(draw(seed, key).alias("_d")).orderBy("_d").limit(k).agg(F.max("_d").alias("_most"))
-    return rows.crossJoin(F.broadcast(limit)).withColumn("validation", F.coalesce(draw(seed, key) <= F.col("_most"), F.lit(False))).drop("_most")  # one row
+    return global_running(rows, [draw(seed, key), key]).withColumn("validation", F.col("rank") <= k).drop("rank")
 
 
 def status(spark: SparkSession, results: DataFrame) -> DataFrame:

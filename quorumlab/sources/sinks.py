@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from quorumlab.session import remove_folder
+
 
 def write_phase(df: DataFrame, path: str, as_csv: bool = False, gzip: bool = False, partition_by: list[str] | None = None) -> None:
     """A phase's table as Parquet, or as CSV (with a header, gzip if asked)."""
@@ -32,6 +34,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at path, if anything does."""
+    if path_exists(spark, path):
+        remove_folder(spark, path)
+
+
 def append_missing(spark: SparkSession, path: str, wanted: DataFrame, key: list[str], build) -> DataFrame:
     """The cache at path after build(missing keys) is appended for keys of wanted that it lacks."""
     keys = wanted.select(*key).distinct()
