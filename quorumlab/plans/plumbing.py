@@ -15,7 +15,7 @@ from quorumlab.operators import audit, metrics, models, splits
 from quorumlab.plans import registry, sweeps
 from quorumlab.plans.catalogue import M, PRED, SPLITS, query, r6, rounded, split_rows
 from quorumlab.session import cut, shared_folder
-from quorumlab.sources import sinks, tables
+from quorumlab.sources import bundles, sinks, tables
 from quorumlab.sources.tables import measurements, scan_parquet
 
 
@@ -100,15 +100,42 @@ def pretraining_scan(spark, sf_dir):
     return sinks.load_pretraining(spark, path, schema).groupBy("solvent", "t").agg(F.count("*").alias("n"), F.round(F.avg("y"), 4).alias("mean")).select("solvent", "n", "mean", "t")
 
 
-@query("""SELECT 'orders/' || column_name AS id, CASE WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'sc:Float' WHEN column_type IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'sc:Integer' WHEN column_type = 'BOOLEAN' THEN 'sc:Boolean' ELSE 'sc:Text' END AS kind,
-  column_name = 'o_orderkey' AS is_key FROM (DESCRIBE orders)""")
+@query("""WITH c AS (SELECT 'orders' AS name, column_name AS c, column_type AS k, (SELECT count(*) FROM orders) AS n FROM (DESCRIBE orders) UNION ALL SELECT 'part', column_name, column_type, (SELECT count(*) FROM part) FROM (DESCRIBE part))
+SELECT name || '/' || c AS id, CASE WHEN k IN ('DOUBLE', 'FLOAT') THEN 'sc:Float' WHEN k IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'sc:Integer' WHEN k = 'BOOLEAN' THEN 'sc:Boolean' ELSE 'sc:Text' END AS kind,
+  c IN ('o_orderkey', 'p_partkey') AS is_key, n AS n_rows, true AS files_same FROM c""")
 def dataset_fields(spark, sf_dir):
-    """The fields of a table's metadata record set, after the document's consistency check."""
-    record = sinks.record_set(scan_parquet(spark, sf_dir, "orders"), "orders", ["o_orderkey"], {}, "orders.parquet")
-    files = [{"@type": "cr:FileObject", "@id": "orders.parquet"}]
-    sinks.assert_consistent(sinks.dataset_document("orders", "Orders.", "https://spdx.org/licenses/CC0-1.0", files, [record], dict.fromkeys(sinks.REQUIRED_RAI, "none")))
-    keys = {k["@id"] for k in record["key"]}
-    return spark.createDataFrame([(f["@id"], f["dataType"], f["@id"] in keys) for f in record["field"]], "id string, kind string, is_key boolean")
+    """The whole metadata document of two tables written as CSV: their files hashed in chunks, checked again against the document."""
+    files, records, counts, path = [], [], {}, scratch(spark, "dataset")
+    for name, key in (("orders", "o_orderkey"), ("part", "p_partkey")):
+        df = scan_parquet(spark, sf_dir, name)
+        sinks.write_phase(df, f"{path}/{name}", as_csv=True)
+        written = bundles.file_objects(spark, f"{path}/{name}", f"Rows of {name}.", "text/csv")
+        files += written
+        records.append(sinks.record_set(df, name, [key], {}, written[0]["@id"]))
+        counts[name] = spark.read.option("header", True).csv(f"{path}/{name}").count()
+    document = sinks.dataset_document("trade", "Orders and parts.", "https://spdx.org/licenses/CC0-1.0", files, records, dict.fromkeys(sinks.REQUIRED_RAI, "none"))
+    sinks.assert_consistent(document)
+    same = bundles.check_files(spark, path, document).where("state <> 'same' and id like '%.csv'").isEmpty()
+    keys = {k["@id"] for r in records for k in r["key"]}
+    found = [(f["@id"], f["dataType"], f["@id"] in keys, counts[r["name"]], same) for r in records for f in r["field"]]
+    sinks.remove_table(spark, path)
+    return spark.createDataFrame(found, "id string, kind string, is_key boolean, n_rows long, files_same boolean")
+
+
+@query(f"""WITH {M}, ks AS (SELECT p_brand AS k FROM part UNION SELECT p_type FROM part), f AS (SELECT k, (length(k) + len(string_split(k, '=')) + len(string_split(k, '(')) - 2 + {' + '.join(f"(length(k) - length(replace(k, '{c}', '')))" for c in 'BCFINOPS')})::DOUBLE AS total FROM ks)
+SELECT solvent, count(*) AS n_rows, sum(rid)::BIGINT AS rids, round(sum(a.total + b.total), 3) AS features, round(sum(y), 4) AS labels FROM m JOIN f a ON a.k = solute JOIN f b ON b.k = solvent GROUP BY 1""")
+def array_bundle(spark, sf_dir):
+    """Feature matrices written with the rows that they belong to, and read back aligned."""
+    m, path = measurements(spark, sf_dir), scratch(spark, "bundle")
+    table = cut(registry.feature_table(m, ["solute", "solvent"], "letter_counts"))
+    rows = registry.assemble(m, table, "solute", "solvent", "t").select("rid", "solvent", "y", "features")
+    bundles.write_bundle(rows, path, "rid")
+    back = bundles.read_bundle(spark, path, "rid long, solvent string, y double, features array<float>")
+    width = F.size("features") - 4  # the last four are of temperature
+    total = F.aggregate(F.slice("features", F.lit(1), width), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    out = cut(back.groupBy("solvent").agg(F.count("*").alias("n_rows"), F.sum("rid").alias("rids"), F.round(F.sum(total), 3).alias("features"), F.round(F.sum("y"), 4).alias("labels")))
+    sinks.remove_table(spark, path)
+    return out
 
 
 RUNS = f"""{PRED}, sd AS (SELECT rid % 3 AS seed, rid FROM sp), ps AS (SELECT sp.split, sp.rid % 3 AS seed, sp.y AS y_true, coalesce(mn.mu, gm.g) AS y_pred FROM sp LEFT JOIN mn USING (solvent), gm),

@@ -92,37 +92,49 @@ def record_set(df: DataFrame, name: str, key: list[str], descriptions: dict[str,
     return {"@type": "cr:RecordSet", "@id": name, "name": name, "key": [{"@id": f"{name}/{c}"} for c in key], "field": fields}
 
 
-def file_objects(spark: SparkSession, path: str) -> list[dict]:
-    """Name, size and SHA-256 of each file under path, hashed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
-    return [{"@type": "cr:FileObject", "@id": r["path"].rsplit("/", 1)[-1], "name": r["path"].rsplit("/", 1)[-1], "contentUrl": r["path"], "contentSize": f"{r['length']} B", "sha256": r["sha256"]} for r in rows]
-
-
-REQUIRED_RAI = ("rai:dataCollection", "rai:dataBiases", "rai:dataLimitations", "rai:personalSensitiveInformation")
-
-
-def dataset_document(name: str, description: str, license_url: str, files: list[dict], records: list[dict], responsible: dict[str, str]) -> dict:
-    """The whole metadata document (JSON-LD)."""
-    document = {
-        "@context": {"@language": "en", "@vocab": "https://schema.org/", "sc": "https://schema.org/", "cr": "http://mlcommons.org/croissant/", "rai": "http://mlcommons.org/croissant/RAI/"},
-        "@type": "sc:Dataset", "name": name, "description": description, "license": license_url, "conformsTo": "http://mlcommons.org/croissant/1.0", "distribution": files, "recordSet": records,
+#: The vocabularies that a document conforms to, and the keys on responsible use that it must have.
+CONFORMS_TO = ["http://mlcommons.org/croissant/1.1", "http://mlcommons.org/croissant/RAI/1.0"]
+REQUIRED_RAI = (
+    "rai:dataLimitations", "rai:dataBiases", "rai:personalSensitiveInformation", "rai:dataUseCases", "rai:dataSocialImpact", "rai:hasSyntheticData", "prov:wasDerivedFrom", "prov:wasGeneratedBy",
+    "rai:dataCollection", "rai:dataCollectionType", "rai:dataCollectionMissingData", "rai:dataCollectionRawData", "rai:dataCollectionTimeframe", "rai:dataImputationProtocol",
+    "rai:dataPreprocessingProtocol", "rai:dataManipulationProtocol", "rai:dataAnnotationProtocol", "rai:dataAnnotationPlatform", "rai:dataAnnotationAnalysis", "rai:annotationsPerItem",
+    "rai:annotatorDemographics", "rai:machineAnnotationTools", "rai:dataReleaseMaintenancePlan",
+)
+
+
+def dataset_document(name: str, description: str, license_url: str, files: list[dict], records: list[dict], responsible: dict[str, object], **more: object) -> dict:
+    """The whole metadata document (JSON-LD); `more` are further properties of the data set (creator, citeAs, version, url, ...)."""
+    context = {
+        "@language": "en", "@vocab": "https://schema.org/", "sc": "https://schema.org/", "cr": "http://mlcommons.org/croissant/", "rai": "http://mlcommons.org/croissant/RAI/",
+        "prov": "http://www.w3.org/ns/prov#", "citeAs": "cr:citeAs", "conformsTo": "dct:conformsTo", "dct": "http://purl.org/dc/terms/", "dataType": {"@id": "cr:dataType", "@type": "@vocab"},
+        "extract": "cr:extract", "field": "cr:field", "fileObject": "cr:fileObject", "key": "cr:key", "column": "cr:column", "recordSet": "cr:recordSet", "source": "cr:source", "sha256": "cr:sha256",
     }
-    return document | responsible
+    document = {"@context": context, "@type": "sc:Dataset", "name": name, "description": description, "license": license_url, "conformsTo": CONFORMS_TO, "distribution": files, "recordSet": records}
+    return document | more | responsible
 
 
 def assert_consistent(document: dict) -> None:
-    """Raises ValueError for repeated ids, fields or keys that name nothing known, or missing RAI text."""
+    """Raises ValueError for another type, missing vocabularies, repeated ids, entries of another kind, files without a digest, fields or keys that
+    name nothing known, or keys on responsible use that are missing or empty (false is an answer)."""
+    if document["@type"] != "sc:Dataset":
+        raise ValueError(f"a document of type {document['@type']}")
+    if absent := [v for v in CONFORMS_TO if v not in document["conformsTo"]]:
+        raise ValueError(f"doesn't conform to {absent}")
     files = [f["@id"] for f in document["distribution"]]
     fields = [f for r in document["recordSet"] for f in r["field"]]
     ids = files + [r["@id"] for r in document["recordSet"]] + [f["@id"] for f in fields]
     if repeated := sorted({x for x in ids if ids.count(x) > 1}):
         raise ValueError(f"repeated ids: {repeated}")
+    kinds = [(document["distribution"], "cr:FileObject"), (document["recordSet"], "cr:RecordSet"), (fields, "cr:Field")]
+    if other := [x["@id"] for entries, kind in kinds for x in entries if x["@type"] != kind]:
+        raise ValueError(f"of another kind: {other}")
+    if bare := [f["@id"] for f in document["distribution"] if len(f.get("sha256", "")) != 64]:
+        raise ValueError(f"files without a digest: {bare}")
     if unknown := sorted({f["source"]["fileObject"]["@id"] for f in fields} - set(files)):
         raise ValueError(f"fields of unknown files: {unknown}")
     if loose := sorted({k["@id"] for r in document["recordSet"] for k in r["key"]} - {f["@id"] for f in fields}):
         raise ValueError(f"keys that are no fields: {loose}")
-    if missing := [k for k in REQUIRED_RAI if not document.get(k)]:
+    if missing := [k for k in REQUIRED_RAI if document.get(k) in (None, "", [])]:
         raise ValueError(f"missing: {missing}")
 
 

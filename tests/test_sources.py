@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from quorumlab.functions import molecules
 from quorumlab.plans import registry
-from quorumlab.sources import sinks, tables
+from quorumlab.sources import bundles, sinks, tables
 from quorumlab.streaming import incremental
 
 
@@ -56,7 +56,7 @@ def test_results_tree_and_report(spark, tmp_path):
 def test_gzip_csv_and_metadata(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "k string, v double")
     sinks.write_phase(df.coalesce(1), str(tmp_path / "out"), as_csv=True, gzip=True)
-    files = sinks.file_objects(spark, str(tmp_path / "out"))
+    files = bundles.file_objects(spark, str(tmp_path / "out"))
     assert len(files) == 1 and len(files[0]["sha256"]) == 64 and files[0]["name"].endswith(".csv.gz")
     record = sinks.record_set(df, "rows", ["k"], {"k": "the key"}, files[0]["@id"])
     rai = dict.fromkeys(sinks.REQUIRED_RAI, "text")
