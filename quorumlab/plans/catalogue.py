@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlab.functions import scalar
-from quorumlab.operators import agreement, attributions, audit, clean, differences, fits, metrics, models, ordered, splits, tiers
+from quorumlab.operators import agreement, attributions, audit, canonical, clean, differences, fits, metrics, models, ordered, splits, tiers
 from quorumlab.plans import registry
 from quorumlab.session import cut
 from quorumlab.sources import sinks, tables
@@ -943,6 +943,38 @@ def region_report(spark, sf_dir):
     return sinks.json_report(scan_parquet(spark, sf_dir, "region").select("r_regionkey", "r_name"))
 
 
+#: An order's line items as a chain: a graph whose names are line numbers. A chain reads the same from both ends.
+CHAINS = """dl AS (SELECT l_orderkey, l_linenumber, min(l_returnflag || l_linestatus) AS fs, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), runs AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM dl),
+pieces AS (SELECT l_orderkey, run, count(*) AS n, list(fs ORDER BY l_linenumber) AS a, list(f ORDER BY l_linenumber) AS b, list('' ORDER BY l_linenumber) AS c FROM runs GROUP BY 1, 2),
+ways AS (SELECT l_orderkey, n, least(a, list_reverse(a))::VARCHAR AS a, least(b, list_reverse(b))::VARCHAR AS b, c::VARCHAR AS c FROM pieces),
+gk AS (SELECT l_orderkey, sum(n)::BIGINT AS n, string_agg(a, ';' ORDER BY a) AS marked, string_agg(b, ';' ORDER BY b) AS flag, string_agg(c, ';' ORDER BY c) AS plain FROM ways GROUP BY 1)"""
+
+
+def order_graphs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    line = scan_parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    nodes = line.groupBy(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("node")).agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("marked"), F.min("l_returnflag").alias("flag"))
+    after = nodes.select("graph", (F.col("node") - 1).alias("src"), F.col("node").alias("dst"), F.lit(1).alias("bond"))
+    bonds = after.join(nodes.select("graph", F.col("node").alias("src")), ["graph", "src"], "left_semi")
+    return nodes.withColumn("plain", F.lit("")), bonds
+
+
+@query(f"WITH {CHAINS}, z AS (SELECT marked, n, count(*) AS size FROM gk GROUP BY 1, 2) SELECT n AS n_nodes, size, count(*) AS n_keys FROM z GROUP BY 1, 2")
+def graph_keys(spark, sf_dir):
+    """How many orders share a canonical key: line items joined in a chain, whichever end it is read from."""
+    nodes, bonds = order_graphs(spark, sf_dir)
+    keys = canonical.canonical_keys(nodes, bonds, label="marked")
+    return keys.groupBy("key", "n_nodes").agg(F.count("*").alias("size")).groupBy("n_nodes", "size").agg(F.count("*").alias("n_keys"))
+
+
+@query(f"""WITH {CHAINS}, k AS (SELECT 'marked' AS policy, marked AS k, marked FROM gk UNION ALL SELECT 'flag', flag, marked FROM gk UNION ALL SELECT 'plain', plain, marked FROM gk),
+z AS (SELECT policy, k, count(*) AS n, count(DISTINCT marked) AS m FROM k GROUP BY 1, 2) SELECT policy, count(*) AS n_keys, sum(m - 1)::BIGINT AS n_merged, max(n) AS largest FROM z GROUP BY 1""")
+def graph_policy_merges(spark, sf_dir):
+    """Keys of the same graphs where less of a label counts, and how many keys that merges."""
+    nodes, bonds = order_graphs(spark, sf_dir)
+    policies = ["marked", "flag", "plain"]
+    return canonical.policy_merges(canonical.policy_keys(nodes, bonds, {p: (p, "bond") for p in policies}), policies)
+
+
 @query(f"""WITH {M}, d AS (SELECT DISTINCT solute FROM m), c AS (SELECT solute, upper(trim(solute)) AS canon FROM d)
 SELECT canon, count(*) AS n, round(avg(y), 6) AS mean FROM m JOIN c USING (solute) GROUP BY 1""")
 def canonical_keys(spark, sf_dir):
