@@ -93,8 +93,8 @@ def _with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Nodes are numbers or strings. Each task first contracts the edges that it holds to stars, which
-    settles what one task held at once. Otherwise rounds follow until nothing changes: all neighbours of a
+    Nodes are numbers or strings. Each task first contracts the edges that it holds to stars. If fewer than EDGES_AT_ONCE
+    are left, one task contracts them all at once, which settles them. Otherwise rounds follow until nothing changes or one task can: all neighbours of a
     node hang under the smallest one (large star), then all smaller neighbours under the smallest
     (small star), then tasks contract again. Edges never outgrow their number at the start, rounds
     grow with the logarithm of the diameter, and every round is cut by a checkpoint. A node's
@@ -108,6 +108,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if state[2]:
             break
+        if state[0] < EDGES_AT_ONCE:
+            e = cut(_contracted(e.select("hi", "lo").coalesce(1)))
+            break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
         small = _with_least(large, "hi", "lo").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
