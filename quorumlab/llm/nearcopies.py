@@ -385,7 +385,10 @@ def _labelled(docs: DataFrame, words: int, similarity: float, radius: int) -> Da
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """(doc_id, component_id) of every row: the smallest doc_id of its group; null if the group has none."""
+    """(doc_id, component_id) of every row, repeated ones too: the smallest doc_id of its group; null if the group has none.
+
+    Null and empty texts share the empty set; very long texts are compared as whole sets; other columns are ignored; an empty table gives no rows.
+    """
     return _labelled(docs, words, similarity, radius).select("doc_id", F.col("kept.doc_id").alias("component_id"))
 
 
@@ -393,7 +396,8 @@ def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     """docs with one row, of the smallest doc_id, left of each group of near copies.
 
     Texts under one doc_id are judged apart. A group without a doc_id keeps the smallest hash of a text. Of rows that
-    repeat the kept doc_id and text the smallest stays, by all columns in order.
+    repeat the kept doc_id and text one stays, the smallest by all columns written as JSON. Null and empty texts link to
+    none but each other's equal sets; very long texts are compared as whole sets; other columns are kept, whatever their names and types; an empty table gives no rows.
     """
     rows = _labelled(docs, words, similarity, radius).groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
@@ -406,5 +410,6 @@ def drop_jaccard_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     again = judged.where("__stays")
     if again.isEmpty():
         return single
-    repeated = docs.join(again, same(again)).groupBy(again["__id"], again["__text"]).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    repeated = docs.join(again, same(again)).groupBy(again["__id"], again["__text"]).agg(F.min_by(row, F.to_json(row)).alias("r"))
     return single.unionByName(repeated.select("r.*"))

@@ -94,3 +94,17 @@ def test_a_round_gives_few_pairs_of_sets_apart():
         assert (run[x] == run[y]).all() and (label[x] != label[y]).all()
         turns.append({frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)})
     assert len(turns[0] & turns[1]) < len(turns[0]) / 2
+
+
+def test_other_columns_of_any_name_and_type(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, "a b c d e f g"), (7, "a b c d e f g"), (8, "a b c d e f g"), (9, "h i j k l m n"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = docs.withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("node", F.lit("n")).withColumn("__id", F.lit(5)).withColumn("kept", F.lit(2.0))
+    found = nearcopies.drop_jaccard_copies(wide)
+    assert found.columns == wide.columns
+    assert sorted(((r["doc_id"], r["text"], r["a.b"], r["m"], r["node"], r["__id"], r["kept"]) for r in found.collect()), key=str) == sorted(
+        [(7, "a b c d e f g", 1, {"k": 7}, "n", 5, 2.0), (9, "h i j k l m n", 1, {"k": 9}, "n", 5, 2.0), (None, None, 1, {"k": None}, "n", 5, 2.0)], key=str
+    )
+    assert nearcopies.drop_jaccard_copies(wide.limit(0)).count() == 0 and nearcopies.jaccard_groups(wide.limit(0)).count() == 0
