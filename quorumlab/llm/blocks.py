@@ -65,6 +65,15 @@ def _packed(queries: DataFrame, parts: int, slices: int) -> DataFrame:
     return cut(queries.repartition(parts).mapInArrow(pack, "slice int, data array<binary>"))
 
 
+def _asked(index: DataFrame, parts: DataFrame, blocks: int, slices: int) -> DataFrame:
+    """(block, slice, data): every part of the queries for every block, as many times as there are parts and blocks.
+
+    Blocks meet parts under about as many keys as there are blocks and slices, for which parts are repeated first, so no key grows with the blocks.
+    """
+    own = index.select("block", F.pmod(F.xxhash64("block"), F.lit(blocks)).cast("int").alias("key")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return own.join(parts.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["slice", "key"]).select("block", "slice", "data")
+
+
 def search_blocks(
     index: DataFrame, queries: DataFrame, names: list[str], prepare: Callable[[dict[str, bytes]], Any],
     search: Callable[[Any, pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], k: int, score: str,
@@ -80,8 +89,7 @@ def search_blocks(
     slices = max(1, min(SLICES, -(-index.sparkSession.sparkContext.defaultParallelism // blocks)))
     parts = _packed(queries, max(1, slices, -(-n // QUERIES_AT_ONCE)), slices)
     copies = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "data")
-    asked = index.select("block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    asked = asked.join(parts, "slice").select("block", "slice", F.lit(1).alias("kind"), "data")
+    asked = _asked(index, parts, blocks, slices).select("block", "slice", F.lit(1).alias("kind"), "data")
     kind = "double" if score == "double" else "int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

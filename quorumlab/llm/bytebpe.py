@@ -88,7 +88,7 @@ def codec(ranks_path: str, pattern: str) -> ByteCodec:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, byte_starts, char_starts, char_ends) of each whole text.
 
-    Null and empty texts give empty arrays; rows repeat as they come; other columns are ignored.
+    Null and empty texts give empty arrays; a text is encoded whole, however long; rows repeat as they come; other columns are ignored; an empty table gives no rows.
     """
 
     @F.arrow_udf("ids array<int>, byte_starts array<int>, char_starts array<int>, char_ends array<int>")
@@ -119,7 +119,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids: str
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded, then its ids decoded.
 
-    The ids never leave the worker. Null and empty texts have no ids and digests of no bytes.
+    The ids never leave the worker. Null and empty texts have no ids and digests of no bytes; very long texts are encoded whole; rows repeat as they come; an empty table gives no rows.
     """
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     become one space), and those with a licence cue are named. `sentences` holds the names in
     order; `licenses` those that the rules make of them, in order of the text, repeats included,
     joined by |; `unmatched` counts the names that no rule took; a sentence that denies a licence names none. Null and empty texts have none
-    (empty strings, 0). One pass without a shuffle; rows repeat as they come, other columns are ignored.
+    (empty strings, 0); very long texts are read whole. One pass without a shuffle; rows repeat as they come, other columns are ignored; an empty table gives no rows.
     """
     lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
     text = lower

@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
 
     A word is a run without white space; a space and its UTF-8 bytes are cut greedily into the
     longest byte pieces of the vocabulary, in which a piece with a leading space begins a word.
-    Null and empty texts have no words. Rows repeat as they come; other columns are ignored.
+    Null and empty texts have no words; texts are read whole, however long. Rows repeat as they come; other columns are ignored; an empty table gives no rows.
     """
 
     @F.arrow_udf("n_words long, n_tokens long, most_tokens_in_word long")

@@ -245,3 +245,17 @@ def test_searches_of_empty_tables(spark):
     assert annforest.nearest(none, asked).count() == 0 and annforest.nearest(asked.selectExpr("query_id as vec_id", "embedding"), asked.where("query_id < 0")).count() == 0
     codes = spark.createDataFrame([], "vec_id long, code long")
     assert hamming.hamming_top_k(codes, codes.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+def test_parts_meet_many_blocks_under_many_keys(spark):
+    """More blocks than cores: one slice, and still no key that all blocks share."""
+    from pyspark.sql import functions as F
+
+    from quorumlab.llm import blocks
+
+    index = spark.range(64).select(F.shiftleft("id", 33).alias("block"), F.array(F.lit(b"x")).alias("data"))
+    parts = spark.range(5).select(F.lit(0).alias("slice"), F.array(F.col("id").cast("string").cast("binary")).alias("data"))
+    asked = blocks._asked(index, parts, 64, 1)
+    assert asked.count() == asked.distinct().count() == 320 and asked.select("block").distinct().count() == 64
+    keys = index.groupBy(F.pmod(F.xxhash64("block"), F.lit(64)).alias("key")).count().collect()
+    assert len(keys) >= 32 and max(r["count"] for r in keys) <= 6
