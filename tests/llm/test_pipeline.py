@@ -36,4 +36,4 @@ def test_pipeline_over_odd_and_no_documents(spark, tmp_path, odd_docs, no_docs):
 
 def test_every_operator_has_a_query():
     names = sorted(queries.queries(), key=lambda x: int(x[2:].split("_")[0]))
-    assert [int(x[2:].split("_")[0]) for x in names] == list(range(1, 11))
+    assert [int(x[2:].split("_")[0]) for x in names] == list(range(1, 14))
