@@ -391,7 +391,7 @@ def test_licence_rules(spark, odd_docs, no_docs):
     texts = [MIT, BSD3, "Prose.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License. Later: licensed under CC BY-NC 4.0.", "A licence of my own.", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r for r in rows(licenses.scan_licenses(docs))}
-    assert [found[i]["licenses"] for i in range(7)] == ["MIT", "BSD-3-Clause", "Apache-2.0", "MIT|CC-BY-NC", "", "", ""]
+    assert [found[i]["licenses"] for i in range(7)] == ["MIT", "BSD-3-Clause", "Apache-2.0", "MIT|CC-BY-NC-4.0", "", "", ""]
     assert found[4]["unmatched"] == 1 and found[5]["n_sentences"] == 0
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count() and licenses.scan_licenses(no_docs).count() == 0
 
