@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quorumlab.operators import canonical
 from quorumlab.operators.canonical import canonical_keys, policy_keys, policy_merges
 
 NODES, BONDS = "graph string, node int, label string", "graph string, src int, dst int, bond int"
@@ -73,3 +74,11 @@ def test_odd_rows_and_policies(spark):
     merges = {r["policy"]: (r["n_keys"], r["n_merged"], r["largest"]) for r in policy_merges(found, ["marked", "plain"]).collect()}
     assert merges == {"marked": (3, 0, 1), "plain": (2, 1, 2)}
     assert canonical_keys(nodes.limit(0), bonds).count() == 0
+
+
+def test_rounds_are_gone_through_by_distinct_texts(spark, monkeypatch):
+    seen, refined = [], canonical._refined
+    monkeypatch.setattr(canonical, "_refined", lambda nodes, bonds: seen.append(nodes.count()) or refined(nodes, bonds))
+    graphs = {f"g{i}": ({10 * i + v: x for v, x in enumerate("CCO")}, [(10 * i, 10 * i + 1, 1), (10 * i + 1, 10 * i + 2, 2)]) for i in range(50)}
+    got = keys(spark, graphs | {"turned": ({1: "O", 2: "C", 3: "C"}, [(1, 2, 2), (3, 2, 1)])})
+    assert len(set(got.values())) == 1 and len(got) == 51 and seen == [6]
