@@ -201,6 +201,22 @@ def test_samples_are_whole_and_seeded(spark):
     assert splits.stratified_subsample(rows, "s", key, 0.01, 7).count() == 9
 
 
+def test_samples_of_large_strata_rank_only_the_draws_at_the_edge(spark, monkeypatch):
+    ranked, running = [], splits.global_running
+    monkeypatch.setattr(splits, "global_running", lambda rows, order: ranked.append(rows.count()) or running(rows, order))
+    rows = spark.range(5000).withColumn("s", F.when(F.col("id") % 10 > 1, F.lit("hot")).otherwise(F.when(F.col("id") % 10 == 1, F.lit("cold"))))
+    key = F.col("id").cast("string")
+    drawn = sorted(rows.withColumn("d", splits.draw(7, key)).collect(), key=lambda r: (r["d"], str(r["id"])))
+    first = lambda k, *s: sorted([r["id"] for r in drawn if not s or r["s"] == s[0]][:k])
+    found = splits.stratified_subsample(rows, "s", key, 0.3, 7)
+    assert found.columns == rows.columns and sorted(values(found, "id")) == sorted(first(1200, "hot") + first(150, "cold") + first(150, None))
+    for n, fraction, k in ((5000, 0.37, 1850), (None, 0.37, 1850), (None, 0.0, 32), (None, 1.0, 5000), (None, 2.0, 5000)):
+        assert sorted(values(splits.subsample(rows, key, n, fraction, 7), "id")) == first(k)
+    assert max(ranked) < 50  # not the 5000 rows, nor a stratum
+    repeated = rows.withColumn("k", F.lit("one"))
+    assert splits.subsample(repeated, F.col("k"), None, 0.1, 7).count() == 500 and splits.subsample(rows.limit(0), key, None, 0.5, 7).count() == 0
+
+
 PRED = "split string, solvent string, y_true double, y_pred double, sigma double"
 
 
