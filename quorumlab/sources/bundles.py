@@ -18,6 +18,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, Stru
 
 #: Bytes of a file that a task holds while it hashes, and rows of a bundle.
 CHUNK, ROWS = 8 << 20, 1 << 16
+#: Bytes of rows, as they come, that a part holds.
+PART_BYTES = 32 << 20
 MANIFEST = "_manifest.json"
 
 
@@ -57,9 +59,7 @@ def file_digests(spark: SparkSession, path: str, tasks: int = 64) -> DataFrame:
 
 @dataclass
 class Written(WriterCommitMessage):
-    part: str | None
-    rows: int
-    sha256: str | None
+    parts: list[dict]
 
 
 @dataclass
@@ -68,7 +68,7 @@ class Part(InputPartition):
 
 
 class ArrayBundle(DataSource):
-    """format("array_bundle"): one .npz of aligned columns for each task, listed by a manifest that the commit writes.
+    """format("array_bundle"): .npz files of aligned columns, one or more for each task, listed by a manifest that the commit writes.
 
     Columns of arrays (of one length in a bundle) become matrices of float32 or float64, numbers and texts become vectors; row i of
     each is the same row. Nulls aren't allowed. Readers see the parts that the manifest lists, one partition each: parts of a job that failed are removed, and
@@ -91,11 +91,27 @@ class BundleWriter(DataSourceArrowWriter):
         self.path, self.schema, self.overwrite, self.job = path, schema, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """Parts of PART_BYTES or little more each, so that a task holds one part, however many rows it has."""
+        written, held, size = Written([]), [], 0
+        try:
+            for batch in iterator:
+                step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+                for at in range(0, batch.num_rows, step):
+                    held.append(batch.slice(at, step))
+                    size += held[-1].nbytes
+                    if size >= PART_BYTES:
+                        written.parts.append(self._write_part(held))
+                        held, size = [], 0
+            if held:
+                written.parts.append(self._write_part(held))
+        except BaseException:
+            self.abort([written])
+            raise
+        return written
+
+    def _write_part(self, batches: list[pa.RecordBatch]) -> dict:
         from pyspark import TaskContext
 
-        batches = [b for b in iterator if b.num_rows]
-        if not batches:
-            return Written(None, 0, None)
         table = pa.Table.from_batches(batches).combine_chunks()
         arrays = {}
         for field in self.schema.fields:
@@ -107,7 +123,7 @@ class BundleWriter(DataSourceArrowWriter):
                 if len(widths) > 1 or column.flatten().null_count:
                     raise ValueError(f"{field.name} isn't a matrix")
                 kind = np.float32 if isinstance(field.dataType.elementType, FloatType) else np.float64
-                arrays[field.name] = column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), int(widths[0]))
+                arrays[field.name] = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), int(widths[0]))
             else:
                 values = column.to_numpy(zero_copy_only=False)
                 arrays[field.name] = values.astype(str) if isinstance(field.dataType, StringType) else values
@@ -118,14 +134,14 @@ class BundleWriter(DataSourceArrowWriter):
         store.create_dir(where, recursive=True)
         with store.open_output_stream(f"{where}/{name}") as f:
             f.write(raw.getbuffer())
-        return Written(name, len(table), hashlib.sha256(raw.getbuffer()).hexdigest())
+        return {"part": name, "rows": len(table), "sha256": hashlib.sha256(raw.getbuffer()).hexdigest()}
 
     def commit(self, messages: list[Written | None]) -> None:
         """Lists the new parts behind those there were, or instead of them; the manifest is moved into place at last."""
         store, where = _store(self.path)
         store.create_dir(where, recursive=True)
         old = [] if self.overwrite else read_manifest(self.path)
-        new = sorted(({"part": m.part, "rows": m.rows, "sha256": m.sha256} for m in messages if m and m.part), key=lambda p: p["part"])
+        new = sorted((p for m in messages if m for p in m.parts), key=lambda p: p["part"])
         draft = f"{where}/{MANIFEST}.{self.job}"
         with store.open_output_stream(draft) as f:
             f.write(json.dumps({"columns": self.schema.simpleString(), "parts": old + new}).encode())
@@ -134,9 +150,9 @@ class BundleWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         """Removes the parts of tasks that had ended."""
         store, where = _store(self.path)
-        for m in messages:
-            if m and m.part and store.get_file_info(f"{where}/{m.part}").type == fs.FileType.File:
-                store.delete_file(f"{where}/{m.part}")
+        for p in (p for m in messages if m for p in m.parts):
+            if store.get_file_info(f"{where}/{p['part']}").type == fs.FileType.File:
+                store.delete_file(f"{where}/{p['part']}")
 
 
 def read_manifest(path: str) -> list[dict]:

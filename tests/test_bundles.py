@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlab.plans import plumbing
 from quorumlab.sources import bundles, sinks
+from quorumlab.sources.tables import measurements
 
 SCHEMA = "rid long, name string, y double, x array<float>, z array<double>"
 
@@ -42,6 +44,41 @@ def test_round_trip_and_columns(spark, tmp_path):
     assert bundles.read_bundle(spark, path, SCHEMA).count() == 0
 
 
+def test_a_task_of_many_rows_writes_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bundles, "PART_BYTES", 4000)
+    path, rows = str(tmp_path / "b"), table(spark).coalesce(1)
+
+    class Writer(bundles.BundleWriter):
+        def __init__(self, schema):
+            super().__init__(path, schema, True)
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))
+    batches = rows.toArrow().to_batches()
+    writer = Writer(rows.schema)
+    found = writer.write(iter(batches))
+    assert len(found.parts) > 2 and sum(p["rows"] for p in found.parts) == 500 and max(p["rows"] for p in found.parts) < 200
+    writer.commit([found])
+    assert sorted(map(tuple, bundles.read_bundle(spark, path, SCHEMA).collect())) == sorted(map(tuple, rows.collect()))
+    before = sorted(os.listdir(path))
+    broken = rows.withColumn("y", F.when(F.col("rid") < 450, F.col("y"))).orderBy("rid").toArrow().to_batches()
+    with pytest.raises(ValueError, match="has nulls"):
+        Writer(rows.schema).write(iter(broken))
+    assert sorted(os.listdir(path)) == before  # a task that fails takes its earlier parts along
+
+
+def test_sums_of_ids_that_no_long_holds_are_exact(spark, tmp_path, sf_dir):
+    for name in ("part", "supplier", "lineitem"):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "lineitem":
+            rows = rows.withColumn("l_orderkey", F.col("l_orderkey").cast("long") + 9_000_000_000_000)
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {}
+    for r in measurements(spark, str(tmp_path)).select("solvent", "rid").collect():
+        want[r["solvent"]] = want.get(r["solvent"], 0) + r["rid"]
+    found = {r["solvent"]: int(r["rids"]) for r in plumbing.array_bundle(spark, str(tmp_path)).collect()}
+    assert found == want and max(want.values()) > 1 << 63
+
+
 def test_a_failed_write_changes_nothing(spark, tmp_path):
     path, rows = str(tmp_path / "b"), table(spark)
     bundles.write_bundle(rows, path, "rid")
