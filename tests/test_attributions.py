@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlab.operators import attributions, models
+from quorumlab.plans import catalogue
 
 COLUMNS = ["a", "b", "c", "d"]
 
@@ -100,3 +101,11 @@ def test_boosting_stops_on_the_held_rows(spark, table):
     assert len(attributions.tree_attributions(cut, held).first()["attribution"]) == 4
     same, none = models.stop_early(whole, held.limit(0))
     assert same is whole and none == []
+
+
+def test_training_rows_are_dealt_evenly(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 500)
+    rows = catalogue.training_rows(spark, sf_dir)
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == -(-rows.count() // 500) and max(sizes) < 700
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, catalogue.assembled(spark, sf_dir).collect()))
