@@ -15,7 +15,7 @@ BLOCK = 1 << 15
 #: Up to so many of them pairs are simply compared, in the task.
 FEW = 192
 #: Differences tried at once in a round over blocks.
-TRIES = 31
+TRIES = 7
 
 
 class Places:
@@ -27,11 +27,15 @@ class Places:
         self.keys = np.sort(code.astype(np.int64) * self.width + np.arange(len(codes)))
         self.before = np.concatenate([[0], np.cumsum(counts[self.keys % self.width])])
 
+        self.asked: tuple | None = None
+
     def below(self, places: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.names, codes), len(self.names) - 1)
-        first = at.astype(np.int64) * self.width
-        rows = self.before[np.searchsorted(self.keys, first + places)] - self.before[np.searchsorted(self.keys, first)]
-        return np.where(self.names[at] == codes, rows, 0)
+        if self.asked is None or self.asked[0] is not codes:  # names are looked up once, not for each difference tried
+            at = np.minimum(np.searchsorted(self.names, codes), len(self.names) - 1)
+            first = at.astype(np.int64) * self.width
+            self.asked = codes, first, self.before[np.searchsorted(self.keys, first)], self.names[at] == codes
+        _, first, start, known = self.asked
+        return np.where(known, self.before[np.searchsorted(self.keys, first + places)] - start, 0)
 
 
 class Block:
@@ -109,20 +113,27 @@ ARRAYS = ("values", "cells", "members", "counts")
 
 
 def _blocks(rows: DataFrame, group: str, cell: list[str], member: str, value: str) -> DataFrame:
-    """(g, block, blocks, values, cells, members, counts): a group's distinct (value, cell, member) in order, BLOCK to a row."""
+    """(g, home, block, blocks, values, cells, members, counts): a group's distinct (value, cell, member), in one row up to BLOCK of them.
+
+    In a larger group no cell is spread over rows that another cell shares: cells up to BLOCK lie whole in bins of about BLOCK, and a larger cell
+    is a home of its own, in blocks by value. Only blocks of one home have pairs with each other.
+    """
     clean = rows.dropna(subset=[group, *cell, member, value])
     where = F.to_json(F.struct(*cell)) if cell else F.lit("")
     counts = clean.select(F.col(group).alias("g"), where.alias("s"), F.col(member).cast("string").alias("m"), F.col(value).cast("double").alias("v"))
     counts = counts.where(~F.isnan("v") & (F.abs("v") != float("inf"))).groupBy("g", "v", "s", "m").agg(F.count("*").alias("c"))
-    ranged = cut(counts.repartitionByRange("g", "v", "s", "m").withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("g", "_range").agg(F.count("*").alias("_s"))
-    w = Window.partitionBy("g")
+    ranged = cut(counts.repartitionByRange("g", "s", "v", "m").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("g", "s", "_range").agg(F.count("*").alias("_s"))
+    w = Window.partitionBy("g", "s")
     before = F.coalesce(F.sum("_s").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("g", "_range", before.alias("_before"), F.sum("_s").over(w).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("g", "_range").orderBy("v", "s", "m"))
-    placed = ranged.withColumn("_i", inside).join(sizes, ["g", "_range"]).withColumn("block", F.floor((F.col("_before") + F.col("_i") - 1) / BLOCK).cast("int"))
-    made = placed.groupBy("g", "block").agg(F.max(F.ceil(F.col("_n") / BLOCK)).cast("int").alias("blocks"), F.collect_list(F.struct("v", "s", "m", "c")).alias("e"))  # at most BLOCK
-    return made.select("g", "block", "blocks", *[F.col(f"e.{c}").alias(name) for c, name in zip("vsmc", ARRAYS, strict=True)], F.array_min("e.v").alias("least"), F.array_max("e.v").alias("most"))
+    sizes = sizes.select("g", "s", "_range", before.alias("_before"), F.sum("_s").over(w).alias("_cell"), F.sum("_s").over(Window.partitionBy("g")).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("g", "s", "_range").orderBy("v", "m"))
+    placed = ranged.withColumn("_i", inside).join(sizes, ["g", "s", "_range"])
+    one, small = F.col("_n") <= BLOCK, F.col("_cell") <= BLOCK  # a group in one row; a cell that shares its row with others of its bin
+    home = F.when(one, "").when(small, F.concat(F.lit("bin "), F.pmod(F.xxhash64("s"), F.ceil(F.col("_n") / BLOCK)).cast("string"))).otherwise(F.concat(F.lit("cell "), F.col("s")))
+    block = F.when(one | small, F.lit(0)).otherwise(F.floor((F.col("_before") + F.col("_i") - 1) / BLOCK)).cast("int")
+    made = placed.groupBy("g", home.alias("home"), block.alias("block")).agg(F.max(F.ceil(F.col("_n") / BLOCK)).cast("int").alias("blocks"), F.collect_list(F.struct("v", "s", "m", "c")).alias("e"))  # about BLOCK
+    return made.select("g", "home", "block", "blocks", *[F.col(f"e.{c}").alias(name) for c, name in zip("vsmc", ARRAYS, strict=True)], F.array_min("e.v").alias("least"), F.array_max("e.v").alias("most"))
 
 
 def _read(batch: pa.RecordBatch, i: int, prefix: str = "") -> Block:
@@ -135,7 +146,7 @@ def difference_quantiles(rows: DataFrame, group: str, cell: list[str], member: s
 
     No pair is made. A group's distinct (value, cell, member) are sorted with prefix counts; how many pairs lie within a difference is
     then a binary search for each entry, less the pairs of its own member, and bisection on the difference finds each rank, to the last digits of a double. Groups of
-    up to BLOCK entries are settled by one task each. Larger ones lie in blocks: a round counts the pairs of blocks for TRIES
+    up to BLOCK entries are settled by one task each. Larger ones lie in blocks, each cell's apart from the others': a round counts the pairs of blocks for TRIES
     differences between the bounds of each rank, so no task holds more than two blocks; pairs of blocks that lie farther apart than
     every difference tried are skipped. Rows with a null group, cell, member or value, or a value that isn't finite, are left out; groups without a pair have no
     row; repeated rows count as often as they come.
@@ -165,9 +176,9 @@ def _large_groups(blocks: DataFrame, shares: list[float]) -> list[tuple]:
     if not bounds:
         return []
     kind = dict(blocks.dtypes)["g"]
-    left = blocks.select("g", F.col("block").alias("p"), F.col("most").alias("a_most"), *[F.col(c).alias(f"a_{c}") for c in ARRAYS])
-    right = blocks.select("g", F.col("block").alias("q"), F.col("least").alias("b_least"), *[F.col(c).alias(f"b_{c}") for c in ARRAYS])
-    pairs = left.join(right, "g").where("p <= q")  # pairs of blocks, not of rows
+    left = blocks.select("g", "home", F.col("block").alias("p"), F.col("most").alias("a_most"), *[F.col(c).alias(f"a_{c}") for c in ARRAYS])
+    right = blocks.select("g", "home", F.col("block").alias("q"), F.col("least").alias("b_least"), *[F.col(c).alias(f"b_{c}") for c in ARRAYS])
+    pairs = left.join(right, ["g", "home"]).where("p <= q")  # pairs of blocks of a cell or bin, not of rows
 
     def count(tries: dict) -> dict:
         """For each group how many pairs lie within each of its differences."""

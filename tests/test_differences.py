@@ -88,3 +88,19 @@ def test_a_cell_of_100_000_rows(spark):
         own, other = v[m == x], v[m != x]
         within += int((np.searchsorted(other, own + row["median"], side="right") - np.searchsorted(other, own, side="left")).sum())
     assert within == pytest.approx(row["n"] / 2, rel=1e-4)
+
+
+def test_cells_of_a_large_group_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(differences, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    rows = [("g", f"c{i}", f"m{rng.integers(5)}", float(v)) for i in range(12) for v in rng.integers(0, 10_000, 30)] + [("g", "hot", f"m{rng.integers(5)}", float(v)) for v in rng.integers(0, 10_000, 150)]
+    df = spark.createDataFrame(rows, "g string, s string, m string, v double")
+    held = {}
+    for r in differences._blocks(df, "g", ["s"], "m", "v").collect():
+        for cell in set(r["cells"]):
+            held.setdefault(cell, []).append((r["home"], r["block"], len(r["values"])))
+    assert len(held) == 13 and sum(len(x) > 1 for x in held.values()) == 1  # the hot cell alone is in several rows
+    assert len({home for x in held.values() for home, _, _ in x}) > 2
+    d = sorted(abs(a[3] - b[3]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and a[2] != b[2])
+    got = differences.difference_quantiles(df, "g", ["s"], "m", "v", {"median": 0.5, "p90": 0.9, "most": 1.0}).collect()
+    assert len(got) == 1 and got[0]["n"] == len(d) and np.allclose([got[0]["median"], got[0]["p90"], got[0]["most"]], np.quantile(d, [0.5, 0.9, 1.0]))
