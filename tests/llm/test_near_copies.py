@@ -108,3 +108,66 @@ def test_other_columns_of_any_name_and_type(spark):
         [(7, "a b c d e f g", 1, {"k": 7}, "n", 5, 2.0), (9, "h i j k l m n", 1, {"k": 9}, "n", 5, 2.0), (None, None, 1, {"k": None}, "n", 5, 2.0)], key=str
     )
     assert nearcopies.drop_jaccard_copies(wide.limit(0)).count() == 0 and nearcopies.jaccard_groups(wide.limit(0)).count() == 0
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (0, 1, 3, 60, 64, 65, 90, 400, 500, 520, 3000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[int(n * share) :], rng.integers(0, 2**64, int(n * share), dtype=np.uint64)))) for share in (0, 0.05, 0.1, 0.5, 1)]
+    x, y = zip(*[(a, b) for a in sets for b in sets], strict=True)
+    apart = nearcopies._bits_apart([nearcopies._sketch(s) for s in x], [nearcopies._sketch(s) for s in y])
+    differ = np.array([len(np.setxor1d(a, b)) for a, b in zip(x, y, strict=True)])
+    assert (apart <= differ).all()
+    n = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)])
+    near = np.array([min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) for a, b in zip(x, y, strict=True)])
+    far = (differ >= n / 2) & (n > 700) & near  # a similarity of 1/3 or less, and sizes that allow one of 0.8
+    assert far.any() and (apart[far] * 1.8 > 0.2 * n[far]).all()
+
+
+def test_texts_that_share_a_passage_are_not_compared_whole(spark, monkeypatch):
+    """Texts that meet in a bucket of a passage whose commonness no sample has told don't make pairs by the square of its size."""
+    rng, texts = random.Random(11), {}
+    new = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    passage = new(40)
+    for i in range(300):
+        texts[i] = " ".join(new(60) + passage)
+    for i in range(300, 320):
+        texts[i] = " ".join(edited(texts[i - 300].split(), 0.01, rng))
+    compared, whole = [], nearcopies._similar_pairs
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "SAMPLE", 0)
+    monkeypatch.setattr(nearcopies, "SHARE", 0, raising=False)
+    monkeypatch.setattr(nearcopies, "_similar_pairs", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in nearcopies.jaccard_groups(docs).collect()}
+    assert found == brute_groups(texts)
+    assert sum(compared) <= 60, compared
+
+
+def test_what_is_remembered_of_a_sample_grows_with_the_table_up_to_a_bound(spark, monkeypatch):
+    """Of more common shingles than are remembered, the most frequent stay."""
+    from quorumlab.session import Scratch
+
+    monkeypatch.setattr(nearcopies, "MOST_COMMON", 10)
+    rows = [(i, " ".join(f"p{j}" for j in range(8 if i % 2 else 24))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with Scratch(spark, "test") as scratch:
+        known, often = nearcopies._most_common(docs, 5, scratch)
+    assert len(known) == 4 and set(often.tolist()) == {20}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from quorumlab.session import Scratch, shared_folder
+
+    with Scratch(spark, "test") as scratch:
+        kept = scratch.keep(spark.range(7).selectExpr("id", "array(id) AS a"))
+        assert sorted(r.id for r in kept.collect()) == list(range(7)) and os.path.isdir(scratch.folder)
+    assert not os.path.exists(scratch.folder) and os.path.isdir(shared_folder(spark).removeprefix("file:"))
