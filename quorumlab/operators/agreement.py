@@ -46,6 +46,19 @@ def atom_deltas(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("t", F.explode(grid(F.col("t0"), F.col("t1")))).select("solute", "solvent", "gi", "gj", "t", _difference(F.col("t")).alias("delta"))
 
 
+def atom_sums(pairs: DataFrame) -> DataFrame:
+    """(solute, solvent, gi, gj, n, sum_abs, sum_squares, most) of the differences at a pair's grid points, summed within its row: no grid row is made."""
+    steps = F.floor(F.col("t1") - F.col("t0")).cast("int")
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("m"))
+
+    def added(at: Column, i: Column) -> Column:
+        d = F.abs(_difference(F.col("t0") + i))
+        return F.struct((at["s"] + d).alias("s"), (at["q"] + d * d).alias("q"), F.greatest(at["m"], d).alias("m"))
+
+    total = pairs.select("solute", "solvent", "gi", "gj", (steps + 1).cast("long").alias("n"), F.aggregate(F.sequence(F.lit(0), steps), zero, added).alias("x"))
+    return total.select("solute", "solvent", "gi", "gj", "n", F.col("x.s").alias("sum_abs"), F.col("x.q").alias("sum_squares"), F.col("x.m").alias("most"))
+
+
 def group_pair_mae(pairs: DataFrame) -> DataFrame:
     """(solute, solvent, gi, gj, n, sum_abs): summed within each row's own grid, so that no grid
     row is ever shuffled or even made: memory and network don't depend on the grid."""
@@ -128,6 +141,14 @@ def source_reliability(fits: DataFrame, members: DataFrame, group: str = "src",
     return out.select(group, F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"), "mean_dev", "median_dev", "max_dev", F.coalesce(F.col("mean_dev") >= threshold, F.lit(False)).alias("flagged"))
 
 
+def group_deviation(fits: DataFrame, members: DataFrame, group: str = "src", threshold: float = 0.6) -> DataFrame:
+    """source_reliability without median and maximum: sums within each fit's own grid, so no grid row is made, written or sorted."""
+    n, total = _grid_sums()
+    sums = leave_one_out_curves(fits).select(group, n.alias("n"), total.alias("d")).groupBy(group).agg(F.sum("n").alias("n_grid"), (F.sum("d") / F.sum("n")).alias("mean_dev"))
+    out = members.select(group).distinct().join(sums, group, "left")
+    return out.select(group, F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"), "mean_dev", F.coalesce(F.col("mean_dev") >= threshold, F.lit(False)).alias("flagged"))
+
+
 def exclusion_reasons(fits: DataFrame, good: DataFrame, pairs: DataFrame) -> DataFrame:
     """How many (solute, solvent) are compared, or why not."""
     every = fits.groupBy("solute", "solvent").agg(F.count("*").alias("n_groups"))

@@ -396,3 +396,21 @@ def test_resamples_have_the_size_of_the_table(spark, monkeypatch):
     assert models.bootstrap_sums(df.limit(0), "v", resamples=5).count() == 0
     one = models.bootstrap_sums(df.limit(1), "v", resamples=5).collect()
     assert len({r["s"] for r in one}) == 1 and {r["w"] for r in one} == {1}
+
+
+def test_sums_within_rows_equal_grid_rows(spark):
+    """atom_sums and group_deviation against the grid rows that they stand for, null c and members without fits included."""
+    rng = random.Random(8)
+    rows = [("s", "v", f"g{i}", rng.random(), rng.random() * 9, None if i == 2 else rng.random(), 280.0 + i, 300.0 + 2 * i) for i in range(6)]
+    good = spark.createDataFrame(rows, "solute string, solvent string, src string, a double, b double, c double, t_min double, t_max double")
+    pairs = agreement.fit_pairs(good)
+    d = F.abs("delta")
+    want = agreement.atom_deltas(pairs).groupBy("gi", "gj").agg(F.count("*"), F.sum(d), F.sum(d * d), F.max(d)).orderBy("gi", "gj").collect()
+    got = agreement.atom_sums(pairs).select("gi", "gj", "n", "sum_abs", "sum_squares", "most").orderBy("gi", "gj").collect()
+    assert len(got) == 15 and [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-12)
+    members = good.select("src").unionAll(spark.createDataFrame([("none",)], "src string"))
+    one = agreement.source_reliability(good, members, threshold=0.3).select("src", "n_grid", "mean_dev", "flagged").orderBy("src").collect()
+    two = agreement.group_deviation(good, members, threshold=0.3).orderBy("src").collect()
+    assert [(r[0], r[1], r[3]) for r in one] == [(r[0], r[1], r[3]) for r in two] and two[-1].mean_dev is None
+    assert np.allclose([r.mean_dev for r in one[:-1]], [r.mean_dev for r in two[:-1]], rtol=1e-12)
