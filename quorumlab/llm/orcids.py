@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quorumlab.llm.packing import memo
+from quorumlab.llm.wordids import memo
 
-TEXTS_AT_ONCE = 256
 SCHEMA = "part int, doc_id long, place long, n_tokens long, ids array<int>"
 
 
@@ -25,19 +24,18 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     ordered = ["doc_id", "__hash", "__row"]
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
     ranged = ranged.repartitionByRange(*ordered).sortWithinPartitions(*ordered).select("doc_id", "text")
-    stop = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, place = memo(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
-                raw = [x + stop for x in own.encode(some.column(1).to_pylist())]
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-                cols = [pa.array(np.full(len(raw), part, np.int32)), some.column(0).cast(pa.int64()), pa.array(place + ends[:-1]), pa.array(np.diff(ends)), ids]
+            at = 0
+            for ids in own.encode(batch.column(1), end_id):
+                ends = ids.offsets.to_numpy().astype(np.int64)
+                doc_ids = batch.column(0).slice(at, len(ids)).cast(pa.int64())
+                cols = [pa.array(np.full(len(ids), part, np.int32)), doc_ids, pa.array(place + ends[:-1]), pa.array(np.diff(ends)), ids]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "place", "n_tokens", "ids"])
                 place += int(ends[-1])
+                at += len(ids)
 
     return ranged.mapInArrow(encode, SCHEMA)
 

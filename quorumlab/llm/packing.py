@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
 
-from quorumlab.llm.chunks import ChunkMemo, split_at_spaces
-from quorumlab.llm.workers import kept_by_worker
+from quorumlab.llm.wordids import memo
 from quorumlab.session import cut
 
 #: Groups of (length, salt) beyond one for each length, so that a group holds about 1/4096 of all pieces at most.
 SALTS = 4096
-TEXTS_AT_ONCE = 256
-
-
-@kept_by_worker
-def memo(tokenizer_path: str) -> ChunkMemo:
-    plain, tokenizer = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # doesn't look for added tokens, which few chunks have
-    added = re.compile("|".join(re.escape(t.content) for t in plain.get_added_tokens_decoder().values()) or "(?!)").search
-    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
-        ends_word[i] = token.endswith("</w>")
-    # Such letters stay letters in lower case and composed form, so these chunks are one word, or one and a mark.
-    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
-
-    def ends(ids: np.ndarray, chunks: list[str]) -> np.ndarray:
-        words = np.flatnonzero(ends_word[ids]) + 1
-        return words[np.cumsum([1 + (c[-1] in ".,;:!?") for c in chunks]) - 1]
-
-    return ChunkMemo(tokenizer, split_at_spaces, letters, " ", ends, added, plain)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
@@ -43,14 +21,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
 
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def pieces(batch: pa.Array) -> pa.Array:
-        own, ends, rows = memo(tokenizer_path), [0], []
-        stop, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for at in range(0, len(batch), TEXTS_AT_ONCE):
-            for raw in own.encode(batch.slice(at, TEXTS_AT_ONCE).to_pylist()):
-                raw += stop
-                for i, lo in enumerate(range(0, len(raw), width)):
-                    part = raw[lo : lo + width]
-                    rows.append((i, lo // 4, len(part) // 4, zlib.crc32(part)))
+        ends, rows, width = [0], [], 4 * capacity
+        for lists in memo(tokenizer_path).encode(batch, end_id):
+            flat, at = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B"), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+            for start, end in zip(at, at[1:], strict=False):
+                for i, lo in enumerate(range(start, end, width)):
+                    hi = min(lo + width, end)
+                    rows.append((i, (lo - start) // 4, (hi - lo) // 4, zlib.crc32(flat[lo:hi])))
                 ends.append(len(rows))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
