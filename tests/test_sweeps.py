@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlab.plans import sweeps
+from quorumlab.plans import plumbing, sweeps
 
 
 def cells(spark, value):
@@ -89,3 +89,24 @@ def test_scaling_and_transfer_runs(spark):
     assert at("scratch") == pytest.approx(2.5) and at("residual") == pytest.approx(2.5) and at("pooled") > 40
     with pytest.raises(ValueError, match="unknown variant"):
         at("other")
+
+
+def test_failed_runs_are_no_result(spark, sf_dir, tmp_path, monkeypatch):
+    """Means over the seeds that are left looked like means over all of them."""
+    folder = tmp_path / "scratch"
+    monkeypatch.setattr(plumbing, "scratch", lambda spark, name: f"{folder}/{name}")
+    baseline = plumbing.mean_baseline
+
+    def breaks(method, train, seed):
+        if seed in (101, 0):
+            raise ValueError("broken")
+        return baseline(method, train, seed)
+
+    monkeypatch.setattr(plumbing, "mean_baseline", breaks)
+    with pytest.raises(RuntimeError, match="3 of 6 runs failed.*broken"):
+        plumbing.fraction_aggregate(spark, sf_dir)
+    with pytest.raises(RuntimeError, match="4 of 4 runs failed"):  # its baseline's seed is 0 in all runs
+        plumbing.grid_runs(spark, sf_dir)
+    assert not list(folder.iterdir())
+    outcomes = [sweeps.Outcome({"a": "x"}, s) for s in ("done", "kept", "empty")]
+    assert sweeps.whole(outcomes) is outcomes
