@@ -35,7 +35,7 @@ class LeafPaths:
 
 
 def node_table(spark: SparkSession, model) -> list[list[dict]]:
-    """For each tree its nodes by id, read from the files that the model writes of itself; their number is the model's size."""
+    """For each tree its nodes by id, read from the files that the model writes of itself; their number is the model's size. n is the weight of a node's training rows."""
     path = f"{shared_folder(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
     model.write().save(path)
     try:
@@ -43,7 +43,7 @@ def node_table(spark: SparkSession, model) -> list[list[dict]]:
         if "treeID" not in saved.columns:
             saved = saved.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
         rows = saved.select(
-            "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.rawCount").alias("n"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+            "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.impurityStats")[0].alias("n"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
             F.col("nodeData.split.featureIndex").alias("feature"), F.col("nodeData.split.leftCategoriesOrThreshold").alias("at"), F.col("nodeData.split.numCategories").alias("categories"),
         ).collect()
     finally:

@@ -109,3 +109,66 @@ def test_training_rows_are_dealt_evenly(spark, sf_dir, monkeypatch):
     sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len(sizes) == -(-rows.count() // 500) and max(sizes) < 700
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, catalogue.assembled(spark, sf_dir).collect()))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, sf_dir, tmp_path_factory):
+    """The tables three times over, with keys of their own."""
+    folder = tmp_path_factory.mktemp("repeated")
+    for name, keys in (("lineitem", ["l_orderkey", "l_partkey", "l_suppkey"]), ("part", ["p_partkey"]), ("supplier", ["s_suppkey"])):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").crossJoin(spark.range(3).withColumnRenamed("id", "_i"))
+        rows.withColumns({k: F.col(k) + F.col("_i") * 1_000_000 for k in keys}).drop("_i").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.fixture
+def trained(monkeypatch):
+    """Rows that each training reads, and the measurements that they stand for."""
+    fit, seen = models.fit_trees, []
+    monkeypatch.setattr(models, "fit_trees", lambda name, train, *a, **k: seen.append((train.count(), train.agg(F.sum("n")).first()[0] if "n" in train.columns else train.count())) or fit(name, train, *a, **k))
+    return seen
+
+
+def test_regressors_train_on_distinct_features(spark, repeated, trained, monkeypatch):
+    """Three times the measurements are no more rows to train on; their weights are."""
+    monkeypatch.setattr(models, "FOREST", 2)
+    monkeypatch.setattr(models, "TREES", {k: models.TREES[k] for k in ("decision_tree", "random_forest")})
+    got = {r["model"]: r for r in catalogue.tree_regressors(spark, repeated).collect()}
+    assert set(got) == {"decision_tree", "random_forest"} and got["decision_tree"]["rmse"] < 0.1 and got["random_forest"]["rmse"] < 0.2, got
+    rows = catalogue.measurements(spark, repeated)
+    total, cells = rows.count(), rows.select("solute", "solvent", "t").distinct().count()
+    assert [n + got["decision_tree"]["n"] for _, n in trained] == [total, total] and all(n <= cells < total / 3 for n, _ in trained)
+
+
+@pytest.mark.parametrize("name, params", [("decision_tree", {"maxDepth": 6}), ("gradient_boosting", {"maxIter": 5, "maxDepth": 3})])
+def test_condensed_rows_train_the_same_trees(spark, name, params):
+    """Few rows, so that Spark finds thresholds from all of them in either case."""
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b), bool(h), float(a * 0.7 + (b - 4) ** 2 + e)) for a, b, h, e in zip(rng.integers(1, 6, 3000), rng.integers(1, 9, 3000), rng.integers(0, 3, 3000) == 0, rng.normal(size=3000))]
+    table = spark.createDataFrame(rows, "a int, b int, held boolean, y double").repartition(3)
+    held, short = table.where("held"), models.condensed(table, ["a", "b", "held"]).withColumn("r", F.rand(1)).orderBy("r").drop("r").localCheckpoint()
+    assert short.count() == 80 and short.agg(F.sum("n"), F.sum("w")).first() == (3000, 3000)
+    whole, brief = models.fit_trees(name, table.where("not held"), ["a", "b"], **params), models.fit_trees(name, short.where("not held"), ["a", "b"], weight="w", **params)
+    pairs = brief.transform(whole.transform(held.select("a", "b").distinct()).withColumnRenamed("y_pred", "e").drop("_v")).collect()
+    assert [r["y_pred"] for r in pairs] == pytest.approx([r["e"] for r in pairs], abs=1e-9)
+    told = [attributions.tree_attributions(m, held.select("a", "b").distinct()).orderBy("a", "b").collect() for m in (whole, brief)]
+    assert np.array([[*r["attribution"], r["attribution_base"]] for r in told[1]]) == pytest.approx(np.array([[*r["attribution"], r["attribution_base"]] for r in told[0]]), abs=1e-9)
+    if name == "gradient_boosting":
+        (a, losses), (b, others) = models.stop_early(whole, held), models.stop_early(brief, short.where("held"), spread="spread")
+        assert others == pytest.approx(losses) and len(a.stages[1].trees) == len(b.stages[1].trees)
+
+
+def test_resamples_and_weighted_filters(spark):
+    """Resamples draw single rows: a group of n rows varies as they do, and its mean with them."""
+    rows = spark.range(40_000).select((F.col("id") % 4).alias("k"), F.when(F.col("id") % 8 < 4, 1.0).otherwise(3.0).alias("y")).unionAll(spark.createDataFrame([(9, None)], "k long, y double"))
+    got = {r["k"]: r for r in models.condensed(rows, ["k"], resamples=30).collect()}
+    assert (got[9]["n"], got[9]["w"], got[9]["y"], got[9]["y0"]) == (1, 0, None, None)
+    assert (got[0]["n"], got[0]["y"], got[0]["spread"]) == (10_000, 2.0, pytest.approx(10_000.0))
+    w, y = (np.array([[got[k][f"{c}{i}"] for i in range(30)] for k in range(4)]) for c in "wy")
+    assert 70 < w.std() < 130 and abs(w.mean() - 10_000) < 60 and 0.007 < y.std() < 0.013 and len(set(w.reshape(-1))) > 60
+    table = spark.range(500).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("c"), F.lit(2.0).alias("flat")).withColumn("b", 2 * F.col("a") + 1)
+    short = table.groupBy("a", "b", "c", "flat").agg(F.count("*").alias("w"))
+    assert models.select_features(short, ["a", "b", "flat", "c"], weight="w") == models.select_features(table, ["a", "b", "flat", "c"]) == ["a", "c"]
+    v, r = models.weighted_spread(short, ["a", "c"], "w")
+    e = table.agg(F.var_pop("a"), F.var_pop("c"), F.corr("a", "c")).first()
+    assert [*v, r[0, 1]] == pytest.approx(list(e))
