@@ -140,6 +140,14 @@ def test_regressors_train_on_distinct_features(spark, repeated, trained, monkeyp
     assert [n + got["decision_tree"]["n"] for _, n in trained] == [total, total] and all(n <= cells < total / 3 for n, _ in trained)
 
 
+def test_attributions_are_made_for_distinct_features(spark, repeated, trained):
+    r = catalogue.tree_attributions(spark, repeated).first()
+    rows = catalogue.measurements(spark, repeated)
+    held, total, cells = rows.where("rid % 5 = 0").count(), rows.count(), rows.select("solute", "solvent", "t").distinct().count()
+    assert (r["n_rows"], r["n_off"], r["fewer_trees"]) == (held, 0, True)
+    assert trained[0][1] == total - held and trained[0][0] <= cells < total / 3
+
+
 @pytest.mark.parametrize("name, params", [("decision_tree", {"maxDepth": 6}), ("gradient_boosting", {"maxIter": 5, "maxDepth": 3})])
 def test_condensed_rows_train_the_same_trees(spark, name, params):
     """Few rows, so that Spark finds thresholds from all of them in either case."""
